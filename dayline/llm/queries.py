@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import packing, simhash, tokenfile
 from .common import table, vocabulary
 
 
@@ -20,9 +20,15 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), kind="byte", end_id=0)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), n_words=4, seed=42, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_orc": op4_token_orc,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
