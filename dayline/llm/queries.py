@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, tokenfile
+from . import packing, simhash, substring, tokenfile
 from .common import table, vocabulary
 
 
@@ -25,10 +25,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_orc": op4_token_orc,
     "op5_simhash": op5_simhash,
+    "op6_substring": op6_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
