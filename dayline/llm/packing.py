@@ -114,7 +114,7 @@ def pack(documents: DataFrame, vocab: str, *, kind: str = "word", end_id: int =
 def sequences(packed: DataFrame, *, size: int = 2048, pad_id: int = 0) -> DataFrame:
     """The packed sequences themselves: token ids padded to size, unless the sequence's own length is a power of two."""
 
-    def join(key, table: pa.Table) -> pa.Table:
+    def join(key, table):
         order = np.argsort(table["offset"].to_numpy(), kind="stable")
         ids = np.frombuffer(b"".join(table["ids"][int(i)].as_py() for i in order), dtype="<u4")
         padded = ids if len(ids) & (len(ids) - 1) == 0 else np.pad(ids, (0, size - len(ids)), constant_values=pad_id)
