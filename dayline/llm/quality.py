@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Number of hashed features.
 BUCKETS = 1 << 14
@@ -182,4 +183,4 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality"])
 
     documents = documents.drop("quality")
-    return documents.mapInArrow(run, documents.schema.add("quality", "double"))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("quality", DoubleType())]))

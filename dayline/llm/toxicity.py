@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that can be patterns.
@@ -215,7 +216,7 @@ def score(documents: DataFrame, model: tuple[dict[str, float], float]) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer(t.as_py()) for t in batch["text"]], pa.float64())], names=[*batch.schema.names, "toxicity"])
 
     documents = documents.drop("toxicity")
-    return documents.mapInArrow(run, documents.schema.add("toxicity", "double"))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("toxicity", DoubleType())]))
 
 
 def train(documents: DataFrame, labels: DataFrame, *, max_rows: int = 5000) -> tuple[dict[str, float], float]:
