@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, simhash, substring, tokenfile, topk, toxicity
+from . import decontam, htmltext, packing, quality, simhash, substring, tokenfile, topk, toxicity
 from .common import table, vocabulary
 
 
@@ -55,6 +55,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring": op6_substring,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_html_text": op9_html_text,
 }
 
 OP3_SQL = """
