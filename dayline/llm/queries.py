@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, packing, quality, simhash, substring, tokenfile, topk, toxicity
+from . import chat, decontam, htmltext, packing, quality, simhash, substring, tokenfile, topk, toxicity
 from .common import table, vocabulary
 
 
@@ -59,6 +59,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    formatted = chat.format_chats(chat.transcripts(conversations), chat.learn(conversations))
+    return formatted.select("conv_id", "part", F.size("turns").cast("long").alias("n_turns"), "rendered")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,
+    "op10_chat_format": op10_chat_format,
 }
 
 OP3_SQL = """
@@ -83,4 +90,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL}
+OP10_SQL = """
+SELECT conv_id, turn // 128 AS part, count(*) AS n_turns,
+  string_agg('<|im_start|>' || role || chr(10) || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
+FROM conversations GROUP BY conv_id, turn // 128
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op10_chat_format": OP10_SQL}
