@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored
 
@@ -153,12 +154,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _classes(docs: DataFrame, max_bits: int) -> DataFrame:
+    """Of the stored fingerprints of documents: fp, first_id (its smallest doc_id) and root (its component) of each distinct fingerprint."""
+    members = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "members")
+    roots = components(links(members.select("fp"), max_bits))
+    return stored(members.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(documents: DataFrame, *, n_words: int = 4, seed: int = 42, max_bits: int = 4) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for each row of documents."""
     docs = stored(fingerprints(documents, n_words, seed), "fingerprints")
-    members = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "members")
-    roots = components(links(members.select("fp"), max_bits))
-    rooted = stored(members.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _classes(docs, max_bits)
     names = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "names")
     classes = stored(rooted.join(names, "root").select("fp", "component_id"), "classes")
     return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(documents: DataFrame, *, n_words: int = 5, seed: int = 42, max_bits: int = 4) -> DataFrame:
+    """The rows of documents, with all their columns, that stand for their component: the one with the smallest doc_id (a null id only if there is no other)."""
+    docs = stored(fingerprints(documents, n_words, seed), "fingerprints")
+    rooted = _classes(docs, max_bits)
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("x")
+    kept = rooted.groupBy("root").agg(first).select(F.col("x.fp").alias("kept_fp"), F.col("x.first_id").alias("kept_id"))
+    kept = stored(kept, "kept")
+
+    columns = documents.columns
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py(), n_words, seed) for t in batch["kept_text"]], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(fps.view(np.int64))], names=[*columns, "kept_fp"])
+
+    rows = documents.withColumn("kept_text", F.col("text").cast("string"))
+    rows = rows.mapInArrow(run, StructType([*documents.schema.fields, StructField("kept_fp", LongType())]))
+    same = [rows["kept_fp"] == kept["kept_fp"], rows["doc_id"].cast("long").eqNullSafe(kept["kept_id"])]
+    rows = rows.join(kept, same, "left_semi")
+    if docs.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
+        return rows.select(*columns)
+    return rows.dropDuplicates(["doc_id", "kept_fp"]).select(*columns)
