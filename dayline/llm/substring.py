@@ -195,7 +195,8 @@ def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 4 << 20,
     n_parts, n_ranges = parts_for(n_bytes, part_bytes), parts_for(n_bytes, range_bytes)
     named = [c for c in ("doc_id", "text") if c in documents.columns]
     docs = documents.withColumn("text", F.col("text").cast("string")).withColumn("part", part_of(n_parts, *named)).repartition(n_parts, "part")
-    sent = docs.select("part", "text").groupBy("part").applyInArrow(_send(window, n_ranges), "range int, part int, hashes binary, twice binary")
+    # all columns, so that both readings of the parts share one exchange
+    sent = docs.groupBy("part").applyInArrow(_send(window, n_ranges), "range int, part int, hashes binary, twice binary")
     back = sent.groupBy("range").applyInArrow(_count, "part int, range int, hashes binary")
     result = StructType.fromDDL("n_words long, removed array<struct<start: long, end: long>>, kept string")
     schema = StructType([*documents.withColumn("text", F.col("text").cast("string")).schema.fields, *result.fields])
