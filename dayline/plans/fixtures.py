@@ -1 +1,77 @@
 """Operators on inputs of their own: HTML, orbits, model stubs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import models
+from ..functions import orbit
+from ..operators import sequences, tables
+from .registry import Tables, query
+
+# A published element set.
+TLE = ("1 25544U 98067A   24001.50000000  .00016717  00000-0  30270-3 0  9993", "2 25544  51.6400 208.9163 0006317  69.9862  25.2906 15.49815508000013")
+CREW_PAGE = """<table class="wikitable"><tr><th>No.</th><th>Patch</th><th>Crew</th><th>Up</th><th>Flight</th><th>Down</th><th>Flight</th><th>Days</th></tr>
+<tr><td>1</td><td><img src="//img/1.png"></td><td><span class="flagicon"><img alt="United States"></span><a>A. Alpha</a><br><span class="flagicon"><img alt="Russia"></span><a>B. Beta</a></td><td>2 November 2000<br>09:21[1][2]</td><td>TM-31</td><td>21 March 2001<br>07:33:10</td><td>STS-102</td><td>141</td></tr>
+<tr><td><span class="flagicon"><img alt="Japan"></span><a>C. Gamma</a></td><td>8 March 2001<br>11:42</td><td>STS-102</td></tr>
+<tr><td>note</td><td>x</td></tr></table><table class="wikitable"><tr><th>last</th></tr><tr><td>9</td></tr></table>"""
+WALKS_PAGE = """<table class="wikitable"><tr><th>#</th></tr>
+<tr><td>1.</td><td>Exp 42<small>EVA 3</small></td><td><a>A. Alpha</a><a>B. Beta</a></td><td>1 January 2015<br>00:00</td><td>1 January 2015<br>06:30</td><td>6 h 30 min</td></tr>
+<tr><td colspan="6">Installed <a href="/wiki/Cable">cables</a><sup class="reference">[3]</sup></td></tr>
+<tr><td>2.</td><td>Exp 70<small>EVA 1</small></td><td><a>TBD</a></td><td><a>D. Delta</a></td><td>TBD</td><td>TBD</td><td>TBD</td></tr>
+<tr><td colspan="6">Planned</td></tr></table>"""
+
+
+@query("article_text", None)
+def article_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", tables.article_text(F.col("html")).alias("content")).where("content <> ''")
+
+
+@query("html_tables", None)
+def html_tables(t: Tables) -> DataFrame:
+    pages = t.pages.limit(1).select(F.lit("crew").alias("page"), F.lit(CREW_PAGE).alias("html"))
+    return tables.scan_tables(pages, drop_last=True).select("page", "table_no", "row_no", F.size("cells").alias("n_cells"))
+
+
+@query("crew_dispatch", None)
+def crew_dispatch(t: Tables) -> DataFrame:
+    pages = t.pages.limit(1).select(F.lit("crew").alias("page"), F.lit(CREW_PAGE).alias("html"))
+    good, _ = tables.crew_rows(tables.scan_tables(pages, drop_last=True))
+    return tables.crew_stays(good, ["row_no"])
+
+
+@query("spacewalk_rows", None)
+def spacewalk_rows(t: Tables) -> DataFrame:
+    pages = t.pages.limit(1).select(F.lit("walks").alias("page"), F.lit(WALKS_PAGE).alias("html"))
+    found = tables.spacewalks(tables.scan_tables(pages), ["page"])
+    return found.select("number", "mission", "missionEvaNum", F.size("crew").alias("n_crew"), "startTime", "duration", "description")
+
+
+@query("orbit_track", None)
+def orbit_track(t: Tables) -> DataFrame:
+    days = t.events.select(F.date_trunc("day", F.col("ts")).cast("timestamp").alias("t")).distinct()
+    found = orbit.track(days.withColumns({"tle_line1": F.lit(TLE[0]), "tle_line2": F.lit(TLE[1])}))
+    return found.select(F.date_format("t", "yyyy-MM-dd").alias("date"), "i", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"), F.round("height_km", 2).alias("height_km"), "part")
+
+
+@query("voiced_frames", "WITH x AS (SELECT user_id AS file, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type IN ('view', 'click') AND user_id % 3 = 0 OR event_type = 'view' AS s FROM events), y AS (SELECT file, n, n - lag(n) OVER (PARTITION BY file ORDER BY n) AS g FROM x WHERE s), z AS (SELECT file, n, sum(CASE WHEN g IS NULL OR g > 11 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n) AS session FROM y), e AS (SELECT user_id AS file, count(*) AS last FROM events GROUP BY 1) SELECT file::VARCHAR AS file, session::BIGINT AS session, (min(n) * 20)::INT AS start_ms, min(n)::INT AS start_frame, least(max(n) + 10, any_value(last))::INT AS end_frame, count(*) AS n_speech FROM z JOIN e USING (file) GROUP BY file, session")
+def voiced_frames(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    frames = t.events.select(F.col("user_id").cast("string").alias("file"), n.alias("frame_no"), ((F.col("event_type").isin("view", "click") & (F.col("user_id") % 3 == 0)) | (F.col("event_type") == "view")).alias("is_speech"))
+    return sequences.voiced_sessions(frames)
+
+
+@query("summaries", "SELECT conv_id, turn, trim(split_part(text, '. ', 1)) AS summary FROM conversations")
+def summaries(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", models.apply(F.col("text"), models.first_sentences).alias("summary"))
+
+
+@query("usable_utterances", "SELECT conv_id, turn FROM conversations WHERE NOT contains(' ' || text, ' .')")
+def usable_utterances(t: Tables) -> DataFrame:
+    segments = F.array(F.struct(F.concat(F.lit(" "), "text").alias("text"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))
+    return models.usable(t.conversations.withColumn("segments", segments)).where(~F.contains(F.concat(F.lit(" "), "text"), F.lit(" ."))).select("conv_id", "turn")
+
+

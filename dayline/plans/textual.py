@@ -258,7 +258,7 @@ SUN = """WITH d AS (SELECT DISTINCT ts::DATE AS d FROM events), j AS (SELECT d,
     q AS (SELECT *, ra0 + (floor(degrees(lam) / 90) * 90 - floor(ra0 / 90) * 90) AS ra, (18.697374558::DOUBLE + 24.06570982441908::DOUBLE * n) % 24.0::DOUBLE AS gst FROM p),
     v AS (SELECT *, unnest(range(0, 1441)) AS i FROM q),
     w AS (SELECT d, dec, i + 2 AS pos, i / 2.0::DOUBLE - 360.0::DOUBLE AS lng, degrees(atan(-cos(radians(gst * 15 + (i / 2.0::DOUBLE - 360.0::DOUBLE) - ra)) / tan(radians(dec)))) AS lat FROM v),
-    z AS (SELECT d, pos, lng, lat FROM w UNION ALL SELECT d, p, at, CASE WHEN dec < 0 THEN 90.0 ELSE -90.0 END FROM q, (VALUES (1, -360.0), (1443, 360.0), (1444, -360.0)) corner(p, at))
+    z AS (SELECT d, pos, lng, lat FROM w UNION ALL SELECT d, p, edge, CASE WHEN dec < 0 THEN 90.0 ELSE -90.0 END FROM q, (VALUES (1, -360.0), (1443, 360.0), (1444, -360.0)) corner(p, edge))
     SELECT strftime(d, '%Y-%m-%d') AS date, (1444 - pos)::INT AS pos, round(lng, 6)::DOUBLE AS lng, round(lat, 6)::DOUBLE AS lat FROM z"""
 
 
