@@ -72,7 +72,7 @@ class Model:
             for j, (other, other_first) in enumerate(STATES):
                 t[i, j] = (6.0 if other == role else 1e-6) if not other_first else {"system": 0.1, "user": 1.0, "assistant": 1.0}[other] * (0.1 if other == role else 1.0)
             for k, shown in enumerate(MARKERS):
-                m[i, k] = (20.0 if shown == role else 2.0 if shown == "change" else 1.0 if shown == "none" else 1e-3) if first else (40.0 if shown == "none" else 1.0 if shown == "change" else 1e-3)
+                m[i, k] = (20.0 if shown == role else 2.0 if shown == "change" else 1.0 if shown == "none" else 1e-3) if first else (40.0 if shown == "none" else 0.3 if shown == "change" else 1e-3)
         for counts, into in ((begin, b), (follow, t), (shows, m), (looks, s)):
             for at, c in (counts or {}).items():
                 into[at] += c

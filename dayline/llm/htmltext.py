@@ -59,6 +59,14 @@ LABELLED = np.array(
         (40, 0.7, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0, 0), (7, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0),
         (8, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (4, 0.0, 80, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.5, 50, 0.0, 40, 0.0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 1, 1.0, 0, 0, 1, 0),
         (3, 0.0, 5, 0.0, 2, 1.0, 0, 0, 1, 0), (10, 0.6, 10, 0.6, 10, 0.6, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 0), (12, 0.5, 70, 0.0, 1, 1.0, 0, 0, 0, 0),
+        # in no article: headings of text, headings of links, and short lines before text
+        (3, 0.0, 1, 1.0, 40, 0.0, 0, 0, 1, 1), (4, 0.0, 1, 1.0, 35, 0.0, 0, 0, 1, 1), (2, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 1), (5, 0.0, 70, 0.0, 20, 0.0, 0, 0, 1, 1),
+        (3, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1, 1), (2, 0.0, 2, 1.0, 4, 1.0, 0, 0, 1, 0), (1, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1, 0), (3, 0.0, 0, 0.0, 5, 0.9, 0, 0, 1, 0),
+        (4, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0), (2, 0.0, 3, 0.0, 120, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0),
+        (90, 0.0, 3, 0.0, 80, 0.0, 0, 0, 0, 1), (40, 0.0, 3, 0.0, 30, 0.0, 0, 0, 0, 1), (60, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 1), (120, 0.1, 4, 0.0, 45, 0.0, 0, 0, 0, 1),
+        (30, 0.0, 2, 0.0, 25, 0.0, 0, 0, 0, 1), (45, 0.2, 1, 0.0, 60, 0.1, 0, 0, 0, 1), (50, 0.0, 5, 1.0, 40, 0.0, 0, 0, 0, 1), (25, 0.0, 4, 0.0, 60, 0.0, 0, 0, 0, 1),
+        (60, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (35, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 1), (80, 0.1, 60, 0.0, 1, 1.0, 0, 0, 0, 1), (28, 0.0, 1, 1.0, 4, 0.9, 0, 0, 0, 1), (50, 0.2, 70, 0.1, 6, 1.0, 0, 0, 0, 1),
+        (60, 0.8, 40, 0.0, 70, 0.0, 0, 0, 0, 0), (30, 0.6, 60, 0.1, 40, 0.0, 0, 0, 0, 0), (20, 1.0, 5, 1.0, 6, 1.0, 0, 0, 0, 0), (90, 0.9, 1, 1.0, 80, 0.0, 0, 0, 0, 0), (5, 1.0, 80, 0.0, 70, 0.0, 0, 0, 0, 0),
     ]
 )
 
