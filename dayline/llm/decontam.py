@@ -16,6 +16,8 @@ rows or no hits; other columns are not used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ BLOCK_BYTES = 8 << 20
 #: ASCII bytes that are not part of words become spaces, and A-Z become a-z; bytes of other characters stay.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
-FOUND = "doc_id long, n_words long, items array<string>, spans array<struct<start: long, end: long>>, char_spans array<struct<start: long, end: long>>"
+FOUND = "n_words long, items array<string>, spans array<struct<start: long, end: long>>, char_spans array<struct<start: long, end: long>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,6 +104,12 @@ def _broadcasts(benchmark: DataFrame, block_bytes: int) -> list:
     return out
 
 
+def _slices(texts: pa.Array, rows: int = 256):
+    """The texts of a batch, a few at a time, so that a batch never stands in memory twice; an empty batch is one empty slice."""
+    for at in range(0, max(1, len(texts)), rows):
+        yield texts.slice(at, rows).to_pylist()
+
+
 def _scan(texts: list[str | None], blocks: list, n: int) -> tuple[list[np.ndarray], list[set[str]]]:
     """Of each text: a mark for each of its words that a window covers, and the items found."""
     lines, starts, hits, names = [], [], [], [set() for _ in texts]
@@ -127,35 +135,35 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes
     """For each document: n_words, the items with a window in it (sorted), and the hit spans, in words and in characters (ends excluded)."""
     blocks = _broadcasts(benchmark, block_bytes)
 
-    def run(batches):
-        for batch in batches:
-            texts = [t.as_py() for t in batch["text"]]
-            hits, names = _scan(texts, blocks, n)
-            spans = [merged(h) for h in hits]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array([len(h) for h in hits], pa.int64()),
-                    pa.array([sorted(f) for f in names], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
-                    pa.array([_char_spans(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], _SPANS),
-                ],
-                names=["doc_id", "n_words", "items", "spans", "char_spans"],
-            )
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    @F.arrow_udf(FOUND)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([part(x) for x in _slices(texts)])
+
+    def part(texts: list[str | None]) -> pa.StructArray:
+        hits, names = _scan(texts, blocks, n)
+        spans = [merged(h) for h in hits]
+        columns = [
+            pa.array([len(h) for h in hits], pa.int64()),
+            pa.array([sorted(f) for f in names], pa.list_(pa.string())),
+            pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
+            pa.array([_char_spans(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], _SPANS),
+        ]
+        return pa.StructArray.from_arrays(columns, names=["n_words", "items", "spans", "char_spans"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), find(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of documents, with all their columns, whose text holds no window of any item."""
     blocks = _broadcasts(benchmark, block_bytes)
 
-    def run(batches):
-        for batch in batches:
-            hits, _ = _scan(batch["text"].to_pylist(), blocks, n)
-            yield batch.filter(pa.array([not h.any() for h in hits], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([not h.any() for x in _slices(texts) for h in _scan(x, blocks, n)[0]], pa.bool_())
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.where(clean(F.col("text").cast("string")))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

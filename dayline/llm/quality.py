@@ -21,6 +21,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 from operator import eq
 
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Number of hashed features.
 BUCKETS = 1 << 14
@@ -50,7 +50,7 @@ def shape(word: str) -> str:
 class _Shapes(dict):
     def __missing__(self, word: str) -> str:
         s = shape(word)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = s
         return s
 
@@ -171,16 +171,13 @@ def train(documents: DataFrame, *, max_rows: int = 3000) -> tuple[np.ndarray, fl
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of documents, and quality double: the probability that the text is good."""
+    """All columns of documents, and quality double (in place of a column of that name): the probability that the text is good."""
     w, constant = model
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for t in batch["text"]:
-                logit = constant + sum(w[k] * x for k, x in hashed(Look(t.as_py())).items())
-                out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, logit)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality"])
+    @F.arrow_udf("double")
+    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            logits = (constant + sum(w[k] * x for k, x in hashed(Look(t.as_py())).items()) for t in texts)
+            yield pa.array([1 / (1 + math.exp(-min(30.0, max(-30.0, x)))) for x in logits], pa.float64())
 
-    documents = documents.drop("quality")
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("quality", DoubleType())]))
+    return documents.withColumn("quality", quality(F.col("text").cast("string")))

@@ -17,6 +17,7 @@ rows come back as often as they occur; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored
 
 N_BYTES = 8
+#: 64-bit parts of the longer fingerprint.
+QUARTERS = 4
 #: Posting lists up to this long are joined row by row.
 LIGHT = 64
 #: Fingerprints in a block of a long posting list.
@@ -68,15 +70,20 @@ def fingerprint(text: str | None, n_words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, n_words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp, a signed long with the fingerprint's 64 bits."""
+def fingerprint_of(text: Column, n_words: int = 4, seed: int = 42) -> Column:
+    """A signed long with the fingerprint's 64 bits."""
+
+    @F.arrow_udf("long")
+    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([fingerprint(t.as_py(), n_words, seed) for t in texts], dtype=np.uint64).view(np.int64))
 
-    def run(batches):
-        for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), n_words, seed) for t in batch["text"]], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+    return fp(text.cast("string"))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(documents: DataFrame, n_words: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id and fp of each row."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(F.col("text"), n_words, seed).alias("fp"))
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -170,25 +177,167 @@ def near_duplicates(documents: DataFrame, *, n_words: int = 4, seed: int = 42, m
     return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(documents: DataFrame, *, n_words: int = 5, seed: int = 42, max_bits: int = 4) -> DataFrame:
-    """The rows of documents, with all their columns, that stand for their component: the one with the smallest doc_id (a null id only if there is no other)."""
-    docs = stored(fingerprints(documents, n_words, seed), "fingerprints")
-    rooted = _classes(docs, max_bits)
-    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("x")
-    kept = rooted.groupBy("root").agg(first).select(F.col("x.fp").alias("kept_fp"), F.col("x.first_id").alias("kept_id"))
-    kept = stored(kept, "kept")
+class _Words(dict):
+    """Row of each word in the table of its four hashes."""
 
-    columns = documents.columns
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros((1 << 14, QUARTERS), dtype="<u8")
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = [xxhash.xxh64_intdigest(word, seed) for seed in range(QUARTERS)]
+        self[word] = n
+        return n
+
+
+def _content(text: str | None) -> tuple[int, list[bytes]]:
+    """A hash of the lower-cased words, and the words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return xxhash.xxh3_64_intdigest(b" ".join(words)), words
+
+
+def _looks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the hash of its words, and the quarters of its 256-bit SimHash over distinct words."""
+    known, contents, out = _Words(), np.zeros(len(texts), dtype="<u8"), np.zeros((len(texts), QUARTERS), dtype="<u8")
+    for i, t in enumerate(texts):
+        contents[i], words = _content(t.as_py())
+        distinct = set(words)
+        if len(known) > 150_000:
+            known = _Words()
+        rows = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        counts = np.zeros(64 * QUARTERS, dtype=np.int64)
+        for at in range(0, len(rows), 1 << 13):
+            counts += np.unpackbits(known.table[rows[at : at + (1 << 13)]].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(counts * 2 > len(rows), bitorder="little").view("<u8")
+    return contents, out
+
+
+def shingle_set(words: list[bytes], n_words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; all words of a shorter text are one."""
+    import xxhash
+
+    if not words:
+        return np.empty(0, dtype="<u8")
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + n_words])) for i in range(max(1, len(words) - n_words + 1))], dtype="<u8"))
+
+
+def _alike(similarity: float):
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            shared = np.intersect1d(x, y, assume_unique=True).size
+            out.append(shared >= similarity * max(1, len(x) + len(y) - shared) - 1e-9 or len(x) == len(y) == 0)
+        return pa.array(out, pa.bool_())
+
+    return alike
 
-    def run(batches):
-        for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), n_words, seed) for t in batch["kept_text"]], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(fps.view(np.int64))], names=[*columns, "kept_fp"])
 
-    rows = documents.withColumn("kept_text", F.col("text").cast("string"))
-    rows = rows.mapInArrow(run, StructType([*documents.schema.fields, StructField("kept_fp", LongType())]))
-    same = [rows["kept_fp"] == kept["kept_fp"], rows["doc_id"].cast("long").eqNullSafe(kept["kept_id"])]
+def _near_forest(max_bits: int):
+    def links(table: pa.Table) -> pa.Table:
+        """Of one pair of blocks: each text linked to the first that it reaches inside the pair."""
+        _, first = np.unique(table["c"].to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        c, q = table["c"].to_numpy(), np.column_stack([table[f"q{i}"].to_numpy() for i in range(QUARTERS)])
+        near = np.zeros((len(c), len(c)), dtype=bool)
+        for i in range(len(c)):
+            near[i] = np.bitwise_count(q ^ q[i]).sum(axis=1) <= max_bits
+        label, before = np.arange(len(c)), None
+        while before is None or (label != before).any():
+            before = label
+            label = np.array([label[row].min() for row in near])
+            label = label[label]
+        moved = label != np.arange(len(c))
+        return pa.table({"a": pa.array(c[moved]), "b": pa.array(c[label[moved]])})
+
+    return links
+
+
+def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0.8, max_bits: int = 19, dense_bits: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Near copies of any size of text: (documents' doc_id and c, the hash of their words; c and root of each distinct text).
+
+    The 256-bit SimHash of a text's distinct words moves little under the edits that leave a shingle
+    similarity of 0.8. If two differ in at most 19 bits, one of their 64-bit quarters differs in at
+    most 4, so the byte-position index over each quarter finds the pair. Pairs from posting lists up
+    to LIGHT are verified exactly, by the similarity of their shingle sets; longer lists hold crowds
+    of copies, which are linked at dense_bits without looking at shingles.
+    """
+    if not 0 <= max_bits < 5 * QUARTERS:
+        raise ValueError("the byte index guarantees links of at most 19 bits")
+    kind = "struct<c: long, " + ", ".join(f"q{i}: long" for i in range(QUARTERS)) + ">"
+
+    @F.arrow_udf(kind)
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            contents, quarters = _looks(texts)
+            columns = [contents.view(np.int64), *(np.ascontiguousarray(quarters[:, i]).view(np.int64) for i in range(QUARTERS))]
+            yield pa.StructArray.from_arrays([pa.array(x) for x in columns], names=["c", *(f"q{i}" for i in range(QUARTERS))])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), look(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
+    docs = stored(docs, "looks")
+    quarters = [f"q{i}" for i in range(QUARTERS)]
+    nodes = stored(docs.groupBy("c").agg(*[F.min(x).alias(x) for x in quarters]), "texts")  # equal texts have equal quarters
+
+    keys = [F.struct((F.lit((n * len(TRIPLES) + t) << 24) + _byte(F.col(x), i) * 65536 + _byte(F.col(x), j) * 256 + _byte(F.col(x), k)).alias("key"), F.col(x).alias("fp")) for n, x in enumerate(quarters) for t, (i, j, k) in enumerate(TRIPLES)]
+    postings = nodes.select("c", F.explode(F.array(*keys)).alias("x")).select("x.key", "c", "x.fp")
+    heavy = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIGHT), "heavy-keys")
+    light = postings.join(heavy.select("key"), "key", "left_anti")
+    a, b = light.select("key", F.col("c").alias("a"), F.col("fp").alias("fa")), light.select("key", F.col("c").alias("b"), F.col("fp").alias("fb"))
+    x = F.col("fa").bitwiseXOR(F.col("fb"))
+    met = a.join(b, "key").where((F.col("a") < F.col("b")) & (_shared_bytes(x) >= 4) & (F.bit_count(x) <= 4)).select("a", "b").distinct()
+    sides = [nodes.select(F.col("c").alias(side), *[F.col(q).alias(f"{q}{side}") for q in quarters]) for side in "ab"]
+    bits = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"{q}a").bitwiseXOR(F.col(f"{q}b"))) for q in quarters])
+    pairs = stored(met.join(sides[0], "a").join(sides[1], "b").where(bits <= max_bits).select("a", "b"), "near-pairs")
+
+    @F.arrow_udf("struct<c: long, s: binary>")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [_content(t.as_py()) for t in texts]
+            contents = np.array([c for c, _ in found], dtype="<u8").view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(contents), pa.array([shingle_set(w, n_words).tobytes() for _, w in found], pa.binary())], names=["c", "s"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    first = docs.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("first_id")).select("first_id").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(first, F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    sets = texts.select(shingles(F.col("text")).alias("x")).select("x.c", "x.s").dropDuplicates(["c"])
+    sets = stored(sets, "shingles")
+    pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = pairs.where(_alike(similarity)(F.col("sa"), F.col("sb"))).select("a", "b")
+
+    rows = postings.select("key", "c").join(heavy, "key").join(nodes, "c")
+    rows = rows.withColumn("n_blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("n_blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", *quarters)
+    forest = rows.groupBy("key", "i", "j").applyInArrow(_near_forest(dense_bits), "a long, b long")
+    roots = components(pairs.unionByName(forest))
+    return docs.select("doc_id", "c"), stored(nodes.select("c").join(roots, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root")), "rooted")
+
+
+def keep_one(documents: DataFrame, **parameters) -> DataFrame:
+    """The rows of documents, with all their columns, that stand for their group of near_copies(): the one with the smallest doc_id (a null id only if there is no other)."""
+    docs, rooted = near_copies(documents, **parameters)
+    members = docs.groupBy("c").agg(F.min("doc_id").alias("first_id")).join(rooted, "c")
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "c")).alias("x")
+    kept = stored(members.groupBy("root").agg(first).select(F.col("x.c").alias("kept_c"), F.col("x.first_id").alias("kept_id")), "kept")
+
+    @F.arrow_udf("long")
+    def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([_content(t.as_py())[0] for t in texts], dtype="<u8").view(np.int64))
+
+    columns = documents.columns
+    rows = documents.withColumn("kept_c", content(F.col("text").cast("string")))
+    same = [rows["kept_c"] == kept["kept_c"], rows["doc_id"].cast("long").eqNullSafe(kept["kept_id"])]
     rows = rows.join(kept, same, "left_semi")
-    if docs.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
+    if docs.groupBy("doc_id", "c").count().where("count > 1").isEmpty():
         return rows.select(*columns)
-    return rows.dropDuplicates(["doc_id", "kept_fp"]).select(*columns)
+    return rows.dropDuplicates(["doc_id", "kept_c"]).select(*columns)

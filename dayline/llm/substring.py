@@ -27,7 +27,7 @@ from .common import part_of, parts_for, text_bytes
 #: Odd multipliers of the two polynomials (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Words whose hashes a task remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 
 class _Words(dict):
@@ -179,7 +179,7 @@ def _cut(window: int, n_ranges: int, schema: pa.Schema):
     return run
 
 
-def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 4 << 20, range_bytes: int = 4 << 20) -> DataFrame:
+def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 3 << 20, range_bytes: int = 4 << 20) -> DataFrame:
     """The documents with n_words long, removed array<struct<start,end>> (word intervals, end excluded) and kept string (words left, joined by one space).
 
     part_bytes is the expected text of a part, range_bytes about the hashes counted at once; both

@@ -48,7 +48,7 @@ class _Cache(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids. kind: 'word' (lower case) or 'byte' (byte level)."""
 
-    def __init__(self, path: str, kind: str, cache: int = 200_000):
+    def __init__(self, path: str, kind: str, cache: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -94,15 +94,77 @@ def test_too_many_bits(documents):
         simhash.near_duplicates(documents, max_bits=5)
 
 
+def long_fingerprint(text):
+    w = set(WORD.findall(lower(text)))
+    out = 0
+    for seed in range(4):
+        hs = [xxhash.xxh64_intdigest(x.encode(), seed) for x in w]
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << (64 * seed)
+    return out
+
+
+def shingles(text, n=5):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def groups_of(rows):
+    """Rows joined where their words are equal, or 19 bits and a similarity of 0.8 hold."""
+    sets, fps = [shingles(t) for _, t in rows], [long_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        same = sets[i] == sets[j] and WORD.findall(lower(rows[i][1])) == WORD.findall(lower(rows[j][1]))
+        if same or ((fps[i] ^ fps[j]).bit_count() <= 19 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    out = {}
+    for i, row in enumerate(rows):
+        out.setdefault(find(i), []).append(row)
+    return list(out.values())
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def ids_of(rows):
+    return sorted(rows, key=lambda x: (x is None, x or 0))
+
+
 def test_keep_one(documents, corpus):
-    kept = simhash.keep_one(documents, n_words=5)
+    kept = simhash.keep_one(documents)
     assert kept.columns == documents.columns
-    fps = [fingerprint(t, 5) for _, t in corpus]
-    groups = {}
-    for row, root in zip(corpus, roots(fps, 4), strict=True):
-        groups.setdefault(root, []).append(row)
-    ids = sorted((min((d for d, _ in g if d is not None), default=None) for g in groups.values()), key=lambda x: (x is None, x or 0))
-    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x or 0)) == ids
+    ids = [min((d for d, _ in g if d is not None), default=None) for g in groups_of(corpus)]
+    assert ids_of(r["doc_id"] for r in kept.collect()) == ids_of(ids)
+
+
+def test_near_copies(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(150)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + 10 * i + n, edited(rng, t, n)) for i, t in enumerate(base) for n in (1, 2, 4, 8, 40)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = groups_of(rows)
+    assert 12 < len(groups) < len(rows)
+    assert ids_of(r["doc_id"] for r in kept.collect()) == ids_of(min(d for d, _ in g) for g in groups)
+
+
+def test_crowd(spark, monkeypatch):
+    rng = random.Random(12)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    rows = [(i, edited(rng, base, 1)) for i in range(120)] + [(500 + i, " ".join(f"x{rng.randrange(5000)}" for _ in range(100))) for i in range(50)]
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ids_of(r["doc_id"] for r in kept.collect()) == [0, *range(500, 550)]
 
 
 def covered(texts, n):
