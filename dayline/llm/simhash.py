@@ -13,10 +13,14 @@ fingerprints leaves the executors.
 Defined cases: a null text has no words; a text without words has fingerprint zero, linked like any
 other; a null doc_id is kept and never names a component unless all its members are null; repeated
 rows come back as often as they occur; an empty table gives no rows; other columns are not used.
+
+near_copies() and keep_one() do not use fingerprints: they link texts by the similarity of shingle
+sets, and take their candidates from bands of minima of the shingles' hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -29,12 +33,18 @@ from pyspark.sql import functions as F
 from .common import stored
 
 N_BYTES = 8
-#: 64-bit parts of the longer fingerprint.
-QUARTERS = 4
 #: Posting lists up to this long are joined row by row.
 LIGHT = 64
 #: Fingerprints in a block of a long posting list.
 BLOCK = 2048
+#: Shingle sets on each side of a block of a long list of near copies.
+SETS = 512
+#: Minima in the key of a band of near_copies().
+BAND = 5
+#: Probability with which a pair of exactly the asked similarity may meet in no band.
+MISSED = 1e-6
+#: An odd multiplier (fixed value).
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -178,11 +188,11 @@ def near_duplicates(documents: DataFrame, *, n_words: int = 4, seed: int = 42, m
 
 
 class _Words(dict):
-    """Row of each word in the table of its four hashes."""
+    """Row of each word in the table of its hashes."""
 
     def __init__(self):
         super().__init__()
-        self.table = np.zeros((1 << 14, QUARTERS), dtype="<u8")
+        self.table = np.zeros(1 << 14, dtype=np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -190,7 +200,7 @@ class _Words(dict):
         n = len(self)
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = [xxhash.xxh64_intdigest(word, seed) for seed in range(QUARTERS)]
+        self.table[n] = xxhash.xxh3_64_intdigest(word)
         self[word] = n
         return n
 
@@ -203,123 +213,158 @@ def _content(text: str | None) -> tuple[int, list[bytes]]:
     return xxhash.xxh3_64_intdigest(b" ".join(words)), words
 
 
-def _looks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the hash of its words, and the quarters of its 256-bit SimHash over distinct words."""
-    known, contents, out = _Words(), np.zeros(len(texts), dtype="<u8"), np.zeros((len(texts), QUARTERS), dtype="<u8")
-    for i, t in enumerate(texts):
-        contents[i], words = _content(t.as_py())
-        distinct = set(words)
-        if len(known) > 150_000:
-            known = _Words()
-        rows = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        counts = np.zeros(64 * QUARTERS, dtype=np.int64)
-        for at in range(0, len(rows), 1 << 13):
-            counts += np.unpackbits(known.table[rows[at : at + (1 << 13)]].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(counts * 2 > len(rows), bitorder="little").view("<u8")
-    return contents, out
-
-
-def shingle_set(words: list[bytes], n_words: int) -> np.ndarray:
+def shingle_set(words: list[bytes], n_words: int, known: _Words | None = None) -> np.ndarray:
     """Sorted hashes of the distinct shingles; all words of a shorter text are one."""
-    import xxhash
-
     if not words:
         return np.empty(0, dtype="<u8")
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + n_words])) for i in range(max(1, len(words) - n_words + 1))], dtype="<u8"))
+    known = _Words() if known is None else known
+    rows = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+    hashes, width = known.table[rows], min(n_words, len(words))
+    out = np.zeros(len(words) - width + 1, dtype=np.uint64)
+    for i in range(width):
+        out = out * MIX + hashes[i : i + len(out)]
+        out ^= out >> np.uint64(29)
+    return np.unique(out * MIX).astype("<u8")
+
+
+def _bands(similarity: float) -> int:
+    """How many bands leave a pair of that similarity unmet with a probability of at most MISSED."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(similarity**BAND)))
+
+
+def band_keys(shingles: np.ndarray, n_bands: int) -> np.ndarray:
+    """A key for each band: of its number and of the minima of the shingles under its BAND hash functions."""
+    if not len(shingles):
+        return np.empty(0, dtype=np.int64)
+    drawn = np.random.default_rng(20).integers(0, 1 << 32, size=(2, n_bands * BAND, 1), dtype=np.uint32)
+    x, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(n_bands * BAND, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(x), 512):
+        least = np.minimum(least, (x[at : at + 512] * (drawn[0] | np.uint32(1)) + drawn[1]).min(axis=1))
+    least = least.reshape(n_bands, BAND).astype(np.uint64)
+    keys = np.arange(1, n_bands + 1, dtype=np.uint64) * MIX
+    for i in range(BAND):
+        keys = (keys ^ least[:, i]) * MIX
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets' intersection is at least that share of their union."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    shared = np.intersect1d(x, y, assume_unique=True).size
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
 
 
 def _alike(similarity: float):
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-            shared = np.intersect1d(x, y, assume_unique=True).size
-            out.append(shared >= similarity * max(1, len(x) + len(y) - shared) - 1e-9 or len(x) == len(y) == 0)
-        return pa.array(out, pa.bool_())
+        return pa.array([similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(a, b, strict=True)], pa.bool_())
 
     return alike
 
 
-def _near_forest(max_bits: int):
+def _across(similarity: float):
     def links(table: pa.Table) -> pa.Table:
-        """Of one pair of blocks: each text linked to the first that it reaches inside the pair."""
-        _, first = np.unique(table["c"].to_numpy(), return_index=True)
-        table = table.take(pa.array(first))
-        c, q = table["c"].to_numpy(), np.column_stack([table[f"q{i}"].to_numpy() for i in range(QUARTERS)])
-        near = np.zeros((len(c), len(c)), dtype=bool)
-        for i in range(len(c)):
-            near[i] = np.bitwise_count(q ^ q[i]).sum(axis=1) <= max_bits
-        label, before = np.arange(len(c)), None
-        while before is None or (label != before).any():
-            before = label
-            label = np.array([label[row].min() for row in near])
-            label = label[label]
-        moved = label != np.arange(len(c))
-        return pa.table({"a": pa.array(c[moved]), "b": pa.array(c[label[moved]])})
+        """Of a block of a list's others and a block of all its texts: links that join the components between which there is any."""
+        c, root, other = (table[n].to_numpy() for n in ("c", "root", "other"))
+        sets = [np.frombuffer(x.as_py(), "<u8") for x in table["s"]]
+        sizes, label = np.array([len(s) for s in sets]), root.copy()
+        whole, out = np.flatnonzero(~other), []
+        for i in np.flatnonzero(other):
+            fits = np.minimum(sizes[whole], sizes[i]) >= similarity * np.maximum(sizes[whole], sizes[i]) - 1e-9
+            for j in whole[fits & (root[whole] != root[i])]:
+                if label[i] != label[j] and similar(sets[i], sets[j], similarity):
+                    out.append((c[i], c[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return links
 
 
-def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0.8, max_bits: int = 19, dense_bits: int = 12) -> tuple[DataFrame, DataFrame]:
+def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Near copies of any size of text: (documents' doc_id and c, the hash of their words; c and root of each distinct text).
 
-    The 256-bit SimHash of a text's distinct words moves little under the edits that leave a shingle
-    similarity of 0.8. If two differ in at most 19 bits, one of their 64-bit quarters differs in at
-    most 4, so the byte-position index over each quarter finds the pair. Pairs from posting lists up
-    to LIGHT are verified exactly, by the similarity of their shingle sets; longer lists hold crowds
-    of copies, which are linked at dense_bits without looking at shingles.
+    Two texts are linked if the similarity of their shingle sets is reached, and only then. Candidates
+    are texts that share the minima of their shingles under the hash functions of a band; of a pair that
+    reaches the similarity, at most one in 1 / MISSED meets in none. Each list of candidates proposes
+    links to its first text. Where the verified ones leave a list in several components, the texts
+    outside its largest are held against all others of the list: pair by pair up to LIGHT texts,
+    in longer lists block by block. All links are verified by the shingle sets, whatever the list's length.
     """
-    if not 0 <= max_bits < 5 * QUARTERS:
-        raise ValueError("the byte index guarantees links of at most 19 bits")
-    kind = "struct<c: long, " + ", ".join(f"q{i}: long" for i in range(QUARTERS)) + ">"
+    n_bands = _bands(similarity)
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<c: long, keys: array<long>>")
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = _Words()
         for texts in batches:
-            contents, quarters = _looks(texts)
-            columns = [contents.view(np.int64), *(np.ascontiguousarray(quarters[:, i]).view(np.int64) for i in range(QUARTERS))]
-            yield pa.StructArray.from_arrays([pa.array(x) for x in columns], names=["c", *(f"q{i}" for i in range(QUARTERS))])
+            contents, keys = [], []
+            for t in texts:
+                content, words = _content(t.as_py())
+                known = _Words() if len(known) > 150_000 else known
+                contents.append(content)
+                keys.append(band_keys(shingle_set(words, n_words, known), n_bands))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, dtype=np.int64)])))
+            yield pa.StructArray.from_arrays([pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), lists], names=["c", "keys"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), look(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
     docs = stored(docs, "looks")
-    quarters = [f"q{i}" for i in range(QUARTERS)]
-    nodes = stored(docs.groupBy("c").agg(*[F.min(x).alias(x) for x in quarters]), "texts")  # equal texts have equal quarters
+    nodes = stored(docs.groupBy("c").agg(F.min("keys").alias("keys"), F.min("doc_id").alias("first_id")), "texts")  # equal texts have equal keys
 
-    keys = [F.struct((F.lit((n * len(TRIPLES) + t) << 24) + _byte(F.col(x), i) * 65536 + _byte(F.col(x), j) * 256 + _byte(F.col(x), k)).alias("key"), F.col(x).alias("fp")) for n, x in enumerate(quarters) for t, (i, j, k) in enumerate(TRIPLES)]
-    postings = nodes.select("c", F.explode(F.array(*keys)).alias("x")).select("x.key", "c", "x.fp")
-    heavy = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIGHT), "heavy-keys")
-    light = postings.join(heavy.select("key"), "key", "left_anti")
-    a, b = light.select("key", F.col("c").alias("a"), F.col("fp").alias("fa")), light.select("key", F.col("c").alias("b"), F.col("fp").alias("fb"))
-    x = F.col("fa").bitwiseXOR(F.col("fb"))
-    met = a.join(b, "key").where((F.col("a") < F.col("b")) & (_shared_bytes(x) >= 4) & (F.bit_count(x) <= 4)).select("a", "b").distinct()
-    sides = [nodes.select(F.col("c").alias(side), *[F.col(q).alias(f"{q}{side}") for q in quarters]) for side in "ab"]
-    bits = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"{q}a").bitwiseXOR(F.col(f"{q}b"))) for q in quarters])
-    pairs = stored(met.join(sides[0], "a").join(sides[1], "b").where(bits <= max_bits).select("a", "b"), "near-pairs")
+    postings = nodes.select("c", F.explode("keys").alias("key"))
+    lists = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).where("n > 1"), "lists")
+    postings = stored(postings.join(lists, "key"), "postings")
 
     @F.arrow_udf("struct<c: long, s: binary>")
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = _Words()
         for texts in batches:
-            found = [_content(t.as_py()) for t in texts]
-            contents = np.array([c for c, _ in found], dtype="<u8").view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(contents), pa.array([shingle_set(w, n_words).tobytes() for _, w in found], pa.binary())], names=["c", "s"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    first = docs.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("first_id")).select("first_id").distinct()
+            contents, sets = [], []
+            for t in texts:
+                content, words = _content(t.as_py())
+                known = _Words() if len(known) > 150_000 else known
+                contents.append(content)
+                sets.append(shingle_set(words, n_words, known).tobytes())
+            yield pa.StructArray.from_arrays([pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["c", "s"])
+
+    wanted = postings.select("c").distinct()
+    first = nodes.join(wanted, "c", "left_semi").select("first_id").distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(first, F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = texts.select(shingles(F.col("text")).alias("x")).select("x.c", "x.s").dropDuplicates(["c"])
-    sets = stored(sets, "shingles")
-    pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    pairs = pairs.where(_alike(similarity)(F.col("sa"), F.col("sb"))).select("a", "b")
-
-    rows = postings.select("key", "c").join(heavy, "key").join(nodes, "c")
-    rows = rows.withColumn("n_blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", *quarters)
-    forest = rows.groupBy("key", "i", "j").applyInArrow(_near_forest(dense_bits), "a long, b long")
-    roots = components(pairs.unionByName(forest))
-    return docs.select("doc_id", "c"), stored(nodes.select("c").join(roots, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root")), "rooted")
+    sets = stored(texts.select(shingles(F.col("text")).alias("x")).select("x.c", "x.s").dropDuplicates(["c"]), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+        return pairs.where(_alike(similarity)(F.col("sa"), F.col("sb"))).select("a", "b")
+
+    roots = components(verified(postings.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct()))
+
+    members = postings.where("n > 2").select("key", "c").join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
+    members = stored(members, "members")
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    several = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("x")).where("n > x.m")
+    members = stored(members.join(several.select("key", "n", F.col("x.root").alias("largest"), (F.col("n") - F.col("x.m")).alias("n_others")), "key"), "open-lists")
+    if members.isEmpty():
+        return docs.select("doc_id", "c"), _rooted(nodes, roots)
+
+    light = members.where(F.col("n") <= LIGHT)
+    a = light.where("root <> largest").select("key", F.col("c").alias("a"), F.col("root").alias("ra"))
+    b = light.select("key", F.col("c").alias("b"), F.col("root").alias("rb"))
+    pairs = a.join(b, "key").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    heavy = members.where(F.col("n") > LIGHT)
+    i, j = (F.ceil(F.col(n) / F.lit(SETS)).cast("int") for n in ("n_others", "n"))
+    dealt, every = lambda n: F.pmod(F.xxhash64("c"), n).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    others = heavy.where("root <> largest").select("key", dealt(i).alias("i"), every(j).alias("j"), "c", "root", F.lit(True).alias("other"))
+    whole = heavy.select("key", every(i).alias("i"), dealt(j).alias("j"), "c", "root", F.lit(False).alias("other"))
+    found = others.unionByName(whole).join(sets, "c").groupBy("key", "i", "j").applyInArrow(_across(similarity), "a long, b long")
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs)).unionByName(found)
+    return docs.select("doc_id", "c"), _rooted(nodes, components(edges))
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return stored(nodes.select("c").join(roots, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root")), "rooted")
 
 
 def keep_one(documents: DataFrame, **parameters) -> DataFrame:

@@ -167,6 +167,52 @@ def test_crowd(spark, monkeypatch):
     assert ids_of(r["doc_id"] for r in kept.collect()) == [0, *range(500, 550)]
 
 
+def alike_groups(rows):
+    """Rows joined where the similarity of 0.8 holds, and by nothing else."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    out = {}
+    for i, row in enumerate(rows):
+        out.setdefault(find(i), []).append(row)
+    return list(out.values())
+
+
+def fresh(rng, n):
+    return " ".join(f"w{rng.getrandbits(48)}" for _ in range(n))
+
+
+def test_contiguous_edits(spark):
+    rng, rows = random.Random(13), []
+    for i, (n, more) in enumerate([(20, 1), (40, 4), (100, 10), (100, 20), (100, 30), (300, 60), (1000, 200)] * 8):
+        text = fresh(rng, n)
+        rows += [(10 * i, text), (10 * i + 1, text + " " + fresh(rng, more))]
+    for i in range(900, 910):
+        text = fresh(rng, 100)
+        rows += [(10 * i, text), (10 * i + 1, text.rsplit(" ", 5)[0] + " " + fresh(rng, 5))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ids_of(r["doc_id"] for r in kept.collect()) == ids_of(min(d for d, _ in g) for g in alike_groups(rows))
+
+
+def test_bands():
+    rng, missed = np.random.default_rng(14), 0
+    for n in (9, 90, 900):
+        for _ in range(400):
+            x = rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+            missed += not (simhash.band_keys(x, simhash._bands(0.8)) == simhash.band_keys(x[: n * 8 // 9], simhash._bands(0.8))).any()
+    assert simhash._bands(0.8) == 35
+    assert missed == 0
+
+
 def covered(texts, n):
     lists = [WORD.findall(t or "") for t in texts]
     counts = Counter(tuple(w[i : i + n]) for w in lists for i in range(len(w) - n + 1))
