@@ -213,6 +213,25 @@ def test_bands():
     assert missed == 0
 
 
+def test_crowds_by_similarity(spark, monkeypatch):
+    """More than LIGHT texts in a list: one rule for links, whatever the length."""
+    rng = random.Random(15)
+    base = fresh(rng, 100)
+    rows = [(i, base + " " + fresh(rng, 12)) for i in range(90)]  # 0.8 between any two
+    words = fresh(rng, 60).split()
+    rows += [(1000 + i, " ".join(rng.sample(words, len(words)))) for i in range(80)]  # the same words in other orders
+    base = fresh(rng, 100)
+    rows += [(2000 + i, base + " " + fresh(rng, 60)) for i in range(90)]  # of one template, 0.45
+    rows += [(2500 + i, t + " " + fresh(rng, 3)) for i, (_, t) in enumerate(rows[-12:])]
+    expected = ids_of(min(d for d, _ in g) for g in alike_groups(rows))
+    assert len(expected) == 1 + 80 + 90
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for light, sets in ((64, 512), (2, 20)):
+        monkeypatch.setattr(simhash, "LIGHT", light)
+        monkeypatch.setattr(simhash, "SETS", sets)
+        assert ids_of(r["doc_id"] for r in simhash.keep_one(df).collect()) == expected
+
+
 def covered(texts, n):
     lists = [WORD.findall(t or "") for t in texts]
     counts = Counter(tuple(w[i : i + n]) for w in lists for i in range(len(w) - n + 1))
