@@ -10,13 +10,15 @@ each task sees one slice of a block of queries and a block of candidates.
 3. Entries that came from every slice are complete; the rest is resolved from the vectors. The best
    k remain.
 
-Equal vectors form one class that is scored once and carries its smallest ids, k + 1 at most, which
-are all that an answer can name: one more than k because a query's own row does not count. Queries,
-cutoffs and lists are tables in blocks; none is held by the driver.
+Equal vectors form one class that is scored once and carries its smallest distinct ids, k + 1 at
+most and each at most k times, which are all that an answer can name: one more than k because a
+query's own rows do not count. Classes that hold nothing but a query's own id are left out before any
+list or cutoff is cut. Queries, cutoffs and lists are tables in blocks; none is held by the driver.
 
 Defined cases: a null or empty vector, one with a null or non-finite component, or one with a null
 id takes no part; shorter vectors count as padded with zeros; rows with the query's id are its own;
-ties go to the smaller id; with fewer than k candidates all are returned; empty tables give no rows.
+the rows of a repeated query id share one list of k, in which each names its answers, and a repeated
+candidate row counts as often as it occurs; ties go to the smaller id; with fewer than k candidates all are returned; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -49,17 +51,18 @@ def _pack(slices: int):
         full = np.zeros((len(lists), dim), dtype=np.int64)
         full[np.arange(dim) < lengths[:, None]] = lists.flatten().to_numpy()
         cls = table["cls"].to_numpy().astype(np.int64).tobytes()
+        sole = table["sole"].to_numpy().astype(np.int64).tobytes()
         cutoff = table["cutoff"].to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
-        rows = [(key[0].as_py(), s, dim, cls, cutoff, np.ascontiguousarray(full[:, s::slices]).tobytes()) for s in range(slices)]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "s", "dim", "cls", "cutoff", "m"])
+        rows = [(key[0].as_py(), s, dim, cls, sole, cutoff, np.ascontiguousarray(full[:, s::slices]).tobytes()) for s in range(slices)]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "s", "dim", "cls", "sole", "cutoff", "m"])
 
     return run
 
 
 def _blocks(vectors: DataFrame, n_blocks: int, slices: int) -> DataFrame:
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int"))
-    return dealt.select("block", "cls", "cutoff", "v").groupBy("block").applyInArrow(_pack(slices), "block int, s int, dim int, cls binary, cutoff binary, m binary")
+    return dealt.select("block", "cls", "sole", "cutoff", "v").groupBy("block").applyInArrow(_pack(slices), "block int, s int, dim int, cls binary, sole binary, cutoff binary, m binary")
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,7 +74,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _scores(pick):
-    """Of each pair of blocks and slice, the entries that pick chooses from the partial scores."""
+    """Of each pair of blocks and slice, the entries that pick chooses from the partial scores, without classes of the query's own id alone."""
 
     def run(batches):
         for batch in batches:
@@ -81,7 +84,10 @@ def _scores(pick):
                 a, b = np.frombuffer(at["q_m"], np.int64).reshape(len(q), -1), np.frombuffer(at["m"], np.int64).reshape(len(c), -1)
                 shared = min(a.shape[1], b.shape[1])
                 p = products(a[:, :shared], b[:, :shared])
+                own = np.frombuffer(at["q_sole"], np.int64)[:, None] == np.frombuffer(at["sole"], np.int64)
+                p[own] = np.iinfo(np.int64).min
                 i, j = pick(p, np.frombuffer(at["q_cutoff"], np.float64))
+                i, j = i[~own[i, j]], j[~own[i, j]]
                 yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(np.full(len(i), at["s"], np.int32)), pa.array(c[j]), pa.array(p[i, j])], names=["q", "s", "c", "p"])
 
     return run
@@ -90,7 +96,7 @@ def _scores(pick):
 def _heads(n: int):
     def pick(p: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_here = min(n, p.shape[1])
-        j = np.argpartition(-p, n_here - 1, axis=1)[:, :n_here]
+        j = np.argpartition(p, p.shape[1] - n_here, axis=1)[:, p.shape[1] - n_here :]
         return np.repeat(np.arange(len(p)), n_here), j.ravel()
 
     return pick
@@ -105,27 +111,39 @@ def _reach(slices: int):
 
 def _pairs(queries: DataFrame, candidates: DataFrame, n_blocks: int) -> DataFrame:
     """Every block of queries beside every block of candidates, slice by slice."""
-    q = queries.select("s", F.col("cls").alias("q_cls"), F.col("cutoff").alias("q_cutoff"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    return candidates.select("block", "s", "cls", "m").join(q, ["block", "s"])
+    q = queries.select("s", F.col("cls").alias("q_cls"), F.col("sole").alias("q_sole"), F.col("cutoff").alias("q_cutoff"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    return candidates.select("block", "s", "cls", "sole", "m").join(q, ["block", "s"])
 
 
-def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """score of each pair (q, c) of classes."""
-    a, b = classes.select(F.col("cls").alias("q"), F.col("v").alias("q_v")), classes.select(F.col("cls").alias("c"), F.col("v").alias("c_v"))
+def _exact(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """score of each pair of a query q and a class c."""
+    a, b = queries.select(F.col("cls").alias("q"), F.col("v").alias("q_v")), classes.select(F.col("cls").alias("c"), F.col("v").alias("c_v"))
     product = F.zip_with("q_v", "c_v", lambda x, y: F.coalesce(x * y, F.lit(0)))
     return pairs.join(b, "c").join(a, "q").select(*pairs.columns, F.aggregate(product, F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, slices: int = 2, query_block: int = 1024, block: int = 4096) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k highest inner products of each query row of vectors (vec_id, v)."""
+    """query_id, rank (from 1), vec_id and score of the k highest inner products of each query id of vectors (vec_id, v)."""
     most = k + 1
-    vectors = stored(vectors.select("vec_id", "v", is_query.alias("is_query")), "vectors")
+    counts = vectors.select("vec_id", "v", is_query.alias("is_query")).groupBy("v", "vec_id")
+    counts = stored(counts.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("asked")), "vectors")
     first = Window.partitionBy("v").orderBy("vec_id")
-    ids = vectors.select("v", "vec_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
-    classes = ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cls", F.monotonically_increasing_id()).withColumn("cutoff", F.lit(float("-inf")))
+    ids = counts.select("v", "vec_id", F.least("n", F.lit(k)).cast("int").alias("n")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= most)
+    classes = ids.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("x"))
+    classes = classes.select("v", F.flatten(F.transform("x", lambda x: F.array_repeat(x["vec_id"], x["n"]))).alias("ids"), F.when(F.size("x") == 1, F.col("x")[0]["vec_id"]).alias("sole_id"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+
+    # query ids that have a class for themselves, or more than one: these are told apart, others share the query of their vector
+    places = counts.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum("asked").alias("asked")).where("asked > 0")
+    alone = classes.where("sole_id is not null").select(F.col("sole_id").alias("vec_id")).distinct().withColumn("alone", F.lit(True))
+    owners = places.join(alone, "vec_id", "left").where("n > 1 OR alone").select(F.col("vec_id").alias("own_id")).withColumn("own", F.monotonically_increasing_id())
+    owners = stored(owners, "owners")
+    classes = classes.join(owners, F.col("sole_id") == F.col("own_id"), "left").select("v", "ids", "cls", F.coalesce("own", F.lit(-1)).alias("sole"), F.lit(float("-inf")).alias("cutoff"))
     classes = stored(classes, "classes")
-    asked = vectors.where("is_query").select("v").distinct()
-    queries = stored(classes.join(asked, "v", "left_semi"), "query-classes")
+    asked = counts.where("asked > 0").join(owners, F.col("vec_id") == F.col("own_id"), "left")
+    asked = stored(asked.select(F.col("vec_id").alias("query_id"), "v", "asked", "own_id", F.coalesce("own", F.lit(-2)).alias("sole")), "asked")
+    queries = asked.select("v", "sole", "own_id").distinct().withColumn("cls", F.monotonically_increasing_id()).withColumn("cutoff", F.lit(float("-inf")))
+    queries = stored(queries, "queries")
 
     n_blocks, n_query_blocks = parts_for(classes.count(), block), parts_for(queries.count(), query_block)
     candidates = stored(_blocks(classes, n_blocks, slices), "candidate-blocks")
@@ -134,7 +152,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, slices: int = 2,
     best = Window.partitionBy("q", "s").orderBy(F.desc("p"), "c")
     heads = heads.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("q", "c").distinct()
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    cutoffs = _exact(heads, classes).withColumn("n", F.row_number().over(ranked)).where(F.col("n") == most).select(F.col("q").alias("cls"), F.col("score").cast("double").alias("cutoff"))
+    cutoffs = _exact(heads, queries, classes).withColumn("n", F.row_number().over(ranked)).where(F.col("n") == most).select(F.col("q").alias("cls"), F.col("score").cast("double").alias("cutoff"))
     cutoffs = stored(cutoffs, "cutoffs")
 
     bounded = queries.drop("cutoff").join(cutoffs, "cls", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
@@ -142,15 +160,18 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, slices: int = 2,
     reached = units.mapInArrow(_scores(_reach(slices)), HEADS).groupBy("q", "c").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
     reached = stored(reached, "reached")
     complete = reached.where(F.col("n") == slices).select("q", "c", F.col("p").alias("score"))
-    resolved = _exact(reached.where(F.col("n") < slices).select("q", "c"), classes)
-    scored = complete.unionByName(resolved).join(classes.select(F.col("cls").alias("c"), "ids"), "c")
-    by_score = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
-    lists = scored.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= most)
-    lists = lists.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found")).join(queries.select(F.col("cls").alias("q"), "v"), "q").select("v", "found")
+    resolved = _exact(reached.where(F.col("n") < slices).select("q", "c"), queries, classes)
+    scored = complete.unionByName(resolved).join(classes.select(F.col("cls").alias("c"), "ids"), "c").join(queries.select(F.col("cls").alias("q"), "own_id"), "q")
+    least = F.filter("ids", lambda x: ~x.eqNullSafe(F.col("own_id")))[0]
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "least")
+    lists = scored.withColumn("least", least).withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= most)
+    lists = lists.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found")).join(queries.select(F.col("cls").alias("q"), "v", "sole"), "q").select("v", "sole", "found")
     lists = stored(lists, "lists")
 
     entry = F.flatten(F.transform("found", lambda x: F.transform(x["ids"], lambda i: F.struct((-x["score"]).alias("minus"), i.alias("vec_id")))))
     others = F.filter(entry, lambda x: x["vec_id"] != F.col("query_id"))
-    answers = vectors.where("is_query").select(F.col("vec_id").alias("query_id"), "v").join(lists, "v")
-    answers = answers.select("query_id", F.posexplode(F.slice(F.array_sort(others), 1, k)).alias("at", "x"))
-    return answers.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
+    answers = asked.join(lists, ["v", "sole"]).select("query_id", "asked", F.explode(F.slice(F.array_sort(others), 1, k)).alias("x"))
+    answers = answers.select("query_id", "x", F.explode(F.array_repeat(F.lit(0), F.least("asked", F.lit(k)).cast("int"))))
+    by_rank = Window.partitionBy("query_id").orderBy("x.minus", "x.vec_id")
+    answers = answers.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
+    return answers.select("query_id", "rank", F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))

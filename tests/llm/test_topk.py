@@ -42,3 +42,22 @@ def test_large_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(topk.whole_numbers(df, scale=1.0), F.col("vec_id") == 0, k=1).collect()]
     assert got == [(0, 1, 2, 2**52 + 4)]
+
+
+def test_repeated_ids(spark):
+    """As the query's SQL has it: rows of one query id share a list, repeated candidates count, own rows never do."""
+    rng = random.Random(21)
+    same = [3.0, 3.0]
+    rows = [(0, same)] * 8 + [(7, same), (1, same)] + [(7, same)] * 2  # own rows fill a class
+    rows += [(5, [float(i), 9.0]) for i in range(12)]  # one id, many vectors
+    rows += [(10, [2.0, 2.0]), (10, [1.0, 1.0]), (11, [0.0, 4.0]), (15, [4.0, 0.0]), (15, same)]
+    rows += [(i, [float(rng.randint(-2, 4)), float(rng.randint(-2, 4))]) for i in range(20, 50)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k, block in ((5, 4), (1, 3)):
+        merged = {}
+        for q, a in rows:
+            if q % 5 == 0:
+                merged.setdefault(q, []).extend((-int(256 * 256 * (a[0] * b[0] + a[1] * b[1])), i) for i, b in rows if i != q)
+        expected = sorted((q, n + 1, i, -s) for q, x in merged.items() for n, (s, i) in enumerate(sorted(x)[:k]))
+        found = topk.top_k(topk.whole_numbers(df), F.col("vec_id") % 5 == 0, k=k, query_block=3, block=block)
+        assert sorted(tuple(r) for r in found.collect()) == expected
