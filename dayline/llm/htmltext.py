@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags; script, style, comments and other raw elements never
 give text. Of each block the tree sees its words, the share of them in links, the same of both
 neighbours, whether an ancestor is marked as boilerplate (navigation, adverts, notices, forms, reader
-comments and the like, by element or by words of class, id or role), whether it lies in an article,
-and whether it is a heading.
+comments and the like, by element or by whole tokens and known compounds of class, id or role; what holds the article is not
+marked), with the share of the page's words outside that element, whether it lies in an article, and whether it
+is a heading.
 
 Defined cases: a null or empty page, or one without content blocks, has the empty text; broken
 markup, unclosed elements and missing ends are read as far as they go; white space inside a block
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Elements by what they do, and words of class, id or role that mark boilerplate or content.
 RAW = frozenset("script style noscript template textarea title svg iframe object select option math canvas video audio head".split())
@@ -37,6 +38,11 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus disclaimer footer form gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget".split()
 )
 
+#: Words that may stand beside a mark in a compound token (site-header, related-posts); others (has, with, no, overflow) make it a token of layout.
+BESIDE = frozenset("area articles bar block bottom box buttons container content entry fixed global icons inner item items left link links list main module outer page panel post posts primary right row secondary section site sticky text title top unit wrap wrapper".split())
+#: Marks of elements that can hold articles of their own.
+APART = frozenset("comment comments disqus recommended related replies reply respond".split())
+
 #: The labelled table: words, link density, words and link density of the block before, of the one after, marked, in an article, heading; then 1 for content. Fixed values.
 LABELLED = np.array(
     [
@@ -69,6 +75,9 @@ LABELLED = np.array(
         (60, 0.8, 40, 0.0, 70, 0.0, 0, 0, 0, 0), (30, 0.6, 60, 0.1, 40, 0.0, 0, 0, 0, 0), (20, 1.0, 5, 1.0, 6, 1.0, 0, 0, 0, 0), (90, 0.9, 1, 1.0, 80, 0.0, 0, 0, 0, 0), (5, 1.0, 80, 0.0, 70, 0.0, 0, 0, 0, 0),
     ]
 )
+#: The mark is the share of the page's words outside the marked element: blocks are as above if it is a quarter or more, and as if unmarked below a mark that holds nearly the whole page.
+LABELLED = np.concatenate([LABELLED, LABELLED])
+LABELLED[len(LABELLED) // 2 :, 6] = np.where(LABELLED[len(LABELLED) // 2 :, 6] == 1, 0.25, 0.15)
 
 
 class Tree:
@@ -112,41 +121,58 @@ def tree() -> Tree:
     return _TREE[0]
 
 
-def _marked(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes mark boilerplate, and whether they mark the main part."""
-    out = main = False
+def _is_mark(token: str) -> bool:
+    """Whether a token of class, id or role is a mark, or a known compound with one."""
+    parts = [p for p in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if p]
+    if len(parts) > 1 and "hidden" in parts:
+        return set(parts) <= {"hidden", "visually", "is"}
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in BESIDE for p in parts)
+
+
+def _marked(attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes hide an element, mark it as boilerplate, mark it as one that can hold articles of its own, and mark the main part."""
+    hidden = out = apart = main = False
     for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        name = name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            out = True
+        value, name = a or b or c, name.lower()
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            hidden = True
         elif name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value))
-            out = out or bool(words & MARKS) or value in ("complementary", "contentinfo")
-            main = main or (name == "role" and value in ("main", "article"))
-    return out, main
+            marks = [t.lower() for t in value.split() if _is_mark(t)]
+            out = out or bool(marks) or value.lower() in ("complementary", "contentinfo")
+            apart = apart or any(w in APART for t in marks for w in re.split(r"[^a-z]+", t))
+            main = main or (name == "role" and value.lower() in ("main", "article"))
+    return hidden, out, apart, main
+
+
+class _Element:
+    """An open element: closed to content for certain (hard) or by a mark (soft), and the words below it."""
+
+    def __init__(self, name: str, attrs: str):
+        hidden, marked, self.apart, main = _marked(attrs) if attrs else (False,) * 4
+        self.name, self.inside, self.words = name, main or name in INSIDE, 0
+        self.hard = hidden or (name in OUTSIDE and name != "form")
+        self.soft = (marked or name == "form") and name != "main"
+        self.header = name == "header" or (marked and not hidden and "header" in attrs.lower())
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """Text, words, linked words, marked, in an article, heading of each block that has text, in page order."""
+def blocks(page: str | None) -> list[tuple[str, int, int, float, bool, bool]]:
+    """Text, words, linked words, mark, in an article, heading of each block that has text, in page order. The mark is 0 without one, 1 in elements that never hold content, else the share of the page's words outside the marked element."""
     page = page or ""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+    out: list[tuple[str, int, int, list[_Element], bool, bool]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, marked, in an article, marked by header alone
-    in_link, heading, at, end = False, False, 0, len(page)
+    stack: list[_Element] = []
+    in_link, heading, found, at, end = False, False, False, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            marked = any(m for _, m, _, _ in stack)
-            inside = any(i for _, _, i, _ in stack)
-            if heading and inside and marked and not any(m and not h for _, m, _, h in stack):
-                marked = False  # an article's own title in its header
             n = text.count(" ") + 1
-            out.append((text, n, min(n, linked), marked, inside, heading))
+            for x in stack:
+                x.words += n
+            out.append((text, n, min(n, linked), [x for x in stack if x.hard or x.soft], any(x.inside for x in stack), heading))
         linked = 0
 
     while at < end:
@@ -183,15 +209,25 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
                 pass
             elif closing:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
+                    if stack[i].name == name:
                         del stack[i:]
                         break
             if not closing and name not in VOID and not (name[0] == "h" and name[1:].isdigit()) and name not in OPEN:
-                marked, main = _marked(attrs) if attrs else (False, False)
-                header = name == "header" or (marked and "header" in attrs.lower())
-                stack.append((name, marked or name in OUTSIDE, main or name in INSIDE, header))
+                element = _Element(name, attrs)
+                if element.inside and not (element.hard or element.soft or any(x.hard for x in stack)) and (name == "main" or not found):
+                    found = True
+                    for x in stack:  # what holds the article is no boilerplate
+                        x.soft = x.soft and x.apart and name != "main"
+                stack.append(element)
     flush()
-    return out
+    total, read = sum(b[1] for b in out), []
+    for text, n, n_linked, marks, inside, is_heading in out:
+        marks = [x for x in marks if x.hard or x.soft]
+        if is_heading and inside and all(x.header for x in marks):
+            marks = []  # an article's own title in its header
+        mark = max((1.0 if x.hard else 1 - x.words / total for x in marks), default=0.0)
+        read.append((text, n, n_linked, mark, inside, is_heading))
+    return read
 
 
 def main_text(page: str | None) -> str:
@@ -199,10 +235,10 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     density = [b[2] / b[1] for b in found]
     classify, kept = tree(), []
-    for i, (text, n, _, marked, inside, heading) in enumerate(found):
+    for i, (text, n, _, mark, inside, heading) in enumerate(found):
         before = (found[i - 1][1], density[i - 1]) if i else (0, 0.0)
         after = (found[i + 1][1], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        if classify((n, density[i], *before, *after, marked, inside, heading)):
+        if classify((n, density[i], *before, *after, mark, inside, heading)):
             kept.append(text)
     return "\n\n".join(kept)
 

@@ -89,6 +89,27 @@ def test_main_text(page):
     assert htmltext.main_text(page) == PAGES[page]
 
 
+LONG = " ".join(["word"] * 40)
+WRAPPED = [
+    "<body class='has-sidebar'><div class='overflow-hidden'><div id='content-with-sidebar'><p>{}</p></div></div></body>",
+    "<article><p>x y z</p><div title='The hidden valley' data-hidden='false'><p>{}</p></div></article>",
+    "<div class='sidebar'><div class='menu'><a>One</a></div><article><p>{}</p></article></div>",
+    "<form id='aspnetForm'><nav><a>Home</a></nav><main class='search'><p>{}</p></main></form>",
+    "<div class='modal'><p>{}</p></div>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers(page):
+    assert LONG in htmltext.main_text(page.format(LONG))
+
+
+@pytest.mark.parametrize("mark", ["class='related-posts'", "id=comments", "class='x siteFooter'", "class='cookie-notice'", "role=complementary", "hidden", "style='display: none'"])
+def test_marks_hold(mark):
+    page = f"<div class='wrap'><article><p>{LONG}</p></article></div><div {mark}><article><p>other {LONG}</p></article></div>"
+    assert htmltext.main_text(page) == LONG
+
+
 def test_tree_learns_its_table():
     tree = htmltext.tree()
     assert all(tree(tuple(r[:-1])) == bool(r[-1]) for r in htmltext.LABELLED)
