@@ -7,8 +7,10 @@ texts that any labeller finds bad; no quality label is learned. The posterior
 labels of a sample train a logistic scorer over hashed features of the text: token shapes, their
 successions, repeats, and the measures in steps.
 
-The sample holds at most max_rows documents, those with the smallest hashes of their ids; it is
-fitted on the driver, and scoring runs on the executors over whole texts.
+Every document votes, on the executors, and the label model is fitted on the counts of the patterns
+of votes: a vote is cast or not, so there are at most 2 ** 11. The scorer is fitted on the driver on at
+most max_rows documents: a quarter of them dealt evenly to the patterns, the rest by their counts,
+those with the smallest hashes of id and text. Scoring runs on the executors over whole texts.
 
 Defined cases: a null text is empty; an empty text has the measures of no words and is scored like
 any other; repeated rows come back as often as they occur; an empty table gives no rows; other
@@ -27,9 +29,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Number of hashed features.
 BUCKETS = 1 << 14
 GOOD, BAD, NONE = 1, 0, -1
@@ -108,16 +112,18 @@ def votes(m: dict[str, float]) -> list[int]:
     return [*out, GOOD if all(low <= m[k] <= high for k, (low, high) in ORDINARY.items()) else NONE]
 
 
-def posterior(table: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Of votes (rows by labellers): the probability of class good, by expectation-maximisation with rates of bad, good and no vote for each labeller and class."""
+def posterior(table: np.ndarray, count: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
+    """Of votes (rows by labellers, each standing for count documents): the probability of class good, by expectation-maximisation with rates of bad, good and no vote for each labeller and class."""
     if not len(table):
         return np.empty(0)
+    count = np.ones(len(table)) if count is None else count
     kinds = np.stack([table == BAD, table == GOOD, table == NONE], axis=2).astype(float)
     post = np.where((table == BAD).any(axis=1), 0.1, 0.9)
     for _ in range(rounds):
-        rate = (post.sum() + 1) / (len(post) + 2)
-        good = (np.einsum("r,rlk->lk", post, kinds) + 0.1) / (post.sum() + 0.3)
-        bad = (np.einsum("r,rlk->lk", 1 - post, kinds) + 0.1) / ((1 - post).sum() + 0.3)
+        n_good, n_bad = float(count @ post), float(count @ (1 - post))
+        rate = (n_good + 1) / (count.sum() + 2)
+        good = (np.einsum("r,rlk->lk", count * post, kinds) + 0.1) / (n_good + 0.3)
+        bad = (np.einsum("r,rlk->lk", count * (1 - post), kinds) + 0.1) / (n_bad + 0.3)
         logit = np.log(rate / (1 - rate)) + np.einsum("rlk,lk->r", kinds, np.log(good / bad))
         now = 1 / (1 + np.exp(-logit.clip(-30, 30)))
         if np.abs(now - post).max() < 1e-5:
@@ -126,6 +132,30 @@ def posterior(table: np.ndarray, rounds: int = 50) -> np.ndarray:
     return now
 
 
+def pattern(cast: list[int]) -> int:
+    """The votes as bits: each labeller votes for one class or not at all."""
+    return sum(1 << i for i, v in enumerate(cast) if v != NONE)
+
+
+def cast(patterns: np.ndarray) -> np.ndarray:
+    """The votes of patterns, rows by labellers."""
+    bits = patterns[:, None] >> np.arange(len(LABELLERS) + 1) & 1
+    return np.where(bits == 1, np.array([BAD] * len(LABELLERS) + [GOOD]), NONE)
+
+
+def quotas(count: np.ndarray, max_rows: int) -> np.ndarray:
+    """Rows for each pattern, max_rows at most in all: a quarter of them dealt evenly, the rest by the counts left; of more patterns than rows, the most frequent have one each."""
+    if count.sum() <= max_rows:
+        return count.astype(np.int64)
+    if len(count) >= max_rows:
+        out = np.zeros(len(count), dtype=np.int64)
+        out[np.argsort(-count, kind="stable")[:max_rows]] = 1
+        return out
+    out = np.minimum(count, max(1, max_rows // 4 // len(count))).astype(np.int64)
+    left = count - out
+    return out + (left * ((max_rows - out.sum()) / left.sum())).astype(np.int64)
+
+
 def hashed(look: Look) -> dict[int, float]:
     """Hashed features: roots of the shares of token shapes and of pairs of shapes, and the measures in steps."""
     out: dict[int, float] = {}
@@ -164,10 +194,29 @@ def fit(texts: list[str | None]) -> tuple[np.ndarray, float]:
 
 
 def train(documents: DataFrame, *, max_rows: int = 3000) -> tuple[np.ndarray, float]:
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("text").limit(max_rows)  # max_rows bounds it
-    return fit([r["text"] for r in sample.collect()])
+    @F.arrow_udf("int")
+    def voted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([pattern(votes(Look(t.as_py()).measures)) for t in texts], pa.int32())
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = stored(rows.select("doc_id", F.xxhash64("text").alias("h"), voted(F.col("text")).alias("pattern")), "votes")
+    counted = dealt.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()  # 2 ** 11 at most
+    patterns, n = (np.array([r[k] for r in counted], dtype=np.int64) for k in ("pattern", "n"))
+    post = posterior(cast(patterns), n.astype(float))
+
+    named = dealt.where("doc_id is not null").distinct().withColumn("u", F.xxhash64("doc_id", "h"))
+    sizes = named.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
+    n = np.array([r["n"] for r in sizes], dtype=np.int64)
+    quota = quotas(n, max_rows)
+    # twice the quota and 50 rows are let through by their hashes, so that no pattern is sorted whole
+    upto = [int(min(1.0, (2 * q + 50) / m) * (2**64 - 1)) - 2**63 for q, m in zip(quota.tolist(), n.tolist(), strict=True)]
+    shares = documents.sparkSession.createDataFrame([(r["pattern"], q, min(u, 2**63 - 1)) for r, q, u in zip(sizes, quota.tolist(), upto, strict=True)], "pattern int, quota long, upto long")
+    by_hash = Window.partitionBy("pattern").orderBy("u", "doc_id", "h")
+    chosen = named.join(F.broadcast(shares), "pattern").where("u <= upto").withColumn("at", F.row_number().over(by_hash)).where("at <= quota").select("doc_id", "h", "pattern", "u")
+    sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    sample = sample.orderBy("u", "doc_id", "h").select("text", "pattern").collect()  # max_rows bounds it
+    return train_scorer([hashed(Look(r["text"])) for r in sample], post[np.searchsorted(patterns, [r["pattern"] for r in sample])])
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

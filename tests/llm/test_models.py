@@ -89,6 +89,31 @@ def test_main_text(page):
     assert htmltext.main_text(page) == PAGES[page]
 
 
+def test_rare_junk_is_learned(spark):
+    """A kind of junk too rare for the 3,000 smallest hashes of ids: the label model counts it, and the scorer is trained on it."""
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("abdeghiklmnoprst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    good = lambda: " ".join(rng.choices(plain, k=40)) + "."
+    ids = spark.range(4000).orderBy(F.xxhash64("id"), "id").collect()
+    rows = [(r["id"], good()) for r in ids]
+    rows[-10:] = [(i, t.replace(" ", " | ")) for i, t in rows[-10:]]
+    rows[-60:-10] = [(i, " ".join(["again"] * 80)) for i, _ in rows[-60:-10]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r["doc_id"]: r["quality"] for r in quality.score(docs, quality.train(docs, max_rows=1000)).collect()}
+    assert all(score[i] < 0.5 for i, _ in rows[-60:])
+    assert np.mean([score[i] >= 0.5 for i, _ in rows[:-60]]) > 0.99
+
+
+def test_patterns_and_quotas():
+    table = np.array([[quality.BAD] * 2 + [quality.NONE] * 9, [quality.NONE] * 10 + [quality.GOOD]])
+    patterns = np.array([quality.pattern(v) for v in table.tolist()])
+    assert (quality.cast(patterns) == table).all()
+    assert np.allclose(quality.posterior(table, np.array([3.0, 40.0])), quality.posterior(np.repeat(table, [3, 40], axis=0))[[0, -1]])
+    assert quality.quotas(np.array([5, 10**6, 300]), 100).tolist()[0] == 5
+    assert quality.quotas(np.array([5, 10**6, 300]), 100).sum() <= 100
+    assert quality.quotas(np.arange(1, 51), 10).sum() == 10
+
+
 LONG = " ".join(["word"] * 40)
 WRAPPED = [
     "<body class='has-sidebar'><div class='overflow-hidden'><div id='content-with-sidebar'><p>{}</p></div></div></body>",
