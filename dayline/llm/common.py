@@ -16,12 +16,15 @@ SPACE = "\\x20\\x09-\\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Where the session names none (tests in local mode), a temporary folder is made and set.
+    Where the session names none, a temporary folder is made and set in local mode (tests); on a
+    cluster, whose executors could not see it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dayline-"))
             current = spark.sparkContext.getCheckpointDir()
         return current
@@ -47,12 +50,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables made by stored() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def unused(name: str, *taken: str) -> str:
+    """name, with as many underscores as no taken column's name has (Spark takes names of either case for equal)."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -1,8 +1,9 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
 Each document's ids are cut at multiples of the sequence length. The pieces are dealt to groups by
-a hash of their own values; each group of bounded expected size is packed by itself, so no step
-sees more than a group. Groups hold pieces, not documents, so a very long document spreads out.
+a hash of their own values and of the partition they are read in; each group of bounded expected size
+is packed by itself, so no step sees more than a group. Groups hold pieces, not documents, so a very
+long document spreads out, and repeated rows of different partitions go to different groups.
 
 Defined cases: a null or empty text is one piece holding the end id alone; a null doc_id is kept
 as null; repeated rows are packed as often as they occur; an empty table gives no rows; other
@@ -15,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +81,14 @@ def pieces(documents: DataFrame, vocab: str, *, kind: str = "word", end_id: int
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = encoder(vocab, kind)
+        encode, origin = encoder(vocab, kind), TaskContext.get().partitionId()
         for batch in batches:
             rows, n_bytes = [], 0
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = encode(text.as_py()) + end
                 for at in range(0, len(ids), 4 * size):
                     part = ids[at : at + 4 * size]
-                    rows.append((doc, at // 4, len(part) // 4, len(ids) // 4, part, zlib.crc32(f"{doc},{at},{zlib.crc32(part)}".encode()) % n_groups))
+                    rows.append((doc, at // 4, len(part) // 4, len(ids) // 4, part, zlib.crc32(f"{doc},{at},{zlib.crc32(part)},{origin}".encode()) % n_groups))
                 n_bytes += len(ids)
                 if n_bytes > 8_000_000:
                     yield _batch(rows)

@@ -2,8 +2,9 @@
 
 A fingerprint has 8 bytes, so two that differ in at most 4 bits share at least 4 bytes in place.
 Of any 4 positions, 3 form one of the 20 triples below, so every such pair meets in a posting list
-keyed by a triple of positional bytes. Pairs that meet are tallied by the bytes they share, those
-with fewer than the guaranteed 4 fall, and the rest is verified bit by bit.
+keyed by a triple of positional bytes. Of pairs that meet, the bytes shared in place are tallied over
+all positions; those with fewer than the guaranteed 4 fall, and the rest is verified bit by bit. This
+holds in lists of any length.
 
 Copies share a fingerprint and enter the index once. Posting lists of up to LIGHT fingerprints are
 joined; longer ones are dealt to pairs of blocks, each of which returns a spanning forest of its
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 N_BYTES = 8
 #: Posting lists up to this long are joined row by row.
@@ -106,18 +107,21 @@ def _postings(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _shared_bytes(x: Column) -> Column:
-    """Of the exclusive or of two fingerprints: how many bytes they share in place."""
-    return reduce(lambda a, b: a + b, [(_byte(x, i) == 0).cast("int") for i in range(N_BYTES)])
+def _tally(a: Column, b: Column) -> Column:
+    """How many bytes two fingerprints share in place."""
+    return reduce(lambda x, y: x + y, [(_byte(a, i) == _byte(b, i)).cast("int") for i in range(N_BYTES)])
 
 
 def _forest(max_bits: int):
     def links(table: pa.Table) -> pa.Table:
         """Of one pair of blocks: each fingerprint linked to the smallest that it reaches inside the pair."""
         fps = np.unique(table["fp"].to_numpy())
+        by_place = np.ascontiguousarray(fps.astype("<i8").view(np.uint8).reshape(-1, N_BYTES).T)
         near = np.zeros((len(fps), len(fps)), dtype=bool)
         for i, fp in enumerate(fps):
-            near[i] = np.bitwise_count(fps ^ fp) <= max_bits
+            tally = (by_place == by_place[:, i : i + 1]).sum(axis=0, dtype=np.uint8)
+            met = np.flatnonzero(tally >= N_BYTES - max_bits)
+            near[i, met] = np.bitwise_count(fps[met] ^ fp) <= max_bits
         label, before = np.arange(len(fps)), None
         while before is None or (label != before).any():
             before = label
@@ -140,9 +144,8 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     heavy = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIGHT), "heavy-keys")
     light = postings.join(heavy.select("key"), "key", "left_anti")
     a, b = light.select("key", F.col("fp").alias("a")), light.select("key", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    close = (F.col("a") < F.col("b")) & (_shared_bytes(x) >= N_BYTES - max_bits) & (F.bit_count(x) <= max_bits)
-    pairs = a.join(b, "key").where(close).select("a", "b").distinct()
+    tallied = a.join(b, "key").where("a < b").withColumn("tally", _tally(F.col("a"), F.col("b"))).where(F.col("tally") >= N_BYTES - max_bits)
+    pairs = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
 
     rows = postings.join(heavy, "key")
     n_blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -368,7 +371,7 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, **parameters) -> DataFrame:
-    """The rows of documents, with all their columns, that stand for their group of near_copies(): the one with the smallest doc_id (a null id only if there is no other)."""
+    """The rows of documents, with all their columns, that stand for their group of near_copies(): the one with the smallest doc_id (a null id only if there is no other); of rows with its id and text, the one with the smallest hash of all columns."""
     docs, rooted = near_copies(documents, **parameters)
     members = docs.groupBy("c").agg(F.min("doc_id").alias("first_id")).join(rooted, "c")
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "c")).alias("x")
@@ -380,9 +383,18 @@ def keep_one(documents: DataFrame, **parameters) -> DataFrame:
             yield pa.array(np.array([_content(t.as_py())[0] for t in texts], dtype="<u8").view(np.int64))
 
     columns = documents.columns
-    rows = documents.withColumn("kept_c", content(F.col("text").cast("string")))
-    same = [rows["kept_c"] == kept["kept_c"], rows["doc_id"].cast("long").eqNullSafe(kept["kept_id"])]
+    own_c, one = unused("own_c", *columns), unused("of_equal_rows", *columns)
+    kept = kept.withColumnsRenamed({"kept_c": unused("kept_c", *columns), "kept_id": unused("kept_id", *columns)})
+    rows = documents.withColumn(own_c, content(F.col("text").cast("string")))
+    same = [F.col(own_c) == F.col(kept.columns[0]), F.col("doc_id").cast("long").eqNullSafe(F.col(kept.columns[1]))]
     rows = rows.join(kept, same, "left_semi")
     if docs.groupBy("doc_id", "c").count().where("count > 1").isEmpty():
         return rows.select(*columns)
-    return rows.dropDuplicates(["doc_id", "kept_c"]).select(*columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    first = rows.groupBy(F.col("doc_id").cast("long").alias("k"), F.col(own_c).alias("c")).agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in columns if not _unhashed(documents.schema[c].dataType)])).alias(one))
+    return first.select(f"{one}.*")
+
+
+def _unhashed(kind) -> bool:
+    """Maps, which have no hash."""
+    return "map<" in kind.simpleString()

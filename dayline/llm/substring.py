@@ -11,8 +11,9 @@ range comes from a second, independent polynomial, so two windows are taken for
 64 bits and the range both agree.
 
 Defined cases: a null text has no words and keeps nothing; an empty text likewise; texts shorter
-than the window lose nothing; repeated rows cover each other; a null doc_id is kept; an empty
-table gives no rows; all columns of the input are kept beside the result.
+than the window lose nothing; repeated rows cover each other, and are dealt by the partition they come
+from, so that no part holds them all; a null doc_id is kept; an empty table gives no rows; all columns
+of the input are kept beside the result, those with a result's name as input_<name>.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import part_of, parts_for, text_bytes
+from .common import part_of, parts_for, text_bytes, unused
 
 #: Odd multipliers of the two polynomials (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -89,12 +90,12 @@ def _words(text) -> list[bytes]:
     return (text.as_py() or "").encode("utf-8", "surrogatepass").split()
 
 
-def _send(window: int, n_ranges: int):
+def _send(column: str, window: int, n_ranges: int):
     """A part's rows to its distinct window hashes: one row for each range, sorted, with a mark on those it holds twice."""
 
     def run(table: pa.Table) -> pa.Table:
         hasher, hashes, ranges = Hasher(window), [], []
-        for text in table["text"]:
+        for text in table[column]:
             h, second = hasher(_words(text))
             hashes.append(h)
             ranges.append(((second >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32))
@@ -139,7 +140,7 @@ def intervals(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(hit[np.append(0, gap + 1)].tolist(), (hit[np.append(gap, len(hit) - 1)] + window).tolist(), strict=True))
 
 
-def _cut(window: int, n_ranges: int, schema: pa.Schema):
+def _cut(column: str, window: int, n_ranges: int, schema: pa.Schema):
     def run(rows: pa.Table, back: pa.Table) -> pa.Table:
         hasher, out = Hasher(window), {"n_words": [], "removed": [], "kept": []}
         sets = dict(zip(back["range"].to_pylist(), back["hashes"], strict=True))
@@ -148,7 +149,7 @@ def _cut(window: int, n_ranges: int, schema: pa.Schema):
         at = np.repeat(np.array(list(sets), dtype=np.int64), [len(b.as_py()) // 8 for b in sets.values()]) if sets else np.empty(0, dtype=np.int64)
         order = np.lexsort((at, keys))
         keys, at = keys[order], at[order]
-        for text in rows["text"]:
+        for text in rows[column]:
             words = _words(text)
             h, second = hasher(words)
             spans: list[tuple[int, int]] = []
@@ -172,33 +173,59 @@ def _cut(window: int, n_ranges: int, schema: pa.Schema):
             out["n_words"].append(len(words))
             out["removed"].append([{"start": a, "end": b} for a, b in spans])
             out["kept"].append(b" ".join(kept))
-        rows = rows.select([n for n in schema.names if n not in out])
+        rows = rows.drop_columns(["part"])
         kept = pa.array(out["kept"], pa.binary()).cast(pa.string())
         return pa.Table.from_arrays([*rows.columns, pa.array(out["n_words"], pa.int64()), pa.array(out["removed"], schema.field("removed").type), kept], names=schema.names)
 
     return run
 
 
-def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 3 << 20, range_bytes: int = 4 << 20) -> DataFrame:
-    """The documents with n_words long, removed array<struct<start,end>> (word intervals, end excluded) and kept string (words left, joined by one space).
+#: Columns of the result beside the input's.
+RESULT = ("n_words", "removed", "kept")
 
-    part_bytes is the expected text of a part, range_bytes about the hashes counted at once; both
-    bound what a task holds, and their numbers grow with the input.
-    """
+
+def _dedup(documents: DataFrame, window: int, part_bytes: int, range_bytes: int) -> DataFrame:
+    """The input's columns as c0, c1, ... and then those of RESULT."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    taken = {"part", "n_words", "removed", "kept"} & set(documents.columns)
-    if taken:
-        documents = documents.withColumnsRenamed({c: f"input_{c}" for c in taken})
     n_bytes = text_bytes(documents)
     n_parts, n_ranges = parts_for(n_bytes, part_bytes), parts_for(n_bytes, range_bytes)
-    named = [c for c in ("doc_id", "text") if c in documents.columns]
-    docs = documents.withColumn("text", F.col("text").cast("string")).withColumn("part", part_of(n_parts, *named)).repartition(n_parts, "part")
+    # a partition's number spreads rows that are repeated
+    part = part_of(n_parts, F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0)), F.spark_partition_id())
+    text = f"c{documents.columns.index('text')}"
+    columns = [(F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(documents.columns)]
+    documents = documents.select(*columns, part.alias("part"))
+    docs = documents.repartition("part")
     # all columns, so that both readings of the parts share one exchange
-    sent = docs.groupBy("part").applyInArrow(_send(window, n_ranges), "range int, part int, hashes binary, twice binary")
+    sent = docs.groupBy("part").applyInArrow(_send(text, window, n_ranges), "range int, part int, hashes binary, twice binary")
     back = sent.groupBy("range").applyInArrow(_count, "part int, range int, hashes binary")
     result = StructType.fromDDL("n_words long, removed array<struct<start: long, end: long>>, kept string")
-    schema = StructType([*documents.withColumn("text", F.col("text").cast("string")).schema.fields, *result.fields])
-    cut = _cut(window, n_ranges, to_arrow_schema(schema))
+    schema = StructType([*documents.drop("part").schema.fields, *result.fields])
+    cut = _cut(text, window, n_ranges, to_arrow_schema(schema))
     return docs.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(cut, schema)
+
+
+def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+    """The documents with n_words long, removed array<struct<start,end>> (word intervals, end excluded) and kept string (words left, joined by one space).
+
+    part_bytes is the expected text of a part, range_bytes about the hashes counted at once; both
+    bound what a task holds, and their numbers grow with the input.
+    """
+    cut, names = _dedup(documents, window, part_bytes, range_bytes), []
+    for c in documents.columns:
+        names.append(unused(f"input_{c}", *documents.columns, *names) if c.lower() in RESULT else c)
+    return cut.toDF(*names, *RESULT)
+
+
+def without_repeats(documents: DataFrame, *, window: int = 35, part_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+    """The documents with their own columns, repeated passages cut from text (and n_chars, if there is one, counted anew); a document whose every word goes is dropped, texts that lose nothing stay as they are."""
+    cut, lost, out = _dedup(documents, window, part_bytes, range_bytes), F.size("removed") > 0, []
+    for i, c in enumerate(documents.columns):
+        if c == "text":
+            out.append(F.when(lost, F.col("kept")).otherwise(F.col(f"c{i}")).alias(c))
+        elif c == "n_chars":
+            out.append(F.when(lost, F.length("kept").cast(documents.schema[c].dataType)).otherwise(F.col(f"c{i}")).alias(c))
+        else:
+            out.append(F.col(f"c{i}").alias(c))
+    return cut.where("size(removed) = 0 OR kept <> ''").select(*out)

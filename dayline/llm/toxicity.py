@@ -7,13 +7,15 @@ rates in both classes by expectation-maximisation, measures how voters correlate
 and lets correlated voters share their weight. The posterior labels of the sample train a logistic
 classifier on words and word beginnings, which scores whole texts.
 
-The sample holds at most max_rows labelled rows, those with the smallest hashes of their ids; it is
-fitted on the driver, and everything else runs on the executors.
+The sample holds at most max_rows labelled rows, those with the smallest hashes of their ids, and of
+them the first max_bytes of text at most; it is fitted on the driver, and everything else runs on the
+executors.
 
 Defined cases: a null text is empty; an empty text has the score of no features at all; a row
 without label, or with a null one, does not train; with no usable labels, or none of one class,
 every score is the class rate (0 without labels); a null doc_id is held out if its crc32 as an empty
-text says so; repeated rows come back as often as they occur; other columns stay unused.
+text says so; repeated rows come back as often as they occur, and a labelled id with several texts trains
+with one of them, the first by hash; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -173,12 +175,14 @@ def fit(texts: list[str | None], labels: list[int], *, most_features: int = 200)
     return {bags.names[f]: float(v) for f, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-4}, float(w[-1])
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, train: Column) -> list:
-    """At most max_rows labelled rows (text, y) for which train holds, by the smallest hashes of their ids."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).select("doc_id", F.col(label).cast("int").alias("y"))
+def sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, train: Column) -> list:
+    """At most max_rows labelled rows (text, y) for which train holds, by the smallest hashes of their ids, and of them as many as hold max_bytes of text together."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows bounds it
-    return rows.select("text", "y").limit(max_rows).collect()
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_rows rows
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").collect()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -207,8 +211,8 @@ class Scorer:
         return 1 / (1 + np.exp(-min(30.0, max(-30.0, self.constant + sum(weights[f] for f in sorted(hit))))))
 
 
-def score(documents: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """All columns of documents, and toxicity double (in place of a column of that name). Only texts go to Python and only scores come back."""
+def score_of(text: Column, model: tuple[dict[str, float], float]) -> Column:
+    """The score of a text. Only texts go to Python and only scores come back."""
 
     @F.arrow_udf("double")
     def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -216,9 +220,19 @@ def score(documents: DataFrame, model: tuple[dict[str, float], float]) -> DataFr
         for texts in batches:
             yield pa.array([scorer(t.as_py()) for t in texts], pa.float64())
 
-    return documents.withColumn("toxicity", toxicity(F.col("text").cast("string")))
+    return toxicity(text.cast("string"))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, max_rows: int = 4000) -> tuple[dict[str, float], float]:
-    rows = sample(documents, labels, "toxic", max_rows, ~held_out())
+def score(documents: DataFrame, model: tuple[dict[str, float], float], column: str = "toxicity") -> DataFrame:
+    """All columns of documents, and the score as a double, which takes the place of a column of its name."""
+    return documents.withColumn(column, score_of(F.col("text"), model))
+
+
+def drop_toxic(documents: DataFrame, model: tuple[dict[str, float], float], threshold: float = 0.5) -> DataFrame:
+    """The rows of documents, with their columns as they are, whose text scores below the threshold."""
+    return documents.where(score_of(F.col("text"), model) < threshold)
+
+
+def train(documents: DataFrame, labels: DataFrame, *, max_rows: int = 4000, max_bytes: int = 64 << 20) -> tuple[dict[str, float], float]:
+    rows = sample(documents, labels, "toxic", max_rows, max_bytes, ~held_out())
     return fit([r["text"] for r in rows], [r["y"] for r in rows])

@@ -94,23 +94,14 @@ def test_too_many_bits(documents):
         simhash.near_duplicates(documents, max_bits=5)
 
 
-def long_fingerprint(text):
-    w = set(WORD.findall(lower(text)))
-    out = 0
-    for seed in range(4):
-        hs = [xxhash.xxh64_intdigest(x.encode(), seed) for x in w]
-        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << (64 * seed)
-    return out
-
-
 def shingles(text, n=5):
     w = WORD.findall(lower(text))
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
 def groups_of(rows):
-    """Rows joined where their words are equal, or 19 bits and a similarity of 0.8 hold."""
-    sets, fps = [shingles(t) for _, t in rows], [long_fingerprint(t) for _, t in rows]
+    """Rows joined where their words are equal or the similarity of 0.8 holds, and by nothing else."""
+    sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -120,7 +111,7 @@ def groups_of(rows):
 
     for i, j in combinations(range(len(rows)), 2):
         same = sets[i] == sets[j] and WORD.findall(lower(rows[i][1])) == WORD.findall(lower(rows[j][1]))
-        if same or ((fps[i] ^ fps[j]).bit_count() <= 19 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+        if same or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
             a, b = find(i), find(j)
             parent[max(a, b)] = min(a, b)
     out = {}
@@ -167,26 +158,6 @@ def test_crowd(spark, monkeypatch):
     assert ids_of(r["doc_id"] for r in kept.collect()) == [0, *range(500, 550)]
 
 
-def alike_groups(rows):
-    """Rows joined where the similarity of 0.8 holds, and by nothing else."""
-    sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in combinations(range(len(rows)), 2):
-        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            a, b = find(i), find(j)
-            parent[max(a, b)] = min(a, b)
-    out = {}
-    for i, row in enumerate(rows):
-        out.setdefault(find(i), []).append(row)
-    return list(out.values())
-
-
 def fresh(rng, n):
     return " ".join(f"w{rng.getrandbits(48)}" for _ in range(n))
 
@@ -200,7 +171,7 @@ def test_contiguous_edits(spark):
         text = fresh(rng, 100)
         rows += [(10 * i, text), (10 * i + 1, text.rsplit(" ", 5)[0] + " " + fresh(rng, 5))]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert ids_of(r["doc_id"] for r in kept.collect()) == ids_of(min(d for d, _ in g) for g in alike_groups(rows))
+    assert ids_of(r["doc_id"] for r in kept.collect()) == ids_of(min(d for d, _ in g) for g in groups_of(rows))
 
 
 def test_bands():
@@ -223,7 +194,7 @@ def test_crowds_by_similarity(spark, monkeypatch):
     base = fresh(rng, 100)
     rows += [(2000 + i, base + " " + fresh(rng, 60)) for i in range(90)]  # of one template, 0.45
     rows += [(2500 + i, t + " " + fresh(rng, 3)) for i, (_, t) in enumerate(rows[-12:])]
-    expected = ids_of(min(d for d, _ in g) for g in alike_groups(rows))
+    expected = ids_of(min(d for d, _ in g) for g in groups_of(rows))
     assert len(expected) == 1 + 80 + 90
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for light, sets in ((64, 512), (2, 20)):
@@ -248,7 +219,7 @@ def covered(texts, n):
 @pytest.mark.parametrize("window", [1, 5, 35])
 def test_substring(documents, corpus, window):
     got = substring.dedup(documents, window=window, part_bytes=3000, range_bytes=1500)
-    assert [c for c in got.columns if c.startswith("input_")] == ["input_kept", "input_part"]
+    assert [c for c in got.columns if c.startswith("input_")] == ["input_kept"]
     rows = Counter((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept"]) for r in got.collect())
     assert rows == Counter((doc, *x) for (doc, _), x in zip(corpus, covered([t for _, t in corpus], window), strict=True))
 
