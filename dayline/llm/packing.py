@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, text_bytes
-from .tokens import encoder
+from .tokens import encoder, few_at_once
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, grp long"
 PACKED = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
@@ -78,22 +78,17 @@ def _pack_group(size: int):
 
 def pieces(documents: DataFrame, vocab: str, *, kind: str = "word", end_id: int = 1, size: int = 2048, n_groups: int = 1) -> DataFrame:
     """Each document's ids with the end id, cut at multiples of size, with the group that packs the piece."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         encode, origin = encoder(vocab, kind), TaskContext.get().partitionId()
         for batch in batches:
-            rows, n_bytes = [], 0
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encode(text.as_py()) + end
-                for at in range(0, len(ids), 4 * size):
-                    part = ids[at : at + 4 * size]
-                    rows.append((doc, at // 4, len(part) // 4, len(ids) // 4, part, zlib.crc32(f"{doc},{at},{zlib.crc32(part)},{origin}".encode()) % n_groups))
-                n_bytes += len(ids)
-                if n_bytes > 8_000_000:
-                    yield _batch(rows)
-                    rows, n_bytes = [], 0
-            if rows:
+            for docs, texts in few_at_once(batch):
+                every, ends = encode.with_end(texts, end_id)
+                rows = []
+                for doc, a, b in zip(docs.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    for at in range(a, b, size):
+                        part = every[at : min(b, at + size)].tobytes()
+                        rows.append((doc, at - a, len(part) // 4, b - a, part, zlib.crc32(f"{doc},{at - a},{zlib.crc32(part)},{origin}".encode()) % n_groups))
                 yield _batch(rows)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
