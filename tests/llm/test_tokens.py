@@ -99,6 +99,40 @@ def test_token_files(spark, documents, corpus, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,303)]" in files.where("doc_id = 303")._jdf.queryExecution().toString()
 
 
+def scanned(df):
+    """Rows that the scan of files gave to the filter above it."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+
+
+def test_stripes_and_bloom_filters(spark, tmp_path):
+    import pyarrow.orc as orc
+
+    docs = spark.range(0, 24_000, 2).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), 20) AS text")
+    path = str(tmp_path / "orc")
+    tokenfile.write(docs, path, vocabulary(VOCABULARIES["byte"]), file_bytes=1 << 30, stripe_bytes=64 << 10)
+    (file,) = (tmp_path / "orc").glob("part-*.orc")
+    written = orc.ORCFile(file)
+    sizes = [written.read_stripe(i, columns=["doc_id"]).num_rows for i in range(written.nstripes)]
+    assert len(sizes) >= 4
+    assert sum(sizes) == 12_000
+    rows = tokenfile.read(spark, path)
+    assert scanned(rows) == 12_000
+    one = rows.where("doc_id = 6000")
+    assert scanned(one) <= 1000  # the row group that holds it, of the one stripe that does
+    assert one.count() == 1
+    inside = [scanned(rows.where(f"doc_id = {x}")) for x in range(6001, 6041, 2)]
+    assert inside.count(0) >= 18  # inside every statistic's range, so only the Bloom filters tell
+    # splits of one file: each takes the stripes that begin in it
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(file.stat().st_size // 4))
+    try:
+        parts = tokenfile.read(spark, path).select("doc_id").rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(parts) == 12_000
+    assert sum(n > 0 for n in parts) >= 3
+
+
 def test_empty(spark, empty):
     assert packing.pack(empty, vocabulary(VOCABULARIES["word"])).count() == 0
     assert tokenfile.write_and_digest(empty, vocabulary(VOCABULARIES["byte"])).count() == 0
