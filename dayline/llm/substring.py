@@ -206,7 +206,7 @@ def _dedup(documents: DataFrame, window: int, part_bytes: int, range_bytes: int)
     return docs.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(cut, schema)
 
 
-def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 3 << 20, range_bytes: int = 16 << 20) -> DataFrame:
     """The documents with n_words long, removed array<struct<start,end>> (word intervals, end excluded) and kept string (words left, joined by one space).
 
     part_bytes is the expected text of a part, range_bytes about the hashes counted at once; both
@@ -218,7 +218,7 @@ def dedup(documents: DataFrame, *, window: int = 35, part_bytes: int = 8 << 20,
     return cut.toDF(*names, *RESULT)
 
 
-def without_repeats(documents: DataFrame, *, window: int = 35, part_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
+def without_repeats(documents: DataFrame, *, window: int = 35, part_bytes: int = 3 << 20, range_bytes: int = 16 << 20) -> DataFrame:
     """The documents with their own columns, repeated passages cut from text (and n_chars, if there is one, counted anew); a document whose every word goes is dropped, texts that lose nothing stay as they are."""
     cut, lost, out = _dedup(documents, window, part_bytes, range_bytes), F.size("removed") > 0, []
     for i, c in enumerate(documents.columns):
