@@ -1,30 +1,34 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all test items scans each text once.
 
-Texts are normalised to their words joined by single spaces; word offsets map each match back to
-the words, and so to the characters, of the original.
+Texts are normalised to their words; the automaton's letters are numbers of words, so a match's end is
+the place of a word, which maps back to the characters of the original.
 
-The windows of the items are gathered by the driver in blocks of a checked size (BLOCK_BYTES), each
-sent to the executors as a broadcast of that size at most. A benchmark within one block, the usual
-case, is one automaton; a larger one is scanned block after block by the same task, which holds one
-automaton at a time.
+The items are gathered by the driver in blocks of a checked size (BLOCK_BYTES), each sent to the executors
+as a broadcast of that size at most. A benchmark within one block, the usual case, is one automaton and
+one narrow pass. A larger one is scanned block after block, each in a pass of its own whose hits are
+written down, so a task never holds more than one automaton and the driver never more than one block.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no window;
 equal windows of several items count for each; a null item_id counts as an occurring item named by
-the empty string; repeated document rows come back as often as they occur; empty tables give no
-rows or no hits; other columns are not used.
+the empty string; repeated items count once; repeated document rows come back as often as they occur;
+empty tables give no rows or no hits; other columns are not used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Text of the benchmark items that one broadcast holds at most.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Words of an item that travel together; longer items are cut into pieces that overlap by a window but one word.
+PIECE_WORDS = 4096
 
 #: ASCII bytes that are not part of words become spaces, and A-Z become a-z; bytes of other characters stay.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -36,41 +40,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows(text: str | None, n: int) -> list[bytes]:
-    """Runs of n consecutive words, or all words of a shorter text."""
-    words = words_of(text)
-    if not words:
-        return []
-    return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+class Automaton:
+    """Over the windows of (item id, text) as runs of word numbers; each window has its length and the items that hold it."""
 
+    def __init__(self, items: list[tuple[str, str]], n: int):
+        import ahocorasick
 
-def automaton(items: list[tuple[str, str]], n: int):
-    """Of (item id, text): the automaton over ' word ... word ', each with its number of words and the items that hold it."""
-    import ahocorasick
+        self.number: dict[bytes, int] = {}
+        held: dict[tuple[int, ...], list[str]] = {}
+        for item, text in items:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            for w in {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else ():
+                if item not in held.setdefault(w, []):  # pieces of an item overlap
+                    held[w].append(item)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, names in held.items():
+            self.machine.add_word(w, (len(w), names))
+        if held:
+            self.machine.make_automaton()
 
-    held: dict[bytes, list[str]] = {}
-    for item, text in items:
-        for w in set(windows(text, n)):
-            held.setdefault(w, []).append(item)
-    out = ahocorasick.Automaton()
-    for w, names in held.items():
-        out.add_word(" " + w.decode("latin-1") + " ", (w.count(b" ") + 1, names))
-    if held:
-        out.make_automaton()
-    return out
+    def scan(self, text: str | None) -> tuple[np.ndarray, set[str]]:
+        """A mark for each word of the text that a window covers, and the items found. Words that no item has are number 0."""
+        words = words_of(text)
+        hit, names = np.zeros(len(words) + 1, dtype=np.int32), set()
+        if len(self.machine):
+            number = self.number
+            for last, (size, items) in self.machine.iter(tuple([number.get(w, 0) for w in words])):
+                hit[last - size + 1] += 1
+                hit[last + 1] -= 1
+                names.update(items)
+        return np.cumsum(hit[:-1]) > 0, names
 
 
 _BUILT: dict = {}
 
 
-def _automata(blocks, n: int):
-    """The automata one by one; a single one is built once in each worker process."""
-    for block in blocks:
-        key = (block.value[0], n)
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = automaton(block.value[1], n)
-        yield _BUILT[key]
+def _automaton(block, n: int) -> Automaton:
+    """The block's automaton, built once in each worker process, which holds no other."""
+    key = (block.value[0], n)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(block.value[1], n)
+    return _BUILT[key]
 
 
 def _char_spans(text: str, spans: list[tuple[int, int]]) -> list[dict]:
@@ -88,82 +99,123 @@ def merged(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The items dealt to as many blocks as their text needs; none is over block_bytes but by chance of the deal, which is checked when it is gathered."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n_bytes = items.agg(F.sum(F.octet_length("text") + 16).cast("long")).first()[0] or 0
-    n = 1 if n_bytes <= block_bytes else -(-2 * n_bytes // block_bytes)
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+def _pieces(n: int):
+    """Items to their words joined by spaces, long ones in overlapping pieces."""
 
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(batch["item_id"].to_pylist(), batch["text"], strict=True):
+                words = words_of(text.as_py())
+                parts = [b" ".join(words[at : at + PIECE_WORDS + n - 1]) for at in range(0, len(words), PIECE_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.binary()).cast(pa.string())], names=["item_id", "text"])
 
-def _broadcasts(benchmark: DataFrame, block_bytes: int) -> list:
-    out = []
-    for number, block in enumerate(blocks_of(benchmark, block_bytes)):
-        rows = [(r["item_id"], r["text"]) for r in block.collect()]
-        out.append(benchmark.sparkSession.sparkContext.broadcast((f"{number}-{hash(tuple(rows))}", rows)))
-    return out
+    return run
 
 
-def _slices(texts: pa.Array, rows: int = 256):
-    """The texts of a batch, a few at a time, so that a batch never stands in memory twice; an empty batch is one empty slice."""
-    for at in range(0, max(1, len(texts)), rows):
-        yield texts.slice(at, rows).to_pylist()
+def blocks_of(benchmark: DataFrame, n: int, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The items' pieces dealt to as many blocks as it takes for none to be over block_bytes; a piece itself is a few tens of kilobytes."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    pieces = stored(items.where("text is not null").distinct().mapInArrow(_pieces(n), "item_id string, text string"), "benchmark").withColumn("h", F.xxhash64("item_id", "text"))
+    n_blocks = 1
+    while True:
+        sizes = pieces.groupBy(F.pmod("h", F.lit(n_blocks)).alias("block")).agg(F.sum(F.octet_length("text") + 16).cast("long").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+        # a block that is one piece can't be dealt more finely
+        over = max((r["n"] for r in sizes if r["rows"] > 1), default=0)
+        if over <= block_bytes:
+            return [pieces.where(F.pmod("h", F.lit(n_blocks)) == i).select("item_id", "text") for i in range(n_blocks)]
+        n_blocks = max(n_blocks + 1, -(-5 * sum(r["n"] for r in sizes) // (4 * block_bytes))) if n_blocks == 1 else 2 * n_blocks
 
 
-def _scan(texts: list[str | None], blocks: list, n: int) -> tuple[list[np.ndarray], list[set[str]]]:
-    """Of each text: a mark for each of its words that a window covers, and the items found."""
-    lines, starts, hits, names = [], [], [], [set() for _ in texts]
-    for text in texts:
-        words = words_of(text)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        starts.append(np.cumsum(lengths + 1) - lengths)  # each line begins with a space
-        lines.append((b" " + b" ".join(words) + b" ").decode("latin-1"))
-        hits.append(np.zeros(len(words) + 1, dtype=np.int32))
-    for machine in _automata(blocks, n):
-        if not len(machine):
-            continue
-        for line, start, hit, found in zip(lines, starts, hits, names, strict=True):
-            for end, (size, items) in machine.iter(line):
-                last = int(np.searchsorted(start, end)) - 1
-                hit[last - size + 1] += 1
-                hit[last + 1] -= 1
-                found.update(items)
-    return [np.cumsum(h[:-1]) > 0 for h in hits], names
+def _broadcast(block: DataFrame):
+    rows = [(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()]
+    return block.sparkSession.sparkContext.broadcast((f"{hash(tuple(rows))}-{len(rows)}", rows))
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each document: n_words, the items with a window in it (sorted), and the hit spans, in words and in characters (ends excluded)."""
-    blocks = _broadcasts(benchmark, block_bytes)
+def _few(texts: pa.Array, rows: int = 256):
+    """The texts of a batch, a few at a time, so that a batch never stands in memory twice."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()
+
+
+def _finder(block, n: int, with_chars: bool) -> Callable[[Column], Column]:
+    """A column function of text: FOUND, char_spans empty unless asked for."""
 
     @F.arrow_udf(FOUND)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.concat_arrays([part(x) for x in _slices(texts)])
+            machine = _automaton(block, n)
+            out = []
+            for t in _few(texts):
+                hit, names = machine.scan(t)
+                spans = merged(hit)
+                out.append((len(hit), sorted(names), spans, _char_spans(t, spans) if spans and with_chars else []))
+            yield _found(out)
 
-    def part(texts: list[str | None]) -> pa.StructArray:
-        hits, names = _scan(texts, blocks, n)
-        spans = [merged(h) for h in hits]
-        columns = [
-            pa.array([len(h) for h in hits], pa.int64()),
-            pa.array([sorted(f) for f in names], pa.list_(pa.string())),
-            pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
-            pa.array([_char_spans(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], _SPANS),
-        ]
-        return pa.StructArray.from_arrays(columns, names=["n_words", "items", "spans", "char_spans"])
+    return find
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), find(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
 
+def _found(rows: list[tuple[int, list[str], list[tuple[int, int]], list[dict]]]) -> pa.StructArray:
+    columns = [
+        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string())),
+        pa.array([[{"start": a, "end": b} for a, b in r[2]] for r in rows], _SPANS), pa.array([r[3] for r in rows], _SPANS),
+    ]
+    return pa.StructArray.from_arrays(columns, names=["n_words", "items", "spans", "char_spans"])
+
+
+def _together(texts: pa.Array, items: pa.Array, spans: pa.Array) -> pa.Array:
+    """The hits of several blocks in one text: items sorted, spans merged."""
+    out = []
+    for text, names, found in zip(texts, items, spans, strict=True):
+        t = text.as_py()
+        hit = np.zeros(len(words_of(t)), dtype=bool)
+        for s in found.as_py() or []:
+            hit[s["start"] : s["end"]] = True
+        covered = merged(hit)
+        out.append((len(hit), sorted(set(names.as_py() or [])), covered, _char_spans(t, covered) if covered else []))
+    return _found(out)
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each document: n_words, the items with a window in it (sorted), and the hit spans, in words and in characters (ends excluded)."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = blocks_of(benchmark, n, block_bytes)
+    if len(blocks) == 1:
+        return rows.select("doc_id", _finder(_broadcast(blocks[0]), n, True)(F.col("text")).alias("found")).select("doc_id", "found.*")
+    rows, hits = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), []
+    for block in blocks:
+        sent = _broadcast(block)
+        found = rows.select("row", _finder(sent, n, False)(F.col("text")).alias("found")).where(F.size("found.items") > 0)
+        hits.append(stored(found.select("row", "found.items", "found.spans"), "hits"))
+        sent.unpersist()
+    every = hits[0]
+    for x in hits[1:]:
+        every = every.unionByName(x)
+    every = every.groupBy("row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return rows.join(every, "row", "left").select("doc_id", F.arrow_udf(_together, FOUND)(F.col("text"), F.col("items"), F.col("spans")).alias("found")).select("doc_id", "found.*")
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of documents, with all their columns, whose text holds no window of any item."""
-    blocks = _broadcasts(benchmark, block_bytes)
+
+def _cleaner(block, n: int) -> Callable[[Column], Column]:
+    """A column function of text: whether no window of the block is in it."""
 
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([not h.any() for x in _slices(texts) for h in _scan(x, blocks, n)[0]], pa.bool_())
+            machine = _automaton(block, n)
+            yield pa.array([not machine.scan(t)[0].any() for t in _few(texts)], pa.bool_())
+
+    return clean
 
-    return documents.where(clean(F.col("text").cast("string")))
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents, with all their columns, whose text holds no window of any item."""
+    blocks = blocks_of(benchmark, n, block_bytes)
+    for number, block in enumerate(blocks):
+        sent = _broadcast(block)
+        documents = documents.where(_cleaner(sent, n)(F.col("text").cast("string")))
+        if number < len(blocks) - 1:
+            documents = stored(documents, "clean-so-far")
+            sent.unpersist()
+    return documents
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -250,7 +250,8 @@ def test_decontamination(spark, documents):
         w = NORMAL.findall(lower(text))
         for i in range(max(1, len(w) - 9) if w else 0):
             held.setdefault(tuple(w[i : i + 10]), set()).add(str(item))
-    for block_bytes in (1 << 20, 40):
+    assert len(decontam.blocks_of(bench, 10, 150)) > 1
+    for block_bytes in (1 << 20, 150):
         rows = {r["doc_id"]: r for r in decontam.scan(df, bench, block_bytes=block_bytes).collect()}
         for doc, text in texts:
             w = NORMAL.findall(lower(text))
@@ -271,6 +272,18 @@ def test_decontamination(spark, documents):
     assert decontam.scan(documents, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_long_items_and_repeated_ones(spark):
+    """An item of many pieces, repeated: windows over the seams of its pieces are found, and named once."""
+    words = [f"w{i}" for i in range(2 * decontam.PIECE_WORDS + 50)]
+    bench = spark.createDataFrame([(7, " ".join(words))] * 3, "item_id long, text string")
+    at = decontam.PIECE_WORDS - 4
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[at : at + 10]) + " y"), (2, " ".join(words[at : at + 9])), (3, " ".join(words) * 2)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in decontam.scan(docs, bench).collect()}
+    assert [(s["start"], s["end"]) for s in rows[1]["spans"]] == [(1, 11)]
+    assert rows[1]["items"] == rows[3]["items"] == ["7"]
+    assert rows[2]["items"] == []
+
+
 def test_empty(spark, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
