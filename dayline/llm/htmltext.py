@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[<>\"']")
+_LINK = re.compile(r"<a[\s>]", re.I)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Elements by what they do, and words of class, id or role that mark boilerplate or content.
@@ -145,91 +148,192 @@ def _marked(attrs: str) -> tuple[bool, bool, bool, bool]:
 
 
 class _Element:
-    """An open element: closed to content for certain (hard) or by a mark (soft), and the words below it."""
+    """An open element: closed to content for certain (hard) or by a mark (soft), the element around it, and the page's words before its start and before its end."""
 
-    def __init__(self, name: str, attrs: str):
+    def __init__(self, name: str, attrs: str, around: _Element | None, words: int):
         hidden, marked, self.apart, main = _marked(attrs) if attrs else (False,) * 4
-        self.name, self.inside, self.words = name, main or name in INSIDE, 0
+        self.name, self.around, self.begin, self.end = name, around, words, None
+        self.inside = main or name in INSIDE
         self.hard = hidden or (name in OUTSIDE and name != "form")
         self.soft = (marked or name == "form") and name != "main"
         self.header = name == "header" or (marked and not hidden and "header" in attrs.lower())
+        self.any_inside = self.inside or bool(around and around.any_inside)
+        self.any_hard = self.hard or bool(around and around.any_hard)
+        self.freed: str | None = None
+
+    def free(self, name: str) -> None:
+        """What holds the article is no boilerplate; what holds main is none whatever its mark."""
+        x = self.around
+        while x and x.freed not in (name, "main"):
+            x.soft, x.freed = x.soft and x.apart and name != "main", name
+            x = x.around
+
+
+class _Tags:
+    """The tags of a page from left to right. No part of the page is searched again for an end that is not there."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.open: set[int] = set()  # of '<' outside quotes from which no end outside quotes follows
+        self.raw: set[str] = set()
+        self.close = -1
+
+    def end(self, at: int) -> int:
+        """Where the tag that begins at at ends: at the first '>' outside quotes, or at the first at all if there is none outside."""
+        page = self.page
+        first = page.find(">", at)
+        if page.find('"', at, first) < 0 and page.find("'", at, first) < 0:
+            return first
+        if page.find("'", at, first) < 0 and page.count('"', at, first) % 2 == 0:
+            return first
+        seen, i = [at], at + 1
+        while (m := _STOP.search(page, i)) and m.start() not in self.open:
+            c, i = m[0], m.end()
+            if c == ">":
+                return m.start()
+            if c == "<":
+                seen.append(m.start())
+            else:
+                i = page.find(c, i) + 1
+                if not i:
+                    break
+        self.open.update(seen)
+        return first
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Where the element's end tag ends, -1 if it has none."""
+        if name not in self.raw:
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.page, at)
+            if close:
+                return close.end()
+            self.raw.add(name)
+        return -1
+
+    def link_closes(self, at: int) -> bool:
+        """Whether an end of a link comes before the next link begins."""
+        if self.close is not None and self.close < at:
+            found = re.compile("</a", re.I).search(self.page, at)
+            self.close = found.start() if found else None
+        if self.close is None:
+            return False
+        return _LINK.search(self.page, at, self.close) is None
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, float, bool, bool]]:
-    """Text, words, linked words, mark, in an article, heading of each block that has text, in page order. The mark is 0 without one, 1 in elements that never hold content, else the share of the page's words outside the marked element."""
+    """Text, words, linked words, mark, in an article, heading of each block that has text, in page order. The mark is 0 without one, 1 in elements that never hold content, else the share of the page's words outside the marked element.
+
+    The work grows in proportion to the page, whatever is nested, unclosed or quoted in it. A link ends
+    with the paragraph, heading or other element that it begins in; one without an end of its own, at the next block.
+    """
     page = page or ""
-    out: list[tuple[str, int, int, list[_Element], bool, bool]] = []
+    out: list[tuple[str, int, int, _Element | None, bool]] = []
     parts: list[str] = []
-    linked = 0
-    stack: list[_Element] = []
-    in_link, heading, found, at, end = False, False, False, 0, len(page)
+    linked = total = at = 0
+    tags, end, top = _Tags(page), len(page), None
+    depth, names = 0, Counter()
+    heading = found = False
+    link = paragraph = None  # of an open link: the paragraph and the depth it begins in, and whether it is closed later
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, total
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            for x in stack:
-                x.words += n
-            out.append((text, n, min(n, linked), [x for x in stack if x.hard or x.soft], any(x.inside for x in stack), heading))
+            total += n
+            out.append((text, n, min(n, linked), top, heading))
         linked = 0
 
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            piece = page[at : m.start()]
+        start = page.find("<", at)
+        if start < 0 or (start > tags.last and not page.startswith("<!--", start)):
+            start = end
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
-            if in_link:
+            if link:
                 linked += len(piece.split())
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        at = start
+        if at == end:
+            break
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            at = close + 3 if close >= 0 else end
             continue
-        name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        m = _NAME.match(page, at + 1)
+        if m is None:
+            if page[at + 1] in "!?":
+                at = page.find(">", at) + 1
+            else:
+                parts.append("<")
+                at += 1
+            continue
+        stop = tags.end(at)
+        name, attrs = m[0].lower(), page[m.end() : stop]
+        closing, name, at = name[0] == "/", name.lstrip("/"), stop + 1
         if name in RAW and not closing:
             if not attrs.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else (end if name in ("script", "style", "textarea", "template") else at)
+                after = tags.after_raw(name, at)
+                at = after if after >= 0 else end if name in ("script", "style", "textarea", "template") else at
             flush() if name in BLOCKS else parts.append(" ")
         elif name == "a":
-            in_link = not closing
+            link = None if closing else (paragraph, depth, tags.link_closes(at))
         elif name in ("br", "img", "input", "wbr"):
             parts.append(" " if name != "wbr" else "")
         elif name in BLOCKS:
             flush()
-            if name[0] == "h" and name[1:].isdigit():
-                heading = not closing
-            elif name in OPEN:
-                heading = heading and closing
+            if link and not link[2]:
+                link = None
+            if name in OPEN or (name[0] == "h" and name[1:].isdigit()):
+                if link and link[0] is not None and (not closing or link[0] == paragraph):
+                    link = None  # its paragraph ends
+                heading = not closing and name not in OPEN or (name in OPEN and heading and closing)
+                paragraph = None if closing else (name, at)
             elif name in VOID:
                 pass
             elif closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == name:
-                        del stack[i:]
-                        break
-            if not closing and name not in VOID and not (name[0] == "h" and name[1:].isdigit()) and name not in OPEN:
-                element = _Element(name, attrs)
-                if element.inside and not (element.hard or element.soft or any(x.hard for x in stack)) and (name == "main" or not found):
+                if names[name]:
+                    gone = None
+                    while gone != name:
+                        gone, top.end, top = top.name, total, top.around
+                        names[gone] -= 1
+                        depth -= 1
+                    paragraph = None
+                    link = link if link and link[1] <= depth else None
+            else:
+                if link and link[0] is not None and link[0][0] not in ("li", "dd", "dt", "td", "th"):
+                    link = None  # a paragraph holds no blocks
+                top = _Element(name, attrs, top, total)
+                depth, paragraph = depth + 1, None
+                names[name] += 1
+                if top.inside and not (top.soft or top.any_hard) and (name == "main" or not found):
                     found = True
-                    for x in stack:  # what holds the article is no boilerplate
-                        x.soft = x.soft and x.apart and name != "main"
-                stack.append(element)
+                    top.free(name)
     flush()
-    total, read = sum(b[1] for b in out), []
-    for text, n, n_linked, marks, inside, is_heading in out:
-        marks = [x for x in marks if x.hard or x.soft]
-        if is_heading and inside and all(x.header for x in marks):
-            marks = []  # an article's own title in its header
-        mark = max((1.0 if x.hard else 1 - x.words / total for x in marks), default=0.0)
-        read.append((text, n, n_linked, mark, inside, is_heading))
+    read, known = [], {}
+    for text, n, n_linked, element, is_heading in out:
+        mark, header = _mark(element, total, known)
+        if is_heading and element and element.any_inside and header:
+            mark = 0.0  # an article's own title in its header
+        read.append((text, n, n_linked, mark, bool(element and element.any_inside), is_heading))
     return read
 
 
+def _mark(element: _Element | None, total: int, known: dict) -> tuple[float, bool]:
+    """The greatest mark of an element and those around it, and whether only headers are marked."""
+    path = []
+    while element is not None and element not in known:
+        path.append(element)
+        element = element.around
+    mark, header = known[element] if element is not None else (0.0, True)
+    for x in reversed(path):
+        if x.hard or x.soft:
+            words = (total if x.end is None else x.end) - x.begin
+            mark, header = max(mark, 1.0 if x.hard else 1 - words / total), header and x.header
+        known[x] = (mark, header)
+    return mark, header
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by empty lines."""
     found = blocks(page)

@@ -172,3 +172,78 @@ def test_chat_tables(spark):
     got = {(r["conv_id"], r["part"]): [(x["role"], x["text"]) for x in r["turns"]] for r in chat.format_chats(chat.transcripts(df), chat.learn(df)).collect()}
     assert got == {(1, 0): CHAT, (2, 0): [("user", "")], (2, 1): [("assistant", "later")], (3, 0): [("user", "who?")], (None, 0): [("user", "x")]}
     assert chat.format_chats(chat.transcripts(df.limit(0)), chat.learn(df.limit(0))).count() == 0
+
+
+def test_work_in_proportion():
+    """Pages made of one broken piece a hundred thousand times over."""
+    import time
+
+    began = time.process_time()
+    for piece in ("<div>x ", '<a x=" ', "<svg>", "<a ", "<main>x", '<a x="> " ', "<p><a href=1>x", "<div></section>x", "<!-- ", "<a \"> ' "):
+        htmltext.main_text(piece * 100_000)
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("head", ["<p><a href=x>one link</p>", "<div><a href=x>one link", "<ul><li><a href=x>one<li><a href=y>two</ul>"])
+def test_unclosed_links(head):
+    assert htmltext.main_text(f"<body>{head}<p>{LONG}</p><p>{LONG} end</p></body>").split("\n\n")[-2:] == [LONG, LONG + " end"]
+
+
+def held_out_pages(rng):
+    """Pages of six layouts that the labelled table does not hold, as lists of (text, whether it is content), and their html."""
+    def text(n):
+        return " ".join("".join(rng.choice("abdeghiklmnoprst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    def link_list(n):
+        return "<ul>" + "".join(f"<li><a href='/{i}'>{blocks_of(text(rng.randint(1, 3)), False)}</a></li>" for i in range(n)) + "</ul>"
+
+    labelled = []
+
+    def blocks_of(t, content):
+        labelled.append((t, content))
+        return t
+
+    def body(tag="p"):
+        out = []
+        for _ in range(rng.randint(2, 7)):
+            t = text(rng.randint(25, 110))
+            if rng.random() < 0.3:
+                w = t.split()
+                w[3] = f"<a href=#>{w[3]}</a>"
+                labelled.append((t, True))
+                out.append(f"<{tag}>{' '.join(w)}</{tag}>")
+            else:
+                out.append(f"<{tag}>{blocks_of(t, True)}</{tag}>")
+            if rng.random() < 0.25:
+                out.append(f"<h2>{blocks_of(text(rng.randint(2, 6)), True)}</h2><{tag}>{blocks_of(text(rng.randint(25, 60)), True)}</{tag}>")
+        return "".join(out)
+
+    no = lambda a, b: blocks_of(text(rng.randint(a, b)), False)
+    title = lambda: f"<h1>{blocks_of(text(rng.randint(3, 9)), True)}</h1>"
+    layouts = [
+        lambda: f"<header><div class='logo'>{no(1, 2)}</div><nav>{link_list(6)}</nav></header><main>{title()}{body()}</main><footer><p>{no(5, 30)}</p></footer>",
+        lambda: f"<div id='top-menu'>{link_list(8)}</div><div class='content'>{title()}{body()}</div><div class='sidebar'>{link_list(5)}<p>{no(15, 40)}</p></div>",
+        lambda: f"<nav>{link_list(5)}</nav><article class='post has-sidebar'>{title()}{body()}<div class='share-buttons'>{no(2, 5)}</div></article><section id='comments'><p>{no(20, 60)}</p><p>{no(20, 60)}</p></section>",
+        lambda: f"<table><tr><td>{link_list(7)}</td><td>{title()}{body('div')}</td></tr></table><div>{no(3, 7)}</div>",
+        lambda: f"<div class='cookie-banner'><p>{no(20, 40)}</p><button>{no(1, 2)}</button></div>{title()}{body()}<div class='related-posts'><h3>{no(1, 3)}</h3>{link_list(4)}</div>",
+        lambda: f"<form><label>{no(1, 3)}</label></form><div role='main'>{title()}{body()}<blockquote>{blocks_of(text(30), True)}</blockquote></div><aside><p>{no(30, 60)}</p></aside><div class='newsletter-box'>{no(10, 25)}</div>",
+    ]
+    for _ in range(20):
+        for layout in layouts:
+            labelled.clear()
+            page = f"<html><head><title>{text(4)}</title><script>var x='<p>no</p>'</script></head><body>{layout()}</body></html>"
+            yield page, list(labelled)
+
+
+def test_held_out_pages():
+    """Precision and recall of blocks on pages of layouts that the tree was not trained on."""
+    right = taken = wanted = 0
+    for page, labelled in held_out_pages(random.Random(4)):
+        found = set(htmltext.main_text(page).split("\n\n"))
+        content = {t for t, c in labelled if c}
+        right += len(found & content)
+        taken += len(found)
+        wanted += len(content)
+    assert wanted > 700
+    assert right / taken > 0.97, right / taken
+    assert right / wanted > 0.95, right / wanted
