@@ -5,13 +5,15 @@ bare change of speaker, or none) and a shape. The chances of states to follow ea
 markers and shapes are counted from a bounded sample of transcripts with known roles, on top of
 prior counts, so that a model without a sample works too.
 
-A transcript comes in parts of bounded length, each beginning with a turn, so a conversation of any
-length spreads over tasks.
+A transcript may come in parts of bounded length, so a conversation of any length spreads over tasks. It
+is decoded as one: each part gives the best score from every state before it to every state at its end,
+a small table of numbers; these are put together in the order of the parts, which gives the state that
+the best path of the whole transcript has at each seam; then each part follows its piece of that path.
 
 Defined cases: a null or empty transcript has no turns; lines before any marker belong to the most
 likely role; a role word that is no known alias is no marker; role tags of the canonical form inside
-a text are broken by a space; repeated rows come back as often as they occur; an empty table gives
-no rows.
+a text are broken by a space; a conversation whose id and part repeat is decoded with the repeated
+parts one after another; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 ROLES = ("system", "user", "assistant")
 # Words that name a role in a speaker marker.
 ALIASES = {
@@ -78,33 +82,54 @@ class Model:
                 into[at] += c
         self.begin, self.follow, self.shows, self.looks = (np.log(x / x.sum(axis=-1, keepdims=True)) for x in (b, t, m, s))
 
-    def viterbi(self, seen: list[tuple[int, int]]) -> list[int]:
-        """The likeliest states of lines that show (marker, shape)."""
+    def viterbi(self, seen: list[tuple[int, int]], before: int | None = None, last: int | None = None) -> list[int]:
+        """The likeliest states of lines that show (marker, shape): after a line in state before, or at the beginning, and up to a line in state last, or any."""
         back = []
-        score = self.begin + self.shows[:, seen[0][0]] + self.looks[:, seen[0][1]]
+        score = (self.begin if before is None else self.follow[before]) + self.shows[:, seen[0][0]] + self.looks[:, seen[0][1]]
         for k, s in seen[1:]:
             step = score[:, None] + self.follow
             back.append(step.argmax(axis=0))
             score = step.max(axis=0) + self.shows[:, k] + self.looks[:, s]
-        path = [int(score.argmax())]
+        path = [int(score.argmax()) if last is None else last]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def across(self, seen: list[tuple[int, int]]) -> np.ndarray:
+        """The best score of lines from each state of the line before them (the last row: from the beginning) to each state of their last line."""
+        score = np.vstack([self.follow, self.begin]) + (self.shows[:, seen[0][0]] + self.looks[:, seen[0][1]])
+        for k, s in seen[1:]:
+            score = (score[:, :, None] + self.follow).max(axis=1) + (self.shows[:, k] + self.looks[:, s])
+        return score
+
 
 def observe(line: str) -> tuple[int, int, int]:
     shown, at = marker(line)
     return MARKERS.index(shown), SHAPES.index(line_shape(line[at:])), at
 
 
-def parse(transcript: str | None, model: Model) -> list[tuple[str, str]]:
-    """(role, text) of each turn."""
+def seams(tables: list[np.ndarray]) -> list[tuple[int | None, int]]:
+    """Of the parts of one transcript, by their tables of across(): the state before each part (none before the first) and that of its last line, on the best path of the whole."""
+    score, back = tables[0][-1], []
+    for t in tables[1:]:
+        step = score[:, None] + t[:-1]
+        back.append(step.argmax(axis=0))
+        score = step.max(axis=0)
+    ends = [int(score.argmax())]
+    for b in reversed(back):
+        ends.append(int(b[ends[-1]]))
+    ends.reverse()
+    return list(zip([None, *ends[:-1]], ends, strict=True))
+
+
+def parse(transcript: str | None, model: Model, before: int | None = None, last: int | None = None) -> list[tuple[str, str]]:
+    """(role, text) of each turn; of a part of a transcript, between the states at its seams. A part that begins inside a turn begins with the rest of it, as a turn of its own."""
     if not transcript:
         return []
     lines = transcript.split("\n")
     seen = [observe(x) for x in lines]
     turns: list[tuple[str, list[str]]] = []
-    for line, (_, _, at), state in zip(lines, seen, model.viterbi([x[:2] for x in seen]), strict=True):
+    for line, (_, _, at), state in zip(lines, seen, model.viterbi([x[:2] for x in seen], before, last), strict=True):
         role, first = STATES[state]
         if first or not turns:
             turns.append((role, [line[at:]]))
@@ -165,24 +190,65 @@ def transcripts(conversations: DataFrame, *, part_turns: int = 128) -> DataFrame
     return turns.select("conv_id", "part", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("transcript"))
 
 
-def learn(conversations: DataFrame, *, max_turns: int = 4000) -> Model:
-    """A model from at most max_turns turns with known roles, those of conversations with the smallest hashes."""
+def learn(conversations: DataFrame, *, max_turns: int = 4000, max_bytes: int = 16 << 20) -> Model:
+    """A model from at most max_turns turns with known roles, those of conversations with the smallest hashes, and of them the first that hold max_bytes of text together."""
+    order = [F.xxhash64("conv_id"), "conv_id", "turn", F.xxhash64("role", "text")]
     rows = conversations.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
-    rows = rows.orderBy(F.xxhash64("conv_id"), "conv_id", "turn").limit(max_turns).collect()
+    rows = rows.orderBy(*order).limit(max_turns)
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(*order))  # over max_turns rows
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy(*order).collect()
     known: dict = {}
     for r in rows:
         known.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     return train(list(known.values()), STYLES)
 
 
+def _tables(model: Model):
+    def run(batches):
+        for batch in batches:
+            found = []
+            for t in batch["transcript"]:
+                text = t.as_py()
+                found.append(model.across([observe(x)[:2] for x in text.split("\n")]).astype("<f8").tobytes() if text else None)
+            yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["part"], batch["n"], pa.array(found, pa.binary())], names=["conv_id", "part", "n", "scores"])
+
+    return run
+
+
+def _seams(table: pa.Table) -> pa.Table:
+    """Of one conversation's parts, a small table of numbers for each: the states at their seams."""
+    table = table.sort_by([("part", "ascending"), ("n", "ascending")])
+    states = len(STATES)
+    met = seams([np.frombuffer(x.as_py(), "<f8").reshape(states + 1, states) for x in table["scores"]])
+    return table.select(["n"]).append_column("before", pa.array([b for b, _ in met], pa.int32())).append_column("last", pa.array([e for _, e in met], pa.int32()))
+
+
 def format_chats(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (conv_id, part, transcript) to conv_id, part, turns and rendered."""
-    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("rendered", pa.string())])
+    """Rows (conv_id, part, transcript) to conv_id, part, turns, rendered and first_turn, the number of turns in the parts before. The parts of a conversation are read as one transcript."""
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("part").cast("long").alias("part"), F.col("transcript").cast("string").alias("transcript"))
+    several = rows.where("transcript <> ''").groupBy(F.col("conv_id").alias("long_id")).agg(F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+    if several.isEmpty():
+        return _formatted(rows.withColumns({"before": F.lit(None).cast("int"), "last": F.lit(None).cast("int")}), model).withColumn("first_turn", F.lit(0).cast("long"))
+    rows = stored(rows.withColumn("n", F.monotonically_increasing_id()), "transcript-parts")
+    long = rows.where("transcript <> ''").join(several, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi")
+    met = long.select("conv_id", "part", "n", "transcript").mapInArrow(_tables(model), "conv_id long, part long, n long, scores binary")
+    met = met.groupBy("conv_id").applyInArrow(_seams, "n long, before int, last int")
+    done = stored(_formatted(rows.join(met, "n", "left"), model), "formatted-parts")
+    ahead = Window.partitionBy("conv_id").orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)
+    first = done.select("conv_id", "part", "n", F.size("turns").alias("n_turns")).select("n", F.coalesce(F.sum("n_turns").over(ahead), F.lit(0)).alias("first_turn"))
+    return done.join(first, "n").drop("n")
+
+
+def _formatted(rows: DataFrame, model: Model) -> DataFrame:
+    """conv_id, part, turns and rendered (and n, if rows are numbered) of parts with the states at their seams."""
+    numbered = "n" in rows.columns
+    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("rendered", pa.string()), *([("n", pa.int64())] if numbered else [])])
 
     def run(batches):
         for batch in batches:
-            found = [parse(t.as_py(), model) for t in batch["transcript"]]
+            found = [parse(t.as_py(), model, b, e) for t, b, e in zip(batch["transcript"], batch["before"].to_pylist(), batch["last"].to_pylist(), strict=True)]
             turns = [[{"role": r, "text": t} for r, t in x] for x in found]
-            yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["part"], pa.array(turns, schema.field("turns").type), pa.array([render(x) for x in found], pa.string())], schema=schema)
+            columns = [batch["conv_id"], batch["part"], pa.array(turns, schema.field("turns").type), pa.array([render(x) for x in found], pa.string()), *([batch["n"]] if numbered else [])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows.select("conv_id", F.col("part").cast("long").alias("part"), "transcript").mapInArrow(run, f"conv_id long, part long, turns {TURNS}, rendered string")
+    return rows.select("conv_id", "part", "transcript", "before", "last", *(["n"] if numbered else [])).mapInArrow(run, f"conv_id long, part long, turns {TURNS}, rendered string" + ", n long" * numbered)

@@ -62,7 +62,8 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     formatted = chat.format_chats(chat.transcripts(conversations), chat.learn(conversations))
-    return formatted.select("conv_id", "part", F.size("turns").cast("long").alias("n_turns"), "rendered")
+    turns = formatted.select("conv_id", "first_turn", F.posexplode("turns").alias("at", "x"))
+    return turns.select("conv_id", (F.col("first_turn") + F.col("at")).alias("position"), F.col("x.role").alias("role"), F.sha2("x.text", 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,9 +92,8 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 OP10_SQL = """
-SELECT conv_id, turn // 128 AS part, count(*) AS n_turns,
-  string_agg('<|im_start|>' || role || chr(10) || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
-FROM conversations GROUP BY conv_id, turn // 128
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, sha256(coalesce(text, '')) AS text_sha256
+FROM conversations
 """
 
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op10_chat_format": OP10_SQL}

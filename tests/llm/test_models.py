@@ -166,10 +166,65 @@ def test_chat_without_names():
     assert chat.parse("no marker\nat all", model) == [("user", "no marker\nat all")]
 
 
+def spoken(rng, n, user_words, assistant_words):
+    return [("user" if i % 2 == 0 else "assistant", "\n".join(" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(*(user_words if i % 2 == 0 else assistant_words)))) + ("?" if i % 2 == 0 and k == 0 else ".") for k in range(1 if i % 2 == 0 else rng.randint(1, 4)))) for i in range(n)]
+
+
+def test_chat_noise():
+    """Markers left out, bare or wrong: the model's roles of lines beat those of the nearest marker above."""
+    rng = random.Random(8)
+    known = [spoken(rng, rng.randint(4, 10), (3, 8), (8, 40)) for _ in range(60)]
+    noisy = [{r: m for r, m in s.items()} for s in chat.STYLES] + [dict.fromkeys(chat.ROLES, "- ")] * 3
+    model = chat.train(known, noisy)
+    right = plain = total = 0
+    for _ in range(40):
+        style, lines, roles, role_above, above = rng.choice(chat.STYLES), [], [], [], "user"
+        for role, text in spoken(rng, 12, (3, 8), (8, 40)):
+            kind = rng.random()
+            other = "assistant" if role == "user" else "user"
+            mark = style[role] if kind < 0.5 else "- " if kind < 0.85 else "Speaker: - " if kind < 0.9 else style[other]
+            for k, line in enumerate(text.split("\n")):
+                lines.append((mark if k == 0 else "") + line)
+                shown = chat.marker(lines[-1])[0]
+                above = shown if shown in chat.ROLES else above
+                roles.append(role)
+                role_above.append(above)
+        states = model.viterbi([chat.observe(x)[:2] for x in lines])
+        right += sum(chat.STATES[s][0] == r for s, r in zip(states, roles, strict=True))
+        plain += sum(a == r for a, r in zip(role_above, roles, strict=True))
+        total += len(lines)
+    assert right / total > 0.8, right / total
+    assert right / total > plain / total + 0.1, (right / total, plain / total)
+
+
+def test_chat_parts(spark):
+    """A transcript in parts is decoded as one, roles without names included."""
+    rng = random.Random(3)
+    model = chat.train([CHAT] * 5, chat.STYLES)
+    for _ in range(20):
+        lines = [rng.choice(["User: ", "Assistant: ", "- ", "- ", "", ""]) + rng.choice(["why?", "so it is", "x" * 130, "{"]) for _ in range(rng.randint(2, 30))]
+        whole = model.viterbi([chat.observe(x)[:2] for x in lines])
+        cuts = sorted(rng.sample(range(1, len(lines)), min(3, len(lines) - 1)))
+        parts = [lines[a:b] for a, b in zip([0, *cuts], [*cuts, len(lines)], strict=True)]
+        seen = [[chat.observe(x)[:2] for x in p] for p in parts]
+        joined = [s for p, (b, e) in zip(seen, chat.seams([model.across(p) for p in seen]), strict=True) for s in model.viterbi(p, b, e)]
+        assert joined == whole
+    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(700)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)] + [(2, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    bare = chat.transcripts(df.withColumn("role", F.lit(None).cast("string")), part_turns=50)
+    rows = sorted(chat.format_chats(bare, chat.Model()).collect(), key=lambda r: (r["conv_id"], r["part"]))
+    roles = [x["role"] for r in rows if r["conv_id"] == 1 for x in r["turns"]]
+    assert len(roles) == 700
+    assert all(a != b for a, b in zip(roles, roles[1:], strict=False))  # also at the seams
+    assert [r["first_turn"] for r in rows] == [*range(0, 700, 50), 0]
+
+
 def test_chat_tables(spark):
     rows = [(1, i, r, t) for i, (r, t) in enumerate(CHAT)] + [(2, 0, "user", None), (2, 200, "assistant", "later"), (3, 0, None, "who?"), (None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
-    got = {(r["conv_id"], r["part"]): [(x["role"], x["text"]) for x in r["turns"]] for r in chat.format_chats(chat.transcripts(df), chat.learn(df)).collect()}
+    rows = chat.format_chats(chat.transcripts(df), chat.learn(df)).collect()
+    got = {(r["conv_id"], r["part"]): [(x["role"], x["text"]) for x in r["turns"]] for r in rows}
+    assert {(r["conv_id"], r["part"]): r["first_turn"] for r in rows if r["first_turn"]} == {(2, 1): 1}
     assert got == {(1, 0): CHAT, (2, 0): [("user", "")], (2, 1): [("assistant", "later")], (3, 0): [("user", "who?")], (None, 0): [("user", "x")]}
     assert chat.format_chats(chat.transcripts(df.limit(0)), chat.learn(df.limit(0))).count() == 0
 
