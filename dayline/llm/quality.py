@@ -3,14 +3,14 @@
 Each labeller looks at one measure of a text and votes bad beyond its bound or abstains; one more
 votes good where all measures are ordinary. The label model takes each to have its own rates of
 votes in each class and estimates them, with the class rate, by expectation-maximisation from the
-texts that any labeller finds bad; no quality label is learned. The posterior
+votes on all texts; no quality label is learned. The posterior
 labels of a sample train a logistic scorer over hashed features of the text: token shapes, their
 successions, repeats, and the measures in steps.
 
 Every document votes, on the executors, and the label model is fitted on the counts of the patterns
 of votes: a vote is cast or not, so there are at most 2 ** 11. The scorer is fitted on the driver on at
 most max_rows documents: a quarter of them dealt evenly to the patterns, the rest by their counts,
-those with the smallest hashes of id and text. Scoring runs on the executors over whole texts.
+those with the smallest hashes of id and text, and of them the first max_bytes of text at most. Scoring runs on the executors over whole texts.
 
 Defined cases: a null text is empty; an empty text has the measures of no words and is scored like
 any other; repeated rows come back as often as they occur; an empty table gives no rows; other
@@ -193,7 +193,7 @@ def fit(texts: list[str | None]) -> tuple[np.ndarray, float]:
     return train_scorer([hashed(x) for x in looks], post)
 
 
-def train(documents: DataFrame, *, max_rows: int = 3000) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, *, max_rows: int = 3000, max_bytes: int = 64 << 20) -> tuple[np.ndarray, float]:
     @F.arrow_udf("int")
     def voted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -215,7 +215,8 @@ def train(documents: DataFrame, *, max_rows: int = 3000) -> tuple[np.ndarray, fl
     by_hash = Window.partitionBy("pattern").orderBy("u", "doc_id", "h")
     chosen = named.join(F.broadcast(shares), "pattern").where("u <= upto").withColumn("at", F.row_number().over(by_hash)).where("at <= quota").select("doc_id", "h", "pattern", "u")
     sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    sample = sample.orderBy("u", "doc_id", "h").select("text", "pattern").collect()  # max_rows bounds it
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy("u", "doc_id", "h"))  # over max_rows rows
+    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy("u", "doc_id", "h").select("text", "pattern").collect()
     return train_scorer([hashed(Look(r["text"])) for r in sample], post[np.searchsorted(patterns, [r["pattern"] for r in sample])])
 
 
