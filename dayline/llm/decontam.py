@@ -1,7 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all test items scans each text once.
 
-Texts are normalised to their words; the automaton's letters are numbers of words, so a match's end is
-the place of a word, which maps back to the characters of the original.
+Texts are normalised to their words, and each word of the items is a fixed number of letters of the
+automaton (the digits of its number), so a match's end tells the place of a word, which maps back to
+the characters of the original.
 
 The items are gathered by the driver in blocks of a checked size (BLOCK_BYTES), each sent to the executors
 as a broadcast of that size at most. A benchmark within one block, the usual case, is one automaton and
@@ -17,6 +18,7 @@ empty tables give no rows or no hits; other columns are not used.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,32 +42,40 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+#: Letters that each digit can be; no two digits of a word share one. Few, since a node's letters are searched one by one.
+BASE = 64
+
+
 class Automaton:
-    """Over the windows of (item id, text) as runs of word numbers; each window has its length and the items that hold it."""
+    """Over the windows of (item id, text) as strings of a few letters for each word; each window has its length and the items that hold it."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], list[str]] = {}
+        known = list(dict.fromkeys(w for _, text in items for w in words_of(text)))
+        digits = self.digits = next(d for d in range(1, 9) if BASE**d >= len(known))
+        self.letters = {w: "".join(chr(1 + BASE * d + number // BASE**d % BASE) for d in range(digits)) for number, w in enumerate(known)}
+        self.other = "\0" * digits
+        held: dict[str, list[str]] = {}
         for item, text in items:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            for w in {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else ():
+            words = "".join(map(self.letters.__getitem__, words_of(text)))
+            size = len(words) // digits
+            for w in {words[i * digits : (i + n) * digits] for i in range(max(1, size - n + 1))} if words else ():
                 if item not in held.setdefault(w, []):  # pieces of an item overlap
                     held[w].append(item)
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.machine = ahocorasick.Automaton()
         for w, names in held.items():
-            self.machine.add_word(w, (len(w), names))
+            self.machine.add_word(w, (len(w) // digits, names))
         if held:
             self.machine.make_automaton()
 
     def scan(self, text: str | None) -> tuple[np.ndarray, set[str]]:
-        """A mark for each word of the text that a window covers, and the items found. Words that no item has are number 0."""
+        """A mark for each word of the text that a window covers, and the items found. Words that no item has are all alike."""
         words = words_of(text)
         hit, names = np.zeros(len(words) + 1, dtype=np.int32), set()
         if len(self.machine):
-            number = self.number
-            for last, (size, items) in self.machine.iter(tuple([number.get(w, 0) for w in words])):
+            for end, (size, items) in self.machine.iter("".join(map(self.letters.get, words, repeat(self.other)))):
+                last = end // self.digits
                 hit[last - size + 1] += 1
                 hit[last + 1] -= 1
                 names.update(items)
