@@ -191,10 +191,21 @@ def place(line1: Column, line2: Column, ts: Column) -> Column:
 
 
 def track(bases: DataFrame, *, start: int = -2000, end: int = 3790, step: int = 10) -> DataFrame:
-    """Of rows (t, tle_line1, tle_line2): positions at t + i seconds, i from start to end, and the part of the track that each belongs to."""
+    """Of rows (t, tle_line1, tle_line2): positions at t + i seconds, i from start to end, and the part of the track that each belongs to. Several element sets at one time are tracks of their own."""
     from ..operators.sequences import split_track
 
     rows = bases.withColumn("i", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))))
     at = F.timestamp_micros(F.unix_micros(F.col("t").cast("timestamp")) + F.col("i").cast("long") * 1_000_000)
-    rows = rows.withColumn("p", place(F.col("tle_line1"), F.col("tle_line2"), at)).select("t", "i", "p.*")
-    return split_track(rows, ["t"])
+    rows = rows.withColumn("p", place(F.col("tle_line1"), F.col("tle_line2"), at)).select("t", "tle_line1", "tle_line2", "i", "p.*")
+    return split_track(rows, ["t", "tle_line1", "tle_line2"])
+
+
+def nearest_elements(bases: DataFrame, elements: DataFrame) -> DataFrame:
+    """Base times (t) with the element set (epoch, tle_line1, tle_line2) of their own month or the two beside it whose epoch is nearest; the earlier of two as near."""
+    from ..operators.joins import nearest
+
+    month = F.trunc(F.col("t"), "MM")
+    own = F.trunc(F.col("epoch"), "MM")
+    near = elements.withColumn("_month", F.explode(F.array(F.add_months(own, -1), own, F.add_months(own, 1))))
+    found = nearest(bases.withColumn("_month", month), near, by=["_month"], at="t", epoch="epoch", order=["tle_line1", "tle_line2"], payload=["tle_line1", "tle_line2"])
+    return found.drop("_month")

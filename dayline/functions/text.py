@@ -43,9 +43,14 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, SPACES), lambda w: w != ""))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACES}|{SPACES}\z", "")
+
+
 def scrub(text: Column, mark: str = "|") -> Column:
     """Without white space at its ends, and the delimiter as a space."""
-    return F.replace(F.trim(text), F.lit(mark), F.lit(" "))
+    return F.replace(stripped(text), F.lit(mark), F.lit(" "))
 
 
 def joined_segments(segments: Column) -> Column:

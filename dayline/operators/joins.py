@@ -13,14 +13,14 @@ def covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end:
 
     A null start is the beginning of time, a null end never covers. Both sides meet by buckets of
     days, so the join is an equi-join of any size; an interval is repeated only for the buckets
-    that its days share with the points' range.
+    that its days share with the points' range, which comes to it as one row of the same plan. A bucket
+    that many points or intervals share is a skewed key of an inner join, which adaptive execution splits.
     """
     day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86400 * bucket_days))
-    low, high = points.agg(F.min(day(at)), F.max(day(at))).first()
-    if low is None:
-        low, high = 0, -1
-    first, last = F.greatest(F.coalesce(day(start), F.lit(low)), F.lit(low)), F.least(day(end), F.lit(high))
-    dealt = intervals.where(F.col(end).isNotNull() & (first <= last)).withColumn("bucket", F.explode(F.sequence(first, last)))
+    span = F.broadcast(points.agg(F.min(day(at)).alias("_low"), F.max(day(at)).alias("_high")))
+    first, last = F.greatest(F.coalesce(day(start), F.col("_low")), F.col("_low")), F.least(day(end), F.col("_high"))
+    dealt = intervals.where(F.col(end).isNotNull()).crossJoin(span).where(first <= last)
+    dealt = dealt.withColumn("bucket", F.explode(F.sequence(first, last))).drop("_low", "_high")
     inside = (F.coalesce(F.col(start).cast("timestamp"), F.timestamp_seconds(F.lit(0))) <= F.col(at).cast("timestamp")) & (F.col(end).cast("timestamp") >= F.col(at).cast("timestamp"))
     return points.withColumn("bucket", day(at)).join(dealt, "bucket").where(inside).drop("bucket")
 
@@ -34,21 +34,24 @@ def onboard(dates: DataFrame, crew: DataFrame) -> DataFrame:
 def first_covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, order: str, key: list[str]) -> DataFrame:
     """Each point with the first interval by order that covers it; a missing end never does."""
     found = covering(points, intervals, at, start, end)
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n")
+    rest = [c for c in found.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("_first")  # combined before the shuffle
+    return found.groupBy(*key).agg(first).select(*key, "_first.*").select(*found.columns)
 
 
 def nearest(left: DataFrame, right: DataFrame, *, by: list[str], at: str, epoch: str, order: list[str], payload: list[str]) -> DataFrame:
     """Each left row with the right row of the same key whose epoch is nearest; ties go to the earlier epoch, then to the first by order.
 
-    Both sides are laid out in one order of time; the row before and the row after are picked by
-    windows, so a key's rows are sorted, never paired.
+    Both sides are laid out in one order of time; the row before is carried forwards and the row after
+    backwards, by running windows, so a key's rows are sorted twice, never paired, and the work of a hot
+    key grows in proportion to its rows.
     """
     picked = F.struct(F.col(epoch).alias("_t"), *payload)
     first = right.where(F.col(epoch).isNotNull()).groupBy(*by, epoch).agg(F.min_by(picked, F.struct(*order)).alias("_r"))
     rows = left.select(*by, F.col(at).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(first.schema["_r"].dataType).alias("_r"), F.lit(1).alias("_k"))
     both = rows.unionByName(first.select(*by, F.col(epoch).alias("_t"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), "_r", F.lit(0).alias("_k")))
-    line = Window.partitionBy(*by).orderBy("_t", "_k")
-    both = both.withColumn("_b", F.last("_r", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first("_r", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)))
+    carried = lambda *order: F.last("_r", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_b", carried("_t", "_k")).withColumn("_a", carried(F.desc("_t"), F.desc("_k")))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     to_before, to_after = micros(F.col("_t")) - micros(F.col("_b._t")), micros(F.col("_a._t")) - micros(F.col("_t"))
     best = F.when(F.col("_a").isNull() | (to_before <= to_after), F.coalesce("_b", "_a")).otherwise(F.col("_a"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def gap_sessions(rows: DataFrame, keys: list[str], at: Column, order: list[str | Column], gap: float, name: str = "session") -> DataFrame:
@@ -27,26 +29,27 @@ def voiced_sessions(frames: DataFrame, frame_ms: int = 20, silence: int = 10) ->
     return found.select("file", "session", (F.col("first") * frame_ms).alias("start_ms"), F.col("first").alias("start_frame"), F.least(F.col("last") + silence, F.col("_last")).alias("end_frame"), "n_speech")
 
 
-def greedy_chunks(items: Column, size: Column | None = None, most: int = 1000, text: str = "text") -> Column:
-    """Chunk number (from 0) of each item of an ordered array: a new chunk begins where the sum of text lengths would pass `most`; an over-long first item leaves an empty chunk before it."""
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("length"), F.array().cast("array<int>").alias("numbers"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.coalesce(F.length(x[text]), F.lit(0))
-        full = acc["length"] + n > most
-        chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(full, n).otherwise(acc["length"] + n).alias("length"), F.concat(acc["numbers"], F.array(chunk)).alias("numbers"))
-
-    return F.aggregate(items, zero, step)["numbers"]
-
-
 def chunked(rows: DataFrame, keys: list[str], order: list[str], text: str, most: int = 1000) -> DataFrame:
-    """rows with the chunk of each, by key in order."""
-    rest = [c for c in rows.columns if c not in keys]
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("_items"))
-    lists = lists.withColumn("_chunks", greedy_chunks(F.col("_items"), most=most, text=text))
-    pairs = F.explode(F.arrays_zip("_items", "_chunks")).alias("_x")
-    return lists.select(*keys, pairs).select(*keys, "_x._items.*", F.col("_x._chunks").alias("chunk"))
+    """rows with the chunk (from 0) of each, by key in order: a new chunk begins where the sum of text lengths would pass `most`; an over-long first item leaves an empty chunk before it.
+
+    A partition's rows stream past in order, and only the key, the chunk and its length are held, so a key may have any number of rows.
+    """
+    from pyspark.sql.types import IntegerType
+
+    def run(batches):
+        key, chunk, length = None, 0, 0
+        for batch in batches:
+            out = []
+            for row in zip(*[batch[k].to_pylist() for k in [*keys, "_length"]], strict=True):
+                if row[:-1] != key:
+                    key, chunk, length = row[:-1], 0, 0
+                full = length + row[-1] > most
+                chunk, length = chunk + full, row[-1] + (0 if full else length)
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int32())], names=[*batch.schema.names[:-1], "chunk"])
+
+    lined = rows.withColumn("_length", F.coalesce(F.length(text), F.lit(0))).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return lined.mapInArrow(run, StructType([*rows.schema.fields, StructField("chunk", IntegerType())]))
 
 
 def pair_rows(rows: DataFrame, keys: list[str], order: list[str], opens: Column, closes: Column, carry: list[str]) -> DataFrame:

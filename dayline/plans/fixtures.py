@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import models
-from ..functions import orbit
+from ..functions import orbit, times
 from ..operators import sequences, tables
 from .registry import Tables, query
 
@@ -28,24 +28,47 @@ def article_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tables.article_text(F.col("html")).alias("content")).where("content <> ''")
 
 
-@query("html_tables", None)
+def _page(t: Tables, name: str, html: str) -> DataFrame:
+    return t.spark.createDataFrame([(name, html)], "page string, html string")
+
+
+@query("page_tables", None)
+def page_tables(t: Tables) -> DataFrame:
+    """Rows of the tables of all pages."""
+    return tables.scan_tables(t.pages.select("page_id", "html")).select("page_id", "table_no", "row_no", F.size("cells").alias("n_cells"))
+
+
+# The next three read pages of their own, stated above with what is in them, since the table of pages has no such page.
+@query("html_tables", "SELECT * FROM (VALUES ('crew', 0, 1, 8), ('crew', 0, 2, 3), ('crew', 0, 3, 2)) x(page, table_no, row_no, n_cells)")
 def html_tables(t: Tables) -> DataFrame:
-    pages = t.pages.limit(1).select(F.lit("crew").alias("page"), F.lit(CREW_PAGE).alias("html"))
-    return tables.scan_tables(pages, drop_last=True).select("page", "table_no", "row_no", F.size("cells").alias("n_cells"))
+    return tables.scan_tables(_page(t, "crew", CREW_PAGE), drop_last=True).select("page", "table_no", "row_no", F.size("cells").alias("n_cells"))
 
 
-@query("crew_dispatch", None)
+@query(
+    "crew_dispatch",
+    """SELECT * FROM (VALUES ('A. Alpha', 'United States', '2000-11-02T09:21:00Z', 'TM-31', '2001-03-21T07:33:00Z', 'STS-102', '141'),
+      ('B. Beta', 'Russia', '2000-11-02T09:21:00Z', 'TM-31', '2001-03-21T07:33:00Z', 'STS-102', '141'),
+      ('C. Gamma', 'Japan', '2001-03-08T11:42:00Z', 'STS-102', NULL, NULL, NULL)) x(name, nationality, "arrivalDate", "arrivalFlight", "departureDate", "departureFlight", "durationDays")""",
+)
 def crew_dispatch(t: Tables) -> DataFrame:
-    pages = t.pages.limit(1).select(F.lit("crew").alias("page"), F.lit(CREW_PAGE).alias("html"))
-    good, _ = tables.crew_rows(tables.scan_tables(pages, drop_last=True))
+    good, _ = tables.crew_rows(tables.scan_tables(_page(t, "crew", CREW_PAGE), drop_last=True))
     return tables.crew_stays(good, ["row_no"])
 
 
-@query("spacewalk_rows", None)
+@query(
+    "spacewalk_rows",
+    """SELECT '1' AS number, 'Exp 42EVA 3' AS mission, 3 AS "missionEvaNum", 2 AS n_crew, '2015-01-01T00:00:00Z' AS "startTime", '6 h 30 min' AS duration,
+      'Installed <a target="_blank" href="https://en.wikipedia.org/wiki/Cable">cables</a>' AS description""",
+)
 def spacewalk_rows(t: Tables) -> DataFrame:
-    pages = t.pages.limit(1).select(F.lit("walks").alias("page"), F.lit(WALKS_PAGE).alias("html"))
-    found = tables.spacewalks(tables.scan_tables(pages), ["page"])
-    return found.select("number", "mission", "missionEvaNum", F.size("crew").alias("n_crew"), "startTime", "duration", "description")
+    found = tables.spacewalks(tables.scan_tables(_page(t, "walks", WALKS_PAGE)), ["page"])
+    return found.select("number", "mission", "missionEvaNum", F.size("crew").alias("n_crew"), times.iso_z(F.col("startTime")).alias("startTime"), "duration", "description")
+
+
+@query("expedition_fields", "SELECT page_id, '2023-05-05' AS start, 'later ' || page_id AS \"end\" FROM pages")
+def expedition_fields(t: Tables) -> DataFrame:
+    box = F.concat(F.lit("<table><tr><th>Launch</th><td><span>May 5, 2023</span></td></tr><tr><th scope='row'>Landing date</th><td>later "), F.col("page_id").cast("string"), F.lit("</td></tr></table>"), "html")
+    return tables.expedition_fields(t.pages.select("page_id", box.alias("html")))
 
 
 @query("orbit_track", None)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, times
 from ..operators import aggregates, joins, sequences
 from ..sources import pipe
+from . import dayview
 from .registry import Tables, query
 
 SPACES = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -61,15 +62,27 @@ def _listed(phrases: list[str]) -> str:
     return ", ".join("'" + p.replace("'", "''") + "'" for p in phrases)
 
 
-@query("blocklist_exact", f"SELECT conv_id, turn FROM conversations WHERE NOT coalesce(trim(split_part(text, '.', 1)) || '.' IN ({_listed(text.WORTHLESS)}), false)")
+#: SQL for said without white space at its ends.
+STRIP = "trim(said, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160))"
+# every few rows say one of the phrases
+SAID = f"[{_listed(text.WORTHLESS)}]"
+INSIDE = f"[{_listed(text.WORTHLESS_INSIDE)}]"
+
+
+def _phrase(phrases: list[str], n: Column) -> Column:
+    return F.array(*map(F.lit, phrases))[(n % len(phrases)).cast("int")]
+
+
+@query("blocklist_exact", f"SELECT conv_id, turn FROM (SELECT *, CASE WHEN (conv_id + turn) % 3 = 0 THEN {SAID}[1 + conv_id % {len(text.WORTHLESS)}] ELSE text END AS said FROM conversations) WHERE NOT coalesce(said IN ({_listed(text.WORTHLESS)}), false)")
 def blocklist_exact(t: Tables) -> DataFrame:
-    first = F.concat(F.trim(F.split_part("text", F.lit("."), F.lit(1))), F.lit("."))
-    return t.conversations.where(~first.isin(*text.WORTHLESS)).select("conv_id", "turn")
+    said = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, _phrase(text.WORTHLESS, F.col("conv_id"))).otherwise(F.col("text"))
+    return t.conversations.withColumn("said", said).where(~F.coalesce(F.col("said").isin(*text.WORTHLESS), F.lit(False))).select("conv_id", "turn")
 
 
-@query("blocklist_contains", f"SELECT doc_id FROM documents WHERE len(list_filter([{_listed(text.WORTHLESS_INSIDE)}], lambda p: contains(text, p))) = 0")
+@query("blocklist_contains", f"SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || {INSIDE}[1 + doc_id % {len(text.WORTHLESS_INSIDE)}] ELSE text END AS said FROM documents) WHERE len(list_filter({INSIDE}, lambda p: contains(said, p))) = 0")
 def blocklist_contains(t: Tables) -> DataFrame:
-    return t.documents.where(~text.contains_any(F.col("text"), text.WORTHLESS_INSIDE)).select("doc_id")
+    said = F.when(F.col("doc_id") % 4 == 1, F.concat("text", _phrase(text.WORTHLESS_INSIDE, F.col("doc_id")))).otherwise(F.col("text"))
+    return t.documents.withColumn("said", said).where(~text.contains_any(F.col("said"), text.WORTHLESS_INSIDE)).select("doc_id")
 
 
 @query("title_filter", "SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), 'ring') OR contains(lower(p_name), 'bolt')) AND NOT (contains(lower(p_name), 'red') OR contains(lower(p_name), 'small'))")
@@ -119,19 +132,25 @@ def pair_rows(t: Tables) -> DataFrame:
 
 @query(
     "utterance_rows",
-    """SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn), '%H:%M:%S') AS utteranceTime, conv_id || '_SG_' || (turn % 4) || '.aac' AS filename,
-      turn::VARCHAR AS start, (turn + 1)::VARCHAR AS "end", coalesce(nullif(role, 'user'), 'en') AS language, replace(trim(text), '|', ' ') AS text, 'Live' AS duration, '2024-01' AS month FROM conversations""",
+    f"""WITH x AS (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS wall, CASE WHEN (conv_id + turn) % 5 = 0 THEN {SAID}[1 + conv_id % {len(text.WORTHLESS)}] WHEN turn % 2 = 1 THEN ' ' || text || ' | x' || chr(10) ELSE text END AS said FROM conversations)
+    SELECT strftime((wall AT TIME ZONE 'America/Chicago') AT TIME ZONE 'UTC', '%H:%M:%S') AS utteranceTime, conv_id || '_SG_' || (turn % 4) || '.aac' AS filename, turn || '.0' AS start, (turn + 1) || '.5' AS "end",
+      coalesce(nullif(role, 'user'), 'en') AS language, replace({STRIP}, '|', ' ') || CASE WHEN turn % 2 = 0 THEN ' and more' ELSE '' END AS text, '' AS "textOriginalLang"
+    FROM x WHERE NOT (said IN ({_listed(text.WORTHLESS)}) AND turn % 2 = 1)""",
 )
 def utterance_rows(t: Tables) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn"))
-    name = text.swap_extension(F.concat(F.col("conv_id").cast("string"), F.lit("_SG_"), (F.col("turn") % 4).cast("string"), F.lit(".json")), "json", "aac")
-    return t.conversations.select(
-        F.date_format(at, "HH:mm:ss").alias("utteranceTime"), name.alias("filename"), F.col("turn").cast("string").alias("start"), (F.col("turn") + 1).cast("string").alias("end"),
-        F.coalesce(F.nullif("role", F.lit("user")), F.lit("en")).alias("language"), text.scrub(F.col("text")).alias("text"), F.lit("Live").alias("duration"), F.date_format(F.lit("2024-01-01").cast("date"), "yyyy-MM").alias("month"),
+    odd = F.col("turn") % 2 == 1
+    said = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, _phrase(text.WORTHLESS, F.col("conv_id"))).when(odd, F.concat(F.lit(" "), "text", F.lit(" | x\n"))).otherwise(F.col("text"))
+    segment = lambda words, start, end: F.struct(words.alias("text"), start.cast("double").alias("start"), end.cast("double").alias("end"))
+    one, two = segment(said, F.col("turn"), F.col("turn") + 1.5), segment(F.lit("and more "), F.col("turn") + 1, F.col("turn") + 1.5)
+    raw = t.conversations.select(
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utteranceTime"), F.concat(F.col("conv_id").cast("string"), F.lit("_SG_"), (F.col("turn") % 4).cast("string"), F.lit(".json")).alias("filename"),
+        F.nullif("role", F.lit("user")).alias("language"), F.when(odd, F.array(one)).otherwise(F.array(one, two)).alias("segments"), F.lit(None).cast("array<struct<text: string, start: double, end: double>>").alias("origLangSegments"),
     )
+    return dayview.transcript_rows(raw).drop("utterance_ts_utc")
 
 
-@query("pipe_roundtrip", "SELECT doc_id::VARCHAR AS id, lang, replace(replace(trim(text), '|', ' '), chr(10), ' ') AS text, 3 AS fields FROM documents")
+@query("pipe_roundtrip", "SELECT doc_id::VARCHAR AS id, lang, replace(replace(" + STRIP.replace("said", "text") + ", '|', ' '), chr(10), ' ') AS text, 3 AS fields FROM documents")
 def pipe_roundtrip(t: Tables) -> DataFrame:
     flat = t.documents.select(F.col("doc_id").cast("string").alias("id"), "lang", F.replace(text.scrub(F.col("text")), F.lit("\n"), F.lit(" ")).alias("text"))
     lines = flat.select(pipe.line(*flat.columns).alias("value"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import wave
 import zipfile
 
@@ -14,6 +16,16 @@ from ..functions import text as T
 from ..functions import times
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors share, spark.checkpoint.dir; in local mode a temporary one will do."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="dayline-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files of one object or an array each, with the name of their file."""
     rows = spark.read.option("multiLine", True).schema(schema).json(path)
@@ -74,22 +86,27 @@ def track(status: DataFrame, add: DataFrame | None = None, drop: DataFrame | Non
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Zip files of a folder, whatever the case of their suffix, newest first by the date in their names."""
-    files = spark.read.format("binaryFile").load(folder).where(F.endswith(F.lower("path"), F.lit(".zip")))
+    """Zip files of a folder, whatever the case of their suffix, newest first by the date in their names; their contents are not read."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select("path", name.alias("name"), times.archive_date(name).alias("date"), "content").orderBy(F.desc("date"), F.desc("name"))
+    return _zips(spark, folder).select("path", name.alias("name"), times.archive_date(name).alias("date"), "length").orderBy(F.desc("date"), F.desc("name"))
+
 
+def _zips(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(folder).where(F.endswith(F.lower("path"), F.lit(".zip")))
 
-def members(zips: DataFrame) -> DataFrame:
-    """Sound files of archives whose own date is the archive's: archive, date, name, date_time, channel and content."""
+
+def members(spark: SparkSession, folder: str) -> DataFrame:
+    """Sound files of a folder's archives whose own date is the archive's: archive, date, name, date_time, channel and content. One member at a time leaves an archive."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    zips = _zips(spark, folder).select(name.alias("name"), times.archive_date(name).alias("date"), "content")
 
     def scan(frames):
         for frame in frames:
-            rows = []
             for name, date, content in zip(frame["name"], frame["date"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(name, date, i.filename, z.read(i)) for i in z.infolist() if i.filename.lower().endswith(".wav")]
-            yield pd.DataFrame(rows, columns=["archive", "date", "name", "content"])
+                    for i in z.infolist():
+                        if i.filename.lower().endswith(".wav"):
+                            yield pd.DataFrame([(name, date, i.filename, z.read(i))], columns=["archive", "date", "name", "content"])
 
     found = zips.select("name", "date", "content").mapInPandas(scan, "archive string, date string, name string, content binary")
     found = found.withColumn("r", T.recording_name(F.col("name"))).where("r IS NOT NULL")

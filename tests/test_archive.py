@@ -62,7 +62,7 @@ def test_archives(spark, tmp_path):
             z.writestr("notes.txt", "x")
     zips = files.archives(spark, str(tmp_path))
     assert [r["date"] for r in zips.collect()] == ["2024-01-09", "2024-01-08"]
-    found = files.members(zips)
+    found = files.members(spark, str(tmp_path))
     assert [(r["date_time"], r["channel"]) for r in found.collect()] == [("2024-01-08_02_09_04", "4")]
     frames = files.wav_frames(found)
     assert [(r["frame_no"], r["is_speech"]) for r in frames.orderBy("frame_no").collect()] == [(1, False), (2, True), (3, False)]
@@ -111,6 +111,21 @@ def test_track(spark):
     assert all(400 < r["height_km"] < 440 and 26000 < r["speed_kmh"] < 29000 and abs(r["lat"]) < 52.5 for r in rows)
 
 
+def test_track_of_two_element_sets(spark):
+    """Element sets at one time are tracks of their own, and each time takes the nearest; 121 points an hour to both sides, ends included."""
+    other = (fixtures.TLE[0], fixtures.TLE[1].replace("208.9163", "028.9163"))
+    df = spark.createDataFrame([("2024-01-01 12:00:00", *fixtures.TLE), ("2024-01-01 12:00:00", *other)], "t string, tle_line1 string, tle_line2 string").withColumn("t", F.to_timestamp("t"))
+    both = orbit.track(df).collect()
+    alone = [orbit.track(df.where(F.col("tle_line2") == x[1])).collect() for x in (fixtures.TLE, other)]
+    key = lambda r: (r["tle_line2"], r["i"])
+    assert sorted(both, key=key) == sorted(alone[0] + alone[1], key=key)
+    assert [r["i"] for r in orbit.track(df.limit(1), start=-3600, end=3600, step=60).orderBy("i").collect()] == list(range(-3600, 3601, 60))
+    elements = spark.createDataFrame([("2023-12-31 00:00:00", "a", "1"), ("2024-01-02 00:00:00", "b", "1"), ("2024-01-05 00:00:00", "c", "1"), ("2024-03-01 00:00:00", "d", "1")], "epoch string, tle_line1 string, tle_line2 string").withColumn("epoch", F.to_timestamp("epoch"))
+    bases = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-01 00:00:01",), ("2024-02-05 00:00:00",), ("2024-04-30 00:00:00",)], "t string").withColumn("t", F.to_timestamp("t"))
+    found = orbit.nearest_elements(bases, elements).orderBy("t").collect()
+    assert [r["tle_line1"] for r in found] == ["a", "b", "d", "d"]
+
+
 def test_models(spark):
     df = spark.createDataFrame([("One. Two",), (None,)], "text string")
     assert [r[0] for r in df.select(models.apply(F.col("text"), models.first_sentences)).collect()] == ["One", ""]

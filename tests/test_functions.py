@@ -80,3 +80,8 @@ def test_terminator(spark):
         assert len(ring) == 1444
         assert ring[0] == ring[-1]
         assert ring[0]["lat"] == (-90.0 if north else 90.0)
+
+
+def test_white_space_at_ends(spark):
+    df = spark.createDataFrame([("\u00a0\n a|b\t\r\n",), (" \u3000",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.scrub(F.col("t"))).collect()] == ["a b", "", None]

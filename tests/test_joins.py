@@ -81,3 +81,27 @@ def test_schemas_parse(spark):
 
     for name in [n for n in vars(schemas) if n.isupper() and " " in getattr(schemas, n) and not getattr(schemas, n).startswith("struct")]:
         assert StructType.fromDDL(getattr(schemas, name)).fields
+
+
+def test_nearest_of_a_hot_key(spark):
+    """Ten times the rows of one key take nothing like a hundred times as long."""
+    import time
+
+    def took(n):
+        left = spark.range(n).selectExpr("1 AS k", "timestamp_seconds(id * 3) AS t", "id AS row")
+        right = spark.range(n).selectExpr("1 AS k", "timestamp_seconds(id * 3 + 1) AS epoch", "id AS element")
+        began = time.perf_counter()
+        found = joins.nearest(left, right, by=["k"], at="t", epoch="epoch", order=["element"], payload=["element"])
+        assert found.where("row > 0 AND element <> row").count() == 0
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(50_000) < 30
+
+
+def test_first_covering(spark):
+    points = spark.createDataFrame([("a", "2024-01-05"), ("b", "2024-01-20"), ("c", "2023-01-01")], "k string, t string").withColumn("at", F.to_timestamp("t"))
+    spans = spark.createDataFrame([(2, "2024-01-01", "2024-01-10"), (1, "2024-01-05", "2024-02-01"), (3, None, "2024-01-05"), (4, "2024-01-01", None)], "n int, start string, end string").withColumns({c: F.to_timestamp(c) for c in ("start", "end")})
+    found = joins.first_covering(points, spans, "at", "start", "end", "n", ["k"])
+    assert sorted((r["k"], r["n"], r["t"]) for r in found.collect()) == [("a", 1, "2024-01-05"), ("b", 1, "2024-01-20"), ("c", 3, "2023-01-01")]
+    assert joins.first_covering(points.limit(0), spans, "at", "start", "end", "n", ["k"]).count() == 0
