@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: what Unicode calls so.
 SPACES = r"[\u0009-\u000D\u001C- \u0085   -     　]+"
+#: The same characters, one by one.
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Phrases that make an utterance worthless if its text is one of them, or if its first segment contains one.
 WORTHLESS = [
@@ -45,7 +47,7 @@ def word_count(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at its ends."""
-    return F.regexp_replace(text, rf"^{SPACES}|{SPACES}\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def scrub(text: Column, mark: str = "|") -> Column:
