@@ -1,11 +1,12 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier on its posterior labels.
 
-Voters are words (lexicon) and word beginnings (patterns), found one by one as the most telling
-feature of the labelled texts, which count less where earlier voters fire; one more voter fires where no other
-does. A voter votes where it fires and abstains elsewhere. The label model estimates each voter's
-rates in both classes by expectation-maximisation, measures how voters correlate within the classes
-and lets correlated voters share their weight. The posterior labels of the sample train a logistic
-classifier on words and word beginnings, which scores whole texts.
+Voters are words (lexicon) and word beginnings that one, two or three different words of a text have
+(patterns), found one by one as the most telling feature of the labelled texts, which count less where
+earlier voters fire; one more voter fires where no other does. A voter votes where it fires and abstains
+elsewhere. The label model estimates each voter's rates in both classes by expectation-maximisation and
+measures how voters correlate within the classes; voters that fire on the same text share their weight as
+far as they correlate, one that fires alone keeps it whole. The posterior labels of the sample train a
+logistic classifier on the same kinds of features, which scores whole texts.
 
 The sample holds at most max_rows labelled rows, those with the smallest hashes of their ids, and of
 them the first max_bytes of text at most; it is fitted on the driver, and everything else runs on the
@@ -31,34 +32,47 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that can be patterns.
 STEMS = (3, 4, 5, 6, 7, 8)
+#: Up to so many different words of a text with one beginning are told apart.
+LEVELS = 3
+#: Features in fewer texts of the sample are left out.
+LEAST = 4
 
 
 def word_features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
+def feature_name(base: str, level: int) -> str:
+    """base alone for one word, with 2 or 3 behind it for so many."""
+    return f"{base}{level + 1}" if level else base
+
+
 def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
 class Bags:
-    """The features of each text as numbers, and their names."""
+    """The features of each text as numbers, and their names: a feature that n words of the text have stands there at all levels up to n."""
 
     def __init__(self, texts: list[str | None]):
         number: dict[str, int] = {}
-        of_word: dict[str, list[int]] = {}
-        rows = []
+        of_word: dict[str, np.ndarray] = {}
+        rows = [np.empty(0, dtype=np.int32)]
         for text in texts:
-            bag: set[int] = set()
+            found = []
             for w in words_of(text):
                 if w not in of_word:
-                    of_word[w] = [number.setdefault(f, len(number)) for f in word_features(w)]
-                bag.update(of_word[w])
-            rows.append(np.fromiter(bag, dtype=np.int64, count=len(bag)))
-        self.names = list(number)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.feature = np.concatenate([*rows, np.empty(0, dtype=np.int64)])
-        self.n_rows = len(rows)
+                    of_word[w] = np.array([number.setdefault(f, len(number)) for f in word_features(w)], dtype=np.int32)
+                found.append(of_word[w])
+            bag, n = np.unique(np.concatenate([*found, rows[0]]), return_counts=True)
+            rows.append(np.concatenate([LEVELS * bag[n > level] + level for level in range(LEVELS)]).astype(np.int32))
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(r) for r in rows[1:]])
+        feature = np.concatenate(rows)
+        often = np.bincount(feature, minlength=LEVELS * len(number)) >= LEAST
+        place, bases = np.cumsum(often) - 1, list(number)
+        self.names = [feature_name(bases[f // LEVELS], f % LEVELS) for f in np.flatnonzero(often)]
+        self.row, self.feature = row[often[feature]], place[feature[often[feature]]]
+        self.n_rows = len(texts)
 
     def counts(self, target: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each feature: the rows that hold it, and their sum of target."""
@@ -80,14 +94,14 @@ def surprise(n: np.ndarray, ones: np.ndarray, rate: float) -> np.ndarray:
     return (ones - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
 
 
-def pick_voters(bags: Bags, target: np.ndarray, most: int = 120, least: int = 4, edge: float = 6.0) -> tuple[list[int], np.ndarray]:
+def pick_voters(bags: Bags, target: np.ndarray, most: int = 120, least: int = LEAST, edge: float = 6.0) -> tuple[list[int], np.ndarray]:
     """Voters one by one, each the most surprising feature while rows count half for each earlier voter that fires there.
 
     Also returns which features fire, in nine cases of ten, where one voter does; they are not picked.
     """
     weight = np.ones(bags.n_rows)
     out: list[int] = []
-    length = np.array([len(f.rstrip("*")) for f in bags.names])
+    length = np.array([len(f.rstrip("*23")) for f in bags.names])
     every = np.ones(bags.n_rows, dtype=bool)
     total, all_ones = bags.counts(target, every)
     rate = max(float(target.mean()), 1e-6)
@@ -121,24 +135,28 @@ class LabelModel:
         for _ in range(self.rounds):
             self.rate1 = (votes.T @ post + 0.5 * strength) / (post.sum() + strength)
             self.rate0 = (votes.T @ (1 - post) + 0.1 * strength) / ((1 - post).sum() + strength)
-            self.share = self._share(votes, post)
+            self.correlation = self._correlation(votes, post)
+            self.alike = np.clip(self.correlation, 0, 1)
+            np.fill_diagonal(self.alike, 1)
+            self.share = 1 / self.alike.sum(axis=1)  # of an abstention, since most voters abstain together
             now = self.posterior(votes)
             if np.abs(now - post).max() < 1e-4:
                 break
             post = now
         return self.posterior(votes)
 
-    def _share(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """Each voter's weight among those that correlate with it inside the classes."""
+    def _correlation(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """How voters correlate inside the classes."""
         rest = votes - np.outer(post, self.rate1) - np.outer(1 - post, self.rate0)
         cov = rest.T @ rest / max(1, len(votes))
         sd = np.sqrt(np.diag(cov)) + 1e-9
-        self.correlation = cov / np.outer(sd, sd)
-        return 1.0 / np.clip(self.correlation - 0.1, 0, None).sum(axis=1).clip(0.9, None) * 0.9
+        return cov / np.outer(sd, sd)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        fires = np.log(self.rate1.clip(1e-6, 1) / self.rate0.clip(1e-6, 1)) * self.share
-        logit = np.log(self.prior / (1 - self.prior)) + votes @ fires
+        """Each vote counts by its share among the votes on the same row that correlate with it, each abstention by its share among all voters."""
+        fires = np.log(self.rate1.clip(1e-6, 1) / self.rate0.clip(1e-6, 1))
+        rests = np.log((1 - self.rate1).clip(1e-6, 1) / (1 - self.rate0).clip(1e-6, 1)) * self.share
+        logit = np.log(self.prior / (1 - self.prior)) + (votes / np.maximum(votes @ self.alike, 1)) @ fires + (1 - votes) @ rests
         return 1 / (1 + np.exp(-logit.clip(-30, 30)))
 
 
@@ -169,7 +187,7 @@ def fit(texts: list[str | None], labels: list[int], *, most_features: int = 200)
     votes = np.hstack([votes, (votes.sum(axis=1, keepdims=True) == 0)])
     posterior = LabelModel(rate).fit(votes, y)
     n, ones = bags.counts(posterior, np.ones(bags.n_rows, dtype=bool))
-    z = np.where((n >= 4) & ~echo, np.abs(surprise(n, ones, float(posterior.mean()))), 0)
+    z = np.where((n >= LEAST) & ~echo, np.abs(surprise(n, ones, float(posterior.mean()))), 0)
     names = list(dict.fromkeys([*voters, *(f for f in np.argsort(-z, kind="stable")[:most_features].tolist() if z[f] > 0)]))
     w = logistic(bags.holds(names), posterior)
     return {bags.names[f]: float(v) for f, v in zip(names, w[:-1], strict=True) if abs(v) > 1e-4}, float(w[-1])
@@ -194,21 +212,23 @@ class Scorer:
     """Scores of texts by the weights; remembers the weights of words."""
 
     def __init__(self, weights: dict[str, float], constant: float, most: int = 100_000):
-        self.weights, self.constant, self.most = weights, constant, most
+        self.constant, self.most = constant, most
+        self.steps = {b: [weights.get(feature_name(b, level), 0.0) for level in range(LEVELS)] for b in sorted({f.rstrip("23") for f in weights})}
         self.known: dict[str, tuple[str, ...]] = {}
 
     def __call__(self, text: str | None) -> float:
-        hit: set[str] = set()
-        known, weights = self.known, self.weights
+        hits: dict[str, int] = {}
+        known, steps = self.known, self.steps
         for w in words_of(text):
             found = known.get(w)
             if found is None:
-                found = tuple(f for f in word_features(w) if f in weights)
+                found = tuple(f for f in word_features(w) if f in steps)
                 if len(known) < self.most:
                     known[w] = found
-            if found:
-                hit.update(found)
-        return 1 / (1 + np.exp(-min(30.0, max(-30.0, self.constant + sum(weights[f] for f in sorted(hit))))))
+            for f in found:
+                hits[f] = hits.get(f, 0) + 1
+        total = self.constant + sum(sum(steps[f][: hits[f]]) for f in sorted(hits))
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, total))))
 
 
 def score_of(text: Column, model: tuple[dict[str, float], float]) -> Column:

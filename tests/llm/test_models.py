@@ -55,6 +55,21 @@ def test_label_model():
     assert model.share[3] < 0.75 < model.share[0] + 0.1
 
 
+def test_toxic_beginnings_by_number():
+    """A beginning that clean texts have once and toxic ones in several words."""
+    rng = random.Random(4)
+    ends = ["".join(rng.choice("abdeghiklmnoprst") for _ in range(5)) for _ in range(80)]
+
+    def text(n: int) -> str:
+        words = [rng.choice(ends) for _ in range(60)] + ["zwock" + e for e in rng.sample(ends, n)]
+        return " ".join(rng.sample(words, len(words)))
+
+    rows = [(text(rng.randint(2, 5)), 1) if i % 8 == 0 else (text(int(i % 4 == 1)), 0) for i in range(1600)]
+    scorer = toxicity.Scorer(*toxicity.fit([t for t, _ in rows[:1000]], [y for _, y in rows[:1000]]))
+    assert np.mean([(scorer(t) >= 0.5) == bool(y) for t, y in rows[1000:]]) > 0.99
+    assert scorer("zwockab zwockab zwockab") < 0.5 < scorer("zwockab zwocket zwockin")  # repeats are one word
+
+
 def test_quality(spark):
     rng = random.Random(2)
     plain = ["".join(rng.choice("abdeghiklmnoprst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
