@@ -105,7 +105,7 @@ def pick_voters(bags: Bags, target: np.ndarray, most: int = 120, least: int = LE
     every = np.ones(bags.n_rows, dtype=bool)
     total, all_ones = bags.counts(target, every)
     rate = max(float(target.mean()), 1e-6)
-    doubtful = (all_ones < least) | (all_ones < 0.6 * total)
+    doubtful = (all_ones < least) | (all_ones < 0.8 * total)
     echo = np.zeros(len(bags.names), dtype=bool)
     while len(out) < most:
         n, ones = (np.bincount(bags.feature, weights=w[bags.row], minlength=len(bags.names)) for w in (weight, weight * target))
@@ -136,9 +136,8 @@ class LabelModel:
             self.rate1 = (votes.T @ post + 0.5 * strength) / (post.sum() + strength)
             self.rate0 = (votes.T @ (1 - post) + 0.1 * strength) / ((1 - post).sum() + strength)
             self.correlation = self._correlation(votes, post)
-            self.alike = np.clip(self.correlation, 0, 1)
+            self.alike = np.clip((self.correlation - 0.1) / 0.9, 0, 1)  # small correlations come by chance
             np.fill_diagonal(self.alike, 1)
-            self.share = 1 / self.alike.sum(axis=1)  # of an abstention, since most voters abstain together
             now = self.posterior(votes)
             if np.abs(now - post).max() < 1e-4:
                 break
@@ -152,11 +151,15 @@ class LabelModel:
         sd = np.sqrt(np.diag(cov)) + 1e-9
         return cov / np.outer(sd, sd)
 
+    @property
+    def share(self) -> np.ndarray:
+        """Each voter's share where all that correlate with it fire too."""
+        return 1 / self.alike.sum(axis=1)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Each vote counts by its share among the votes on the same row that correlate with it, each abstention by its share among all voters."""
+        """Each vote counts by its share among the votes on the same row that correlate with it."""
         fires = np.log(self.rate1.clip(1e-6, 1) / self.rate0.clip(1e-6, 1))
-        rests = np.log((1 - self.rate1).clip(1e-6, 1) / (1 - self.rate0).clip(1e-6, 1)) * self.share
-        logit = np.log(self.prior / (1 - self.prior)) + (votes / np.maximum(votes @ self.alike, 1)) @ fires + (1 - votes) @ rests
+        logit = np.log(self.prior / (1 - self.prior)) + (votes / np.maximum(votes @ self.alike, 1)) @ fires
         return 1 / (1 + np.exp(-logit.clip(-30, 30)))
 
 
