@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, packing, quality, simhash, substring, tokenfile, topk, toxicity
+from . import chat, clusters, decontam, exact, htmltext, lexical, packing, quality, simhash, substring, tokenfile, topk, toxicity
 from .common import table, vocabulary
 
 
@@ -66,6 +66,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", (F.col("first_turn") + F.col("at")).alias("position"), F.col("x.role").alias("role"), F.sha2("x.text", 256).alias("text_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = clusters.whole_vectors(table(spark, sf_dir, "embeddings"), dim=64, scale=256.0)
+    first = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    return clusters.with_inertia(*clusters.cluster(vectors, first, k=40, dim=64, rounds=5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,
     "op10_chat_format": op10_chat_format,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical": op12_lexical,
+    "op13_clusters": op13_clusters,
 }
 
 OP3_SQL = """
@@ -96,4 +113,53 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS po
 FROM conversations
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op10_chat_format": OP10_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
+r AS (
+  SELECT doc_id, k, count(*) OVER (PARTITION BY k) AS group_size, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS n
+  FROM d WINDOW w AS (PARTITION BY k ORDER BY length(t) DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha256(k) AS text_sha256 FROM r
+"""
+
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"unnest(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+t AS (SELECT r, doc_id, {_TERMS} FROM d), b AS (SELECT item_id, {_TERMS} FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+c AS (SELECT count(DISTINCT r) AS n_docs, count(*) AS n_words FROM t),
+l AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+f AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+s AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN l USING (r), c GROUP BY item_id, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+def _op13_sql(k: int, dim: int, rounds: int) -> str:
+    """Each round's centroids and assignment stand below each other; a distance is |v|^2 - 2 vc + |c|^2 in doubles, whose whole numbers are exact here."""
+    to_double = "list_dot_product(v::DOUBLE[], v::DOUBLE[])"
+    parts = [
+        f"""WITH n AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, vec_id NULLS LAST, v) - 1 AS c, v FROM n QUALIFY c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        way = f"{to_double} - 2 * list_dot_product(v::DOUBLE[], w::DOUBLE[]) + list_dot_product(w::DOUBLE[], w::DOUBLE[])"
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, ({way})::BIGINT AS d FROM n, (SELECT c, v AS w FROM c{n})) GROUP BY r)""")
+        if n < rounds:
+            parts.append(
+                f"""m{n} AS (SELECT c, list(x ORDER BY i) AS v FROM (SELECT c, i, floor(sum(v[i]) / count(*))::BIGINT AS x FROM a{n} JOIN n USING (r), (SELECT unnest(range(1, {dim + 1})) AS i) GROUP BY c, i) GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} ON m{n}.c = c{n}.c)"""
+            )
+    return ",\n".join(parts) + f"""
+SELECT vec_id, a.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN n USING (r) JOIN c{rounds} f ON f.c = a.c
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op10_chat_format": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_lexical": OP12_SQL, "op13_clusters": _op13_sql(40, 64, 5)}
