@@ -209,8 +209,8 @@ def _groups(rows: DataFrame, bucket_bytes: int) -> DataFrame:
     records, level, answers = met.where("n IS NOT NULL").select(*RECORD), 0, []
     size = records.agg(F.sum("size")).first()[0] or 0
     while size:
-        # half the bound is expected, so the first level rarely leaves anything
-        dealt = records.repartition(parts_for(2 * size, bucket_bytes) * (1 if level == 0 else 2), F.xxhash64(F.lit(level), "content"))
+        # half the bound is expected, so the first level rarely leaves anything, and a later one half as much again
+        dealt = records.repartition(parts_for(2 * size, bucket_bytes) << level, F.xxhash64(F.lit(level), "content"))
         out = stored(dealt.mapInArrow(_resolve(bucket_bytes), BUCKET_DDL), f"buckets-{level}")
         answers.append(out.where("group_size IS NOT NULL").select(*ANSWER))
         records, level = out.where("group_size IS NULL").select(*RECORD), level + 1
