@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sampled, stored
 
 ROLES = ("system", "user", "assistant")
 # Words that name a role in a speaker marker.
@@ -191,12 +191,11 @@ def transcripts(conversations: DataFrame, *, part_turns: int = 128) -> DataFrame
 
 
 def learn(conversations: DataFrame, *, max_turns: int = 4000, max_bytes: int = 16 << 20) -> Model:
-    """A model from at most max_turns turns with known roles, those of conversations with the smallest hashes, and of them the first that hold max_bytes of text together."""
+    """A model from at most max_turns turns with known roles, those of conversations with the smallest hashes, and of them, texts over 1 MB (common.MAX_TEXT) apart, the first that hold max_bytes of text together."""
     order = [F.xxhash64("conv_id"), "conv_id", "turn", F.xxhash64("role", "text")]
     rows = conversations.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
     rows = rows.orderBy(*order).limit(max_turns)
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(*order))  # over max_turns rows
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy(*order).collect()
+    rows = sampled(rows, order, max_bytes).collect()
     known: dict = {}
     for r in rows:
         known.setdefault(r["conv_id"], []).append((r["role"], r["text"]))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; what lies between is a word.
@@ -72,6 +72,24 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
 
 
+#: Bytes of a text that a fitting sample takes at most; longer ones are scored, but nothing is fitted on them.
+MAX_TEXT = 1 << 20
+
+
+def sampled(rows: DataFrame, order: list[str | Column], max_bytes: int, max_text: int = MAX_TEXT) -> DataFrame:
+    """Of a sample's rows (a bounded number, with a column text): the first by order whose texts hold max_bytes together, in that order.
+
+    A text over max_text takes no part, nor does it count against the others, so the rest of the sample
+    is at most max_text short of max_bytes. Sizes are summed in one task, without the texts.
+    """
+    rows = stored(rows.withColumns({"_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "_row": F.monotonically_increasing_id()}), "sample")
+    names = [c for c in rows.columns if c not in ("text", "_size", "_row")]
+    by = Window.orderBy("_at", "_row")
+    sizes = rows.where(F.col("_size") <= max_text).select("_row", "_size", F.struct(*order).alias("_at") if order else F.lit(0).alias("_at"))
+    first = sizes.withColumn("_sum", F.sum("_size").over(by)).withColumn("_place", F.row_number().over(by)).where(F.col("_sum") <= max_bytes).select("_row", "_place")
+    return rows.join(F.broadcast(first), "_row").orderBy("_place").select("text", *names)  # as many rows as the sample
+
+
 def parts_for(n_bytes: int, part_bytes: int) -> int:
     return max(1, -(-n_bytes // part_bytes))
 

@@ -116,7 +116,8 @@ def _pieces(n: int):
         for batch in batches:
             for item, text in zip(batch["item_id"].to_pylist(), batch["text"], strict=True):
                 words = words_of(text.as_py())
-                parts = [b" ".join(words[at : at + PIECE_WORDS + n - 1]) for at in range(0, len(words), PIECE_WORDS)]
+                # no piece begins behind the last whole window, or what is left would count as a short item of its own
+                parts = [b" ".join(words[at : at + PIECE_WORDS + n - 1]) for at in range(0, max(1, len(words) - n + 1), PIECE_WORDS)] if words else []
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.binary()).cast(pa.string())], names=["item_id", "text"])
 
     return run

@@ -10,7 +10,8 @@ successions, repeats, and the measures in steps.
 Every document votes, on the executors, and the label model is fitted on the counts of the patterns
 of votes: a vote is cast or not, so there are at most 2 ** 11. The scorer is fitted on the driver on at
 most max_rows documents: a quarter of them dealt evenly to the patterns, the rest by their counts,
-those with the smallest hashes of id and text, and of them the first max_bytes of text at most. Scoring runs on the executors over whole texts.
+those with the smallest hashes of id and text, and of them, texts over 1 MB (common.MAX_TEXT) apart,
+the first max_bytes of text at most. Scoring runs on the executors over whole texts.
 
 Defined cases: a null text is empty; an empty text has the measures of no words and is scored like
 any other; repeated rows come back as often as they occur; an empty table gives no rows; other
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sampled, stored
 
 #: Number of hashed features.
 BUCKETS = 1 << 14
@@ -215,8 +216,7 @@ def train(documents: DataFrame, *, max_rows: int = 3000, max_bytes: int = 64 <<
     by_hash = Window.partitionBy("pattern").orderBy("u", "doc_id", "h")
     chosen = named.join(F.broadcast(shares), "pattern").where("u <= upto").withColumn("at", F.row_number().over(by_hash)).where("at <= quota").select("doc_id", "h", "pattern", "u")
     sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy("u", "doc_id", "h"))  # over max_rows rows
-    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy("u", "doc_id", "h").select("text", "pattern").collect()
+    sample = sampled(sample.select("text", "pattern", "u", "doc_id", "h"), ["u", "doc_id", "h"], max_bytes).select("text", "pattern").collect()
     return train_scorer([hashed(Look(r["text"])) for r in sample], post[np.searchsorted(patterns, [r["pattern"] for r in sample])])
 
 

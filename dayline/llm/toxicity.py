@@ -9,8 +9,8 @@ far as they correlate, one that fires alone keeps it whole. The posterior labels
 logistic classifier on the same kinds of features, which scores whole texts.
 
 The sample holds at most max_rows labelled rows, those with the smallest hashes of their ids, and of
-them the first max_bytes of text at most; it is fitted on the driver, and everything else runs on the
-executors.
+them the first max_bytes of text at most; a text over 1 MB (common.MAX_TEXT) is scored, but not in the
+sample. It is fitted on the driver, and everything else runs on the executors.
 
 Defined cases: a null text is empty; an empty text has the score of no features at all; a row
 without label, or with a null one, does not train; with no usable labels, or none of one class,
@@ -26,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that can be patterns.
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -197,13 +199,12 @@ def fit(texts: list[str | None], labels: list[int], *, most_features: int = 200)
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, train: Column) -> list:
-    """At most max_rows labelled rows (text, y) for which train holds, by the smallest hashes of their ids, and of them as many as hold max_bytes of text together."""
+    """At most max_rows labelled rows (text, y) for which train holds, by the smallest hashes of their ids, and of them, texts over MAX_TEXT bytes apart, as many as hold max_bytes of text together."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows bounds it
     rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_rows rows
-    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").collect()
+    return sampled(rows, [F.xxhash64("doc_id"), "doc_id"], max_bytes).select("text", "y").collect()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -284,6 +284,25 @@ def test_long_items_and_repeated_ones(spark):
     assert rows[2]["items"] == []
 
 
+@pytest.mark.parametrize("rest", range(11))
+def test_items_a_little_longer_than_their_pieces(spark, monkeypatch, rest):
+    """An item of whole pieces and a few words more is found by whole windows alone, whatever is left behind its last piece."""
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 20)
+    words = [f"w{i}" for i in range(60 + rest)]
+    bench = spark.createDataFrame([("A", " ".join(words)), ("B", "b1 b2 b3")], "item_id string, text string")
+    texts = [f"clean {' '.join(words[60 - 5 : 60 + k])} text" for k in range(rest + 1)] + [" ".join(words[k:]) for k in (0, 15, 40, 50, 51 + rest, 55)] + ["x b1 b2 b3 y", "x b1 b2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    windows = {tuple(words[i : i + 10]) for i in range(len(words) - 9)} | {("b1", "b2", "b3")}
+    expected = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        hit = {j for k in (3, 10) for a in range(len(w) - k + 1) if tuple(w[a : a + k]) in windows for j in range(a, a + k)}
+        expected[i] = len(hit)
+    got = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["spans"]) for r in decontam.scan(docs, bench).collect()}
+    assert got == expected
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()} == {i for i, n in expected.items() if not n}
+
+
 def test_empty(spark, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0

@@ -37,6 +37,21 @@ def test_toxicity(spark, labelled):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_samples_with_giant_texts(spark, labelled):
+    """A text over the bound of one text leaves the others in the samples, wherever it stands; the bound on all takes the first by order."""
+    from dayline.llm.common import sampled
+
+    rows = [(i, t * (1 + 4_000_000 // len(t)) if i % 40 == 0 else t, y) for i, t, y in labelled]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, "toxic", 4000, 64 << 20, ~toxicity.held_out())
+    assert len(got) > 0.7 * len(rows)
+    assert max(len(r["text"]) for r in got) <= 1 << 20
+    assert toxicity.train(docs, labels)[0]
+    assert np.abs(quality.train(docs.where("doc_id < 45"))[0]).sum() > 0
+    few = spark.createDataFrame([(i, "x" * 10) for i in range(30)] + [(7, None), (8, "y" * 200)], "n long, text string")
+    assert [r["n"] for r in sampled(few, ["n"], 105, 100).collect()] == [0, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9]
+
+
 def test_toxicity_without_labels(spark, labelled):
     docs = spark.createDataFrame([(i, t) for i, t, _ in labelled[:5]], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
