@@ -4,58 +4,129 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import MOST, Slices, unused
 
-def covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, *, bucket_days: int = 32) -> DataFrame:
+
+#: A node of the tree over time has 2 ** BITS children.
+BITS = 2
+
+
+class _Tree:
+    """A segment tree over the units of time (microseconds, or days if points are dates) from the first point to the last.
+
+    An interval is the union of few nodes, at most 2 * (2 ** BITS - 1) a level, and a point lies in one node of each
+    level, so point and interval share exactly one node if one covers the other, and else none.
+    """
+
+    def __init__(self, points: DataFrame, at: str):
+        self.days = points.schema[at].dataType.typeName() == "date"
+        self.at = self._unit(at)
+        edges = points.agg(F.min(self.at).alias("low"), F.max(self.at).alias("high")).first()
+        self.low, self.high = (0, -1) if edges["low"] is None else (edges["low"], edges["high"])
+        self.levels = max(1, -(-(self.high - self.low + 1).bit_length() // BITS) + 1)
+
+    def _micros(self, column: str) -> Column:
+        return F.unix_micros(F.col(column).cast("timestamp"))
+
+    def _unit(self, column: str, *, up: bool = False) -> Column:
+        """The unit that a time lies in, or the first that begins at it or after it."""
+        if not self.days:
+            return self._micros(column)
+        day, micros = F.lit(86_400_000_000), self._micros(column) + (86_400_000_000 - 1 if up else 0)
+        return ((micros - F.pmod(micros, day)) / day).cast("long")
+
+    def of_points(self) -> Column:
+        """The nodes above a point, level by level: node number times 64 and the level."""
+        at = self.at - F.lit(self.low)
+        return F.array(*[F.shiftleft(F.shiftright(at, BITS * n), 6) + n for n in range(self.levels)])
+
+    def of_intervals(self, start: str, end: str) -> Column:
+        """The nodes that an interval is made of; none if no point's unit can be in it. A null start is the beginning of time, a null end never covers."""
+        first = F.greatest(F.coalesce(self._unit(start, up=True), F.lit(self.low)), F.lit(self.low)) - self.low
+        last = F.least(self._unit(end), F.lit(self.high)) - self.low + 1
+        up = lambda n: F.shiftright(first + (1 << BITS * n) - 1, BITS * n)
+        down = lambda n: F.shiftright(last, BITS * n)
+
+        def span(low: Column, high: Column, n: int) -> Column:
+            nodes = F.transform(F.sequence(low, high - 1), lambda x: F.shiftleft(x, 6) + n)
+            return F.when(low < high, nodes).otherwise(F.array().cast("array<long>"))
+
+        parts = []
+        for n in range(self.levels):
+            inner = up(n + 1) < down(n + 1)  # what the level above takes
+            left = F.when(inner, F.shiftleft(up(n + 1), BITS)).otherwise(down(n))
+            parts.append(F.when(up(n) < down(n), F.concat(span(up(n), left, n), F.when(inner, span(F.shiftleft(down(n + 1), BITS), down(n), n)).otherwise(F.array().cast("array<long>")))))
+        return F.when(F.col(end).isNotNull() & (first < last), F.flatten(F.array_compact(F.array(*parts))))
+
+
+def covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:
     """Each point with the intervals that cover it, both ends included: point columns, then interval columns.
 
-    A null start is the beginning of time, a null end never covers. Both sides meet by buckets of
-    days, so the join is an equi-join of any size; an interval is repeated only for the buckets
-    that its days share with the points' range, which comes to it as one row of the same plan. A bucket
-    that many points or intervals share is a skewed key of an inner join, which adaptive execution splits.
+    A null start is the beginning of time, a null end never covers, a null at is never covered; equal rows
+    count as often as they occur. Both sides meet in the nodes of a segment tree over time, by equality
+    alone: no bucket is wide, and no pair is formed that is not in the result. A node that many points or
+    intervals share is a skewed key of an inner join, which adaptive execution splits.
     """
-    day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (86400 * bucket_days))
-    span = F.broadcast(points.agg(F.min(day(at)).alias("_low"), F.max(day(at)).alias("_high")))
-    first, last = F.greatest(F.coalesce(day(start), F.col("_low")), F.col("_low")), F.least(day(end), F.col("_high"))
-    dealt = intervals.where(F.col(end).isNotNull()).crossJoin(span).where(first <= last)
-    dealt = dealt.withColumn("bucket", F.explode(F.sequence(first, last))).drop("_low", "_high")
-    inside = (F.coalesce(F.col(start).cast("timestamp"), F.timestamp_seconds(F.lit(0))) <= F.col(at).cast("timestamp")) & (F.col(end).cast("timestamp") >= F.col(at).cast("timestamp"))
-    return points.withColumn("bucket", day(at)).join(dealt, "bucket").where(inside).drop("bucket")
+    tree = _Tree(points, at)
+    asked, dealt = unused(points, "asked")[0], unused(intervals, "dealt")[0]
+    own = points.withColumn(asked, F.explode(tree.of_points()))
+    theirs = intervals.withColumn(dealt, F.explode(tree.of_intervals(start, end)))
+    return own.join(theirs, F.col(asked) == F.col(dealt)).drop(asked, dealt)
 
 
 def onboard(dates: DataFrame, crew: DataFrame) -> DataFrame:
     """Of each date (column date, at midnight UTC): the crew members whose stay covers it."""
-    at = dates.withColumn("at", F.col("date").cast("timestamp"))
-    return covering(at, crew, "at", "arrivalDate", "departureDate").drop("at")
+    return covering(dates, crew, "date", "arrivalDate", "departureDate")
 
 
-def first_covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, order: str, key: list[str]) -> DataFrame:
-    """Each point with the first interval by order that covers it; a missing end never does."""
-    found = covering(points, intervals, at, start, end)
-    rest = [c for c in found.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("_first")  # combined before the shuffle
-    return found.groupBy(*key).agg(first).select(*key, "_first.*").select(*found.columns)
+def first_covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, order: str) -> DataFrame:
+    """Each point that is covered with the first interval by order, then by its other columns: point columns, then interval columns.
 
-
-def nearest(left: DataFrame, right: DataFrame, *, by: list[str], at: str, epoch: str, order: list[str], payload: list[str]) -> DataFrame:
-    """Each left row with the right row of the same key whose epoch is nearest; ties go to the earlier epoch, then to the first by order.
+    As covering(), but no pairs form: each node of the tree keeps its first interval, combined before the
+    shuffle, and each time asks its nodes, one a level, so the rows follow the points' times.
+    """
+    tree = _Tree(points, at)
+    (time, node) = unused(points, "time", "node")
+    rest = [c for c in intervals.columns if c != order]
+    first = lambda c: F.min_by(c, F.struct(c[order], *[c[x] for x in rest]))
+    kept = intervals.select(F.explode(tree.of_intervals(start, end)).alias(node), F.struct(*intervals.columns).alias("kept"))
+    kept = kept.groupBy(node).agg(first(F.col("kept")).alias("kept"))
+    times = points.select(tree.at.alias(time), tree.of_points().alias(node)).where(F.col(time).isNotNull()).distinct()
+    found = times.select(time, F.explode(node).alias(node)).join(kept, node).groupBy(time).agg(first(F.col("kept")).alias("kept"))
+    found = found.withColumnRenamed("kept", node)
+    met = points.withColumn(time, tree.at).join(found, time)
+    return met.select(*points.columns, f"{node}.*")
+
+
+def nearest(left: DataFrame, right: DataFrame, *, by: list[str], at: str, epoch: str, order: list[str], payload: list[str], most: int = MOST) -> DataFrame:
+    """Each left row with payload columns of the right row of the same key whose epoch is nearest; ties go to the earlier epoch, then to the first by order.
 
     Both sides are laid out in one order of time; the row before is carried forwards and the row after
-    backwards, by running windows, so a key's rows are sorted twice, never paired, and the work of a hot
-    key grows in proportion to its rows.
+    backwards, so no pairs form. Keys of more than `most` rows, both sides together, are scanned in slices.
+    A null key meets none, as in an SQL join, and a left row with a null key or time has null payload;
+    a right row with a null epoch is nobody's. Repeated left rows come back as often as they occur.
     """
-    picked = F.struct(F.col(epoch).alias("_t"), *payload)
-    first = right.where(F.col(epoch).isNotNull()).groupBy(*by, epoch).agg(F.min_by(picked, F.struct(*order)).alias("_r"))
-    rows = left.select(*by, F.col(at).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(first.schema["_r"].dataType).alias("_r"), F.lit(1).alias("_k"))
-    both = rows.unionByName(first.select(*by, F.col(epoch).alias("_t"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), "_r", F.lit(0).alias("_k")))
-    carried = lambda *order: F.last("_r", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumn("_b", carried("_t", "_k")).withColumn("_a", carried(F.desc("_t"), F.desc("_k")))
+    given = lambda names: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    keys = [f"k{n}" for n in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    picked = F.struct(F.col(epoch).alias("t"), *[F.col(c).alias(f"p{n}") for n, c in enumerate(payload)])
+    first = right.where(given([*by, epoch])).groupBy(*named, F.col(epoch).alias("t")).agg(F.min_by(picked, F.struct(*order)).alias("r"))
+    rows = left.where(given([*by, at])).select(*named, F.col(at).alias("t"), F.struct(*left.columns).alias("l"), F.lit(None).cast(first.schema["r"].dataType).alias("r"), F.lit(1).alias("side"))
+    both = rows.unionByName(first.select(*keys, "t", F.lit(None).cast(rows.schema["l"].dataType).alias("l"), "r", F.lit(0).alias("side")))
+    scan = Slices(both, keys, ["t", "side"], most)
+    scan.last(F.col("r"))
+    before = scan.made
+    scan.last(F.col("r"), backwards=True)
+    before, after = F.col(before), F.col(scan.made)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    to_before, to_after = micros(F.col("_t")) - micros(F.col("_b._t")), micros(F.col("_a._t")) - micros(F.col("_t"))
-    best = F.when(F.col("_a").isNull() | (to_before <= to_after), F.coalesce("_b", "_a")).otherwise(F.col("_a"))
-    return both.where("_k = 1 AND _l IS NOT NULL").withColumn("_x", best).select("_l.*", *[F.col(f"_x.{c}").alias(c) for c in payload])
+    to_before, to_after = micros(F.col("t")) - micros(before["t"]), micros(after["t"]) - micros(F.col("t"))
+    best = F.when(after.isNull() | (to_before <= to_after), F.coalesce(before, after)).otherwise(after)
+    found = scan.rows.where("side = 1").withColumn("x", best).select("l.*", *[F.col(f"x.p{n}").alias(c) for n, c in enumerate(payload)])
+    lone = left.where(~F.coalesce(given([*by, at]), F.lit(False))).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in payload])
+    return found.union(lone)
 
 
 def flags(dates: DataFrame, key: str, **sources: DataFrame) -> DataFrame:
@@ -78,7 +149,8 @@ def copy_plan(wanted: DataFrame, there: DataFrame, target: DataFrame, key: str)
 
 def lookup(rows: DataFrame, names: DataFrame, code: str, name: str) -> DataFrame:
     """rows with the name of their code, or the code itself."""
-    return rows.join(names.select(F.col(code).alias("_c"), F.col(name)), F.col(code) == F.col("_c"), "left").drop("_c").withColumn(name, F.coalesce(name, code))
+    (known,) = unused(rows, "known")
+    return rows.join(names.select(F.col(code).alias(known), F.col(name)), F.col(code) == F.col(known), "left").drop(known).withColumn(name, F.coalesce(name, code))
 
 
 def padded_months(rows: DataFrame, months: DataFrame, day: str, month: str) -> DataFrame:
@@ -88,10 +160,10 @@ def padded_months(rows: DataFrame, months: DataFrame, day: str, month: str) -> D
     """
     from ..functions.times import padded_month
 
-    own = F.trunc(F.col(day), "MM")
-    near = rows.withColumn("_m", F.explode(F.array(F.add_months(own, -1), own, F.add_months(own, 1))))
+    own, (near,) = F.trunc(F.col(day), "MM"), unused(rows, "near")
+    dealt = rows.withColumn(near, F.explode(F.array(F.add_months(own, -1), own, F.add_months(own, 1))))
     low, high = padded_month(F.col(month))
-    return months.join(near, F.col(month) == F.col("_m")).where((F.col(day) >= low) & (F.col(day) <= high)).drop("_m")
+    return months.join(dealt, F.col(month) == F.col(near)).where((F.col(day) >= low) & (F.col(day) <= high)).drop(near)
 
 
 def ladder(candidates: DataFrame, found: DataFrame, key: str, by: str, rank: str, value: str) -> DataFrame:

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from . import scans
 
-def gap_sessions(rows: DataFrame, keys: list[str], at: Column, order: list[str | Column], gap: float, name: str = "session") -> DataFrame:
-    """Number sessions of each key from 1: a row opens one if it is more than gap beyond the row before."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("_at", at)
-    before = F.lag("_at").over(line)
-    opens = F.when(before.isNull() | (F.col("_at") - before > gap), 1).otherwise(0)
-    return rows.withColumn("_open", opens).withColumn(name, F.sum("_open").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_open", "_at")
+
+def gap_sessions(rows: DataFrame, keys: list[str], at: Column, order: list[str], gap: float, name: str = "session", *, most: int = scans.MOST) -> DataFrame:
+    """Number sessions of each key from 1: a row opens one if it is more than gap beyond the row before.
+
+    A row whose at is null opens a session, as does the row after it. Keys of more than `most` rows are scanned in slices.
+    """
+    (here,) = scans.unused(rows, "at")
+    s = scans.Slices(rows.withColumn(here, at), keys, order, most)
+    # a null at counts as a row before, so it is carried inside a struct
+    s.last(F.struct(F.col(here).alias("x")), upto=-1)
+    before = F.col(s.made)["x"]
+    opens = F.when(before.isNull() | F.col(here).isNull() | (F.col(here) - before > gap), 1).otherwise(0)
+    s.total(opens)
+    return s.rows.withColumn(name, F.col(s.made)).select(*[c for c in rows.columns if c != name], name)
 
 
 def voiced_sessions(frames: DataFrame, frame_ms: int = 20, silence: int = 10) -> DataFrame:
@@ -29,44 +38,121 @@ def voiced_sessions(frames: DataFrame, frame_ms: int = 20, silence: int = 10) ->
     return found.select("file", "session", (F.col("first") * frame_ms).alias("start_ms"), F.col("first").alias("start_frame"), F.least(F.col("last") + silence, F.col("_last")).alias("end_frame"), "n_speech")
 
 
-def chunked(rows: DataFrame, keys: list[str], order: list[str], text: str, most: int = 1000) -> DataFrame:
+class Transfer:
+    """What a run of lengths makes of the length open before it: how many chunks begin in it, and the length open behind.
+
+    Where the first chunk of the run begins depends on the length before, what follows only on where that is. So it
+    is a small table: of lengths before at least `least`, descending, the chunks and the length open behind; for
+    less than all, nothing begins and the lengths add up. It has most + 2 rows at most.
+    """
+
+    def __init__(self, lengths: np.ndarray, most: int):
+        n = len(lengths)
+        ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        # where the chunk that begins at each row is full: the next chunk begins there
+        after = np.maximum(np.searchsorted(ends[1:], ends[:-1] + most, side="right"), np.arange(1, n + 1)).tolist()
+        begun, behind, upto = [0] * (n + 1), [0] * (n + 1), int(ends[-1])
+        starts = ends.tolist()
+        for i in range(n - 1, -1, -1):
+            j = after[i]
+            begun[i], behind[i] = (1, upto - starts[i]) if j >= n else (1 + begun[j], behind[j])
+        # a length before of most - ends[i + 1] + 1 and more is full at row i at the latest
+        least = most - ends[1:] + 1
+        ahead = np.append(np.iinfo(np.int64).max, least)[:n]
+        first = np.flatnonzero((ahead > least) & (ahead > 0))
+        self.least = np.maximum(least[first], 0).tolist()
+        self.begun, self.behind, self.total = [begun[i] for i in first], [behind[i] for i in first], upto
+
+    def __call__(self, before: int) -> tuple[int, int]:
+        return passed(before, self.least, self.begun, self.behind, self.total)
+
+
+def passed(before: int, least: list[int], begun: list[int], behind: list[int], total: int) -> tuple[int, int]:
+    for low, chunks, open_length in zip(least, begun, behind, strict=True):
+        if before >= low:
+            return chunks, open_length
+    return 0, before + total
+
+
+def chunked(rows: DataFrame, keys: list[str], order: list[str], text: str, most: int = 1000, *, most_rows: int = scans.MOST) -> DataFrame:
     """rows with the chunk (from 0) of each, by key in order: a new chunk begins where the sum of text lengths would pass `most`; an over-long first item leaves an empty chunk before it.
 
-    A partition's rows stream past in order, and only the key, the chunk and its length are held, so a key may have any number of rows.
+    A partition's rows stream past in order, and only the key, the chunk and its length are held. A key of
+    more than most_rows rows is cut to slices: each slice's lengths become a table of what it makes of the
+    length open before it (Transfer), the slices' tables stream past in order to tell each its own beginning,
+    and then all slices are chunked side by side. A null text has length 0.
     """
-    from pyspark.sql.types import IntegerType
+    (length,) = scans.unused(rows, "length")
+    s = scans.Slices(rows.withColumn(length, F.coalesce(F.length(text), F.lit(0))), keys, order, most_rows)
+    part, chunk, opened = s.part, *scans.unused(s.rows, "before", "opened")
+    line = s.rows
+    if s.hot:
+        small = s.of_hot.select(*keys, part, *[c for c in order if c not in keys], length)
+        schema = StructType([*[small.schema[c] for c in [*keys, part]], *[StructField(c, ArrayType(LongType())) for c in ("least", "begun", "behind")], StructField("total", LongType())])
+
+        def table(t: pa.Table) -> pa.Table:
+            t = t.sort_by([(c, "ascending") for c in order], null_placement="at_start")
+            x = Transfer(t[length].to_numpy().astype(np.int64), most)
+            row = {c: t[c].slice(0, 1) for c in [*keys, part]} | {c: pa.array([getattr(x, c)], pa.list_(pa.int64())) for c in ("least", "begun", "behind")}
+            return pa.table(row | {"total": pa.array([x.total], pa.int64())})
+
+        def seam(batches):
+            key, begun, before = None, 0, 0
+            for batch in batches:
+                out = []
+                for row in zip(*[batch[k].to_pylist() for k in [*keys, "least", "begun", "behind", "total"]], strict=True):
+                    if row[: len(keys)] != key:
+                        key, begun, before = row[: len(keys)], 0, 0
+                    out.append((begun, before))
+                    chunks, before = passed(before, *row[len(keys) :])
+                    begun += chunks
+                columns = [pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in [*keys, part]], *columns], names=[*keys, part, chunk, opened])
+
+        tables = small.groupBy(*keys, part).applyInArrow(table, schema).repartition(*keys).sortWithinPartitions(*keys, part)
+        begins = tables.mapInArrow(seam, StructType([*[small.schema[c] for c in [*keys, part]], StructField(chunk, LongType()), StructField(opened, LongType())]))
+        begins = F.broadcast(begins)  # as many rows as slices
+        line = line.join(begins, scans.same(line, begins, [*keys, part]), "left").drop(*[begins[c] for c in [*keys, part]])
+    else:
+        line = line.withColumns({chunk: F.lit(0).cast("long"), opened: F.lit(0).cast("long")})
+    names = rows.columns
 
     def run(batches):
-        key, chunk, length = None, 0, 0
+        key, now, size = None, 0, 0
         for batch in batches:
             out = []
-            for row in zip(*[batch[k].to_pylist() for k in [*keys, "_length"]], strict=True):
-                if row[:-1] != key:
-                    key, chunk, length = row[:-1], 0, 0
-                full = length + row[-1] > most
-                chunk, length = chunk + full, row[-1] + (0 if full else length)
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int32())], names=[*batch.schema.names[:-1], "chunk"])
-
-    lined = rows.withColumn("_length", F.coalesce(F.length(text), F.lit(0))).repartition(*keys).sortWithinPartitions(*keys, *order)
+            for row in zip(*[batch[k].to_pylist() for k in [*keys, part, length, chunk, opened]], strict=True):
+                if row[:-3] != key:
+                    key, now, size = row[:-3], row[-2] or 0, row[-1] or 0
+                full = size + row[-3] > most
+                now, size = now + full, row[-3] + (0 if full else size)
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(out, pa.int32())], names=[*names, "chunk"])
+
+    lined = line.select(*names, length, part, chunk, opened).repartition(*keys, part).sortWithinPartitions(*keys, part, *order)
     return lined.mapInArrow(run, StructType([*rows.schema.fields, StructField("chunk", IntegerType())]))
 
 
-def pair_rows(rows: DataFrame, keys: list[str], order: list[str], opens: Column, closes: Column, carry: list[str]) -> DataFrame:
-    """Closing rows that come right after an opening row with no closing row between, with columns of that opening row as open_<name>."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    state = F.when(opens, F.struct(F.lit(True).alias("open"), *[F.col(c).alias(f"open_{c}") for c in carry])).when(closes, F.struct(F.lit(False).alias("open"), *[F.lit(None).cast(rows.schema[c].dataType).alias(f"open_{c}") for c in carry]))
-    rows = rows.withColumn("_state", state)
-    rows = rows.withColumn("_before", F.last("_state", ignorenulls=True).over(before))
-    return rows.where(closes & F.col("_before.open")).select(*[c for c in rows.columns if not c.startswith("_")], *[F.col(f"_before.open_{c}").alias(f"open_{c}") for c in carry])
+def pair_rows(rows: DataFrame, keys: list[str], order: list[str], opens: Column, closes: Column, carry: list[str], *, most: int = scans.MOST) -> DataFrame:
+    """Closing rows that come right after an opening row with no closing row between, with columns of that opening row as open_<name>.
+
+    A row that is neither does not part the two; a row that is both opens. Null conditions count as false.
+    """
+    opened = [F.col(c).alias(f"open_{c}") for c in carry]
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(f"open_{c}") for c in carry]
+    (closing,) = scans.unused(rows, "closing")
+    s = scans.Slices(rows.withColumn(closing, F.coalesce(closes, F.lit(False))), keys, order, most)
+    s.last(F.when(opens, F.struct(F.lit(True).alias("open"), *opened)).when(closes, F.struct(F.lit(False).alias("open"), *none)), upto=-1)
+    before = F.col(s.made)
+    return s.rows.where(F.col(closing) & before["open"]).select(*rows.columns, *[before[f"open_{c}"].alias(f"open_{c}") for c in carry])
 
 
-def carried(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, missing: str | None = None) -> DataFrame:
-    """The last non-null value up to each row."""
-    line = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(value, ignorenulls=True).over(line)
-    return rows.withColumn(name, last if missing is None else F.coalesce(last, F.lit(missing)))
+def carried(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, missing: str | None = None, *, most: int = scans.MOST) -> DataFrame:
+    """The last non-null value up to each row; missing (or null) where there is none yet."""
+    s = scans.Slices(rows, keys, order, most)
+    s.last(F.col(value))
+    last = F.col(s.made) if missing is None else F.coalesce(s.made, F.lit(missing))
+    return s.rows.select(*[c for c in rows.columns if c != name], last.alias(name))
 
 
 def collision_names(rows: DataFrame, name: str, order: list[str | Column], to: str = "target") -> DataFrame:
@@ -83,10 +169,10 @@ def last_written(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 def split_track(points: DataFrame, keys: list[str], i: str = "i", lng: str = "lng", jump: float = 100.0) -> DataFrame:
-    """part 1 or 2 of each point: the second part begins where the step of longitude first changes by more than jump, and is not split again."""
+    """part 1 or 2 of each point: the second part begins where the step of longitude first changes by more than jump, and is not split again. A key is one track, of some hundred points."""
+    step, hit = scans.unused(points, "step", "hit")
     line = Window.partitionBy(*keys).orderBy(i)
-    step = F.abs(F.col(lng) - F.lag(lng).over(line))
-    points = points.withColumn("_step", step)
-    points = points.withColumn("_hit", F.abs(F.col("_step") - F.lag("_step").over(line)) > jump)
-    first = F.min(F.when(F.col("_hit"), F.col(i))).over(Window.partitionBy(*keys))
-    return points.withColumn("part", F.when(F.col(i) >= first, 2).otherwise(1)).drop("_step", "_hit")
+    points_ = points.withColumn(step, F.abs(F.col(lng) - F.lag(lng).over(line)))
+    points_ = points_.withColumn(hit, F.abs(F.col(step) - F.lag(step).over(line)) > jump)
+    first = F.min(F.when(F.col(hit), F.col(i))).over(Window.partitionBy(*keys))
+    return points_.withColumn("part", F.when(F.col(i) >= first, 2).otherwise(1)).select(*[c for c in points.columns if c != "part"], "part")

@@ -28,8 +28,7 @@ def onboard_on_dates(t: Tables) -> DataFrame:
 
 @query("first_covering_interval", f"WITH s AS ({STAYS}), m AS ({MONTHS}) SELECT strftime(dt, '%Y-%m-%d') AS date, min(o_orderkey) AS o_orderkey FROM m JOIN s ON a <= dt AND d >= dt GROUP BY dt")
 def first_covering_interval(t: Tables) -> DataFrame:
-    days = _months(t).withColumn("at", F.col("date").cast("timestamp"))
-    found = joins.first_covering(days, _stays(t), "at", "arrivalDate", "departureDate", "o_orderkey", ["date"])
+    found = joins.first_covering(_months(t), _stays(t), "date", "arrivalDate", "departureDate", "o_orderkey")
     return found.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "o_orderkey")
 
 

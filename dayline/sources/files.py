@@ -26,6 +26,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows written once to the shared folder and read back: both sides of a plan see the same rows, and a lost executor loses nothing. The files go when the application ends."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files of one object or an array each, with the name of their file."""
     rows = spark.read.option("multiLine", True).schema(schema).json(path)

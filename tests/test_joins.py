@@ -102,6 +102,6 @@ def test_nearest_of_a_hot_key(spark):
 def test_first_covering(spark):
     points = spark.createDataFrame([("a", "2024-01-05"), ("b", "2024-01-20"), ("c", "2023-01-01")], "k string, t string").withColumn("at", F.to_timestamp("t"))
     spans = spark.createDataFrame([(2, "2024-01-01", "2024-01-10"), (1, "2024-01-05", "2024-02-01"), (3, None, "2024-01-05"), (4, "2024-01-01", None)], "n int, start string, end string").withColumns({c: F.to_timestamp(c) for c in ("start", "end")})
-    found = joins.first_covering(points, spans, "at", "start", "end", "n", ["k"])
+    found = joins.first_covering(points, spans, "at", "start", "end", "n")
     assert sorted((r["k"], r["n"], r["t"]) for r in found.collect()) == [("a", 1, "2024-01-05"), ("b", 1, "2024-01-20"), ("c", 3, "2023-01-01")]
-    assert joins.first_covering(points.limit(0), spans, "at", "start", "end", "n", ["k"]).count() == 0
+    assert joins.first_covering(points.limit(0), spans, "at", "start", "end", "n").count() == 0
