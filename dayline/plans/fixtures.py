@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import models
@@ -78,13 +78,18 @@ def orbit_track(t: Tables) -> DataFrame:
     return found.select(F.date_format("t", "yyyy-MM-dd").alias("date"), "i", F.round("lat", 4).alias("lat"), F.round("lng", 4).alias("lng"), F.round("height_km", 2).alias("height_km"), "part")
 
 
-@query("voiced_frames", "WITH x AS (SELECT user_id AS file, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type IN ('view', 'click') AND user_id % 3 = 0 OR event_type = 'view' AS s FROM events), y AS (SELECT file, n, n - lag(n) OVER (PARTITION BY file ORDER BY n) AS g FROM x WHERE s), z AS (SELECT file, n, sum(CASE WHEN g IS NULL OR g > 11 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n) AS session FROM y), e AS (SELECT user_id AS file, count(*) AS last FROM events GROUP BY 1) SELECT file::VARCHAR AS file, session::BIGINT AS session, (min(n) * 20)::INT AS start_ms, min(n)::INT AS start_frame, least(max(n) + 10, any_value(last))::INT AS end_frame, count(*) AS n_speech FROM z JOIN e USING (file) GROUP BY file, session")
-def voiced_frames(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+VOICED_SQL = "WITH x AS (SELECT user_id AS file, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type IN ('view', 'click') AND user_id % 3 = 0 OR event_type = 'view' AS s FROM events), y AS (SELECT file, n, n - lag(n) OVER (PARTITION BY file ORDER BY n) AS g FROM x WHERE s), z AS (SELECT file, n, sum(CASE WHEN g IS NULL OR g > 11 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n) AS session FROM y), e AS (SELECT user_id AS file, count(*) AS last FROM events GROUP BY 1) SELECT file::VARCHAR AS file, session::BIGINT AS session, (min(n) * 20)::INT AS start_ms, min(n)::INT AS start_frame, least(max(n) + 10, any_value(last))::INT AS end_frame, count(*) AS n_speech FROM z JOIN e USING (file) GROUP BY file, session"
+
 
+def voiced_rows(t: Tables) -> DataFrame:
+    """Events as the frames of their users' files, some of them voiced."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    frames = t.events.select(F.col("user_id").cast("string").alias("file"), n.alias("frame_no"), ((F.col("event_type").isin("view", "click") & (F.col("user_id") % 3 == 0)) | (F.col("event_type") == "view")).alias("is_speech"))
-    return sequences.voiced_sessions(frames)
+    return t.events.select(F.col("user_id").cast("string").alias("file"), n.alias("frame_no"), ((F.col("event_type").isin("view", "click") & (F.col("user_id") % 3 == 0)) | (F.col("event_type") == "view")).alias("is_speech"))
+
+
+@query("voiced_frames", VOICED_SQL)
+def voiced_frames(t: Tables) -> DataFrame:
+    return sequences.voiced_sessions(voiced_rows(t))
 
 
 @query("summaries", "SELECT conv_id, turn, trim(split_part(text, '. ', 1)) AS summary FROM conversations")

@@ -41,10 +41,14 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_name").alias("_file"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As read_documents, or no rows if the path isn't there."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.option("multiLine", True).schema(schema).json(path)
 

@@ -1,4 +1,7 @@
-"""Streams: sessions of voiced frames, ingest of utterance files, and the playback clock."""
+"""Streams of whole windows: sessions of voiced frames by their times alone, and ingest of utterance files without states.
+
+voiced.py has the sessions with their true ends, ingest.py the ingest that can be run again, playback.py the clock.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import times
 from ..plans.dayview import transcript_rows
+from .playback import clock  # noqa: F401
 
 
 def voiced_sessions(frames: DataFrame, *, frame_ms: int = 20, silence: int = 10, late: str = "10 seconds") -> DataFrame:
@@ -26,8 +29,3 @@ def ingest_utterances(spark: SparkSession, inbox: str, out: str, checkpoint: str
     done.awaitTermination()
     return done
 
-
-def clock(spark: SparkSession, start: str, started_ms: int, per_second: int = 2) -> DataFrame:
-    """Ticks of the playback clock."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
-    return ticks.select("timestamp", times.playback_clock(F.lit(start), F.lit(started_ms), F.unix_millis("timestamp")).alias("clock"))
