@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,21 @@ def drop_stored(*tables: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_RELEASED = [0.0]
+
+
+def release(seconds: float = 1.0) -> None:
+    """In a worker, at the end of a task or group: what it has freed goes back to the system, unless it did so just now.
+
+    Workers are kept for later stages with all that their allocators hold, beside the stage's own needs.
+    """
+    if time.monotonic() - _RELEASED[0] >= seconds:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+            trim(0)
+        _RELEASED[0] = time.monotonic()
+
+
 def unused(name: str, *taken: str) -> str:
     """name, with as many underscores as no taken column's name has (Spark takes names of either case for equal)."""
     names = {t.lower() for t in taken}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 #: Text of the benchmark items that one broadcast holds at most.
 BLOCK_BYTES = 2 << 20
@@ -161,6 +161,7 @@ def _finder(block, n: int, with_chars: bool) -> Callable[[Column], Column]:
                 spans = merged(hit)
                 out.append((len(hit), sorted(names), spans, _char_spans(t, spans) if spans and with_chars else []))
             yield _found(out)
+        release()
 
     return find
 
@@ -213,6 +214,7 @@ def _cleaner(block, n: int) -> Callable[[Column], Column]:
         for texts in batches:
             machine = _automaton(block, n)
             yield pa.array([not machine.scan(t)[0].any() for t in _few(texts)], pa.bool_())
+        release()
 
     return clean
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, text_bytes
+from .common import parts_for, release, text_bytes
 from .tokens import encoder, few_at_once
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, grp long"
@@ -65,6 +65,7 @@ def first_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list
 
 def _pack_group(size: int):
     def pack(table: pa.Table) -> pa.Table:
+        release()
         frame = table.select(["doc_id", "start", "length"]).to_pandas()
         frame["crc"] = [zlib.crc32(x.as_buffer()) for x in table["ids"]]
         order = frame.sort_values(["length", "doc_id", "start", "crc"], ascending=[False, True, True, True], kind="stable").index.to_numpy()
@@ -90,6 +91,7 @@ def pieces(documents: DataFrame, vocab: str, *, kind: str = "word", end_id: int
                         part = every[at : min(b, at + size)].tobytes()
                         rows.append((doc, at - a, len(part) // 4, b - a, part, zlib.crc32(f"{doc},{at - a},{zlib.crc32(part)},{origin}".encode()) % n_groups))
                 yield _batch(rows)
+        release()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, unused
+from .common import drop_stored, release, stored, unused
 
 N_BYTES = 8
 #: Posting lists up to this long are joined row by row.
@@ -88,6 +88,7 @@ def fingerprint_of(text: Column, n_words: int = 4, seed: int = 42) -> Column:
     def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(np.array([fingerprint(t.as_py(), n_words, seed) for t in texts], dtype=np.uint64).view(np.int64))
+        release()
 
     return fp(text.cast("string"))
 
@@ -265,8 +266,11 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 def _alike(similarity: float):
     @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(a, b, strict=True)], pa.bool_())
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array([similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), similarity) for x, y in zip(a, b, strict=True)], pa.bool_())
+        a = b = None
+        release()
 
     return alike
 
@@ -314,6 +318,8 @@ def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, dtype=np.int64)])))
             yield pa.StructArray.from_arrays([pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), lists], names=["c", "keys"])
+        known = texts = lists = None
+        release()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), look(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
     docs = stored(docs, "looks")
@@ -334,6 +340,8 @@ def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0
                 contents.append(content)
                 sets.append(shingle_set(words, n_words, known).tobytes())
             yield pa.StructArray.from_arrays([pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["c", "s"])
+        known = texts = sets = None
+        release()
 
     wanted = postings.select("c").distinct()
     first = nodes.join(wanted, "c", "left_semi").select("first_id").distinct()
@@ -385,6 +393,7 @@ def keep_one(documents: DataFrame, **parameters) -> DataFrame:
     def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(np.array([_content(t.as_py())[0] for t in texts], dtype="<u8").view(np.int64))
+        release()
 
     columns = documents.columns
     own_c, one = unused("own_c", *columns), unused("of_equal_rows", *columns)

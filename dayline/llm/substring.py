@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import part_of, parts_for, text_bytes, unused
+from .common import part_of, parts_for, release, text_bytes, unused
 
 #: Odd multipliers of the two polynomials (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -94,6 +94,7 @@ def _send(column: str, window: int, n_ranges: int):
     """A part's rows to its distinct window hashes: one row for each range, sorted, with a mark on those it holds twice."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         hasher, hashes, ranges = Hasher(window), [], []
         for text in table[column]:
             h, second = hasher(_words(text))
@@ -142,6 +143,7 @@ def intervals(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def _cut(column: str, window: int, n_ranges: int, schema: pa.Schema):
     def run(rows: pa.Table, back: pa.Table) -> pa.Table:
+        release()
         hasher, out = Hasher(window), {"n_words": [], "removed": [], "kept": []}
         sets = dict(zip(back["range"].to_pylist(), back["hashes"], strict=True))
         # within a part a hash is looked up together with its range

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import release, sampled
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that can be patterns.
@@ -243,6 +243,8 @@ def score_of(text: Column, model: tuple[dict[str, float], float]) -> Column:
         scorer = Scorer(*model)
         for texts in batches:
             yield pa.array([scorer(t.as_py()) for t in texts], pa.float64())
+        scorer = texts = None
+        release()
 
     return toxicity(text.cast("string"))
 

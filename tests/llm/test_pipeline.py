@@ -50,7 +50,7 @@ def test_run(spark, folder):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
 
