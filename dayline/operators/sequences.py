@@ -155,12 +155,47 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], value: str, name
     return s.rows.select(*[c for c in rows.columns if c != name], last.alias(name))
 
 
-def collision_names(rows: DataFrame, name: str, order: list[str | Column], to: str = "target") -> DataFrame:
-    """Names made unique: the second of equals gets _1 before its extension, and so on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    numbered = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
-    suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("_n", n).withColumn(to, F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(numbered, F.lit("_"), F.col("_n").cast("string"), suffix))).drop("_n")
+def _stem_and_suffix(name: Column) -> tuple[Column, Column]:
+    """A name without its extension, and the extension with its dot; dots that begin a name belong to it."""
+    pattern = r"(?s)^(\.*.*?)(\.[^.]*)?$"
+    return F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+
+
+def collision_names(rows: DataFrame, name: str, order: list[str], to: str = "target", taken: DataFrame | None = None, *, most: int = scans.MOST) -> DataFrame:
+    """Names made unique: who asks first for a name (by order) has it, the others the first of name_1, name_2, ... before its extension that nobody has.
+
+    A name is had if a row asks for it, or if taken (a column name) holds it; then its first row counts on, too. The number
+    of the i-th row that counts on is i and the taken numbers before it: laid out in one line, rows at i and the j-th
+    taken number t at t - j, it is a running sum, so neither a name that many rows ask for nor one with many
+    numbers taken is held in one place. A null name has a null target.
+    """
+    (i, pos, kind, row, asked, lost, chosen) = scans.unused(rows, "i", "pos", "kind", "row", "asked", "lost", "chosen")
+    s = scans.Slices(rows.where(F.col(name).isNotNull()), [name], order, most)
+    s.total(F.lit(1))
+    line = s.rows.select(*rows.columns, F.col(s.made).cast("long").alias(i))
+    known = rows.select(F.col(name).alias(asked)).where(F.col(asked).isNotNull()).distinct().withColumn(lost, F.lit(0))
+    if taken is not None:
+        held = taken.select(F.col("name").alias(asked)).where(F.col(asked).isNotNull()).distinct()
+        known = known.unionByName(held.withColumn(lost, F.lit(1))).groupBy(asked).agg(F.max(lost).alias(lost))
+        line = line.join(held.withColumn(lost, F.lit(1)), F.col(name) == F.col(asked), "left").withColumn(i, F.col(i) - 1 + F.coalesce(lost, F.lit(0))).drop(asked, lost)
+    else:
+        line = line.withColumn(i, F.col(i) - 1)
+    own = line.where(F.col(i) == 0).select(*rows.columns, F.col(name).alias(chosen))
+    extra = line.where(F.col(i) > 0).select(F.col(name).alias(asked), F.col(i).alias(pos), F.lit(0).alias(kind), F.struct(*rows.columns).alias(row))
+
+    stem, suffix = _stem_and_suffix(F.col(asked))
+    numbered = r"(?s)^(.+)_([1-9][0-9]{0,17})$"
+    parent = known.where(stem.rlike(numbered)).select(F.concat(F.regexp_extract(stem, numbered, 1), suffix).alias(asked), F.regexp_extract(stem, numbered, 2).cast("long").alias(pos))
+    numbers = scans.Slices(parent, [asked], [pos], most)
+    numbers.total(F.lit(1))
+    marks = numbers.rows.select(asked, (F.col(pos) - F.col(numbers.made)).alias(pos), F.lit(1).alias(kind), F.lit(None).cast(extra.schema[row].dataType).alias(row))
+    both = scans.Slices(extra.unionByName(marks), [asked], [pos, kind], most)
+    both.total(F.col(kind))
+    stem, suffix = _stem_and_suffix(F.col(asked))
+    free = F.concat(stem, F.lit("_"), (F.col(pos) + F.col(both.made)).cast("string"), suffix)
+    counted = both.rows.where(F.col(kind) == 0).select(f"{row}.*", free.alias(chosen))
+    none = rows.where(F.col(name).isNull()).select("*", F.lit(None).cast("string").alias(chosen))
+    return own.union(counted).union(none).withColumn(to, F.col(chosen)).drop(chosen)
 
 
 def last_written(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, times
 from ..operators import sequences
-from ..sources import files, pipe
+from ..sources import documents, files, pipe, zips
 from . import dayview
 from .registry import Tables, query
 
@@ -150,3 +150,40 @@ def day_view(t: Tables) -> DataFrame:
 def file_collisions(t: Tables) -> DataFrame:
     named = t.events.select("event_id", F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string"), F.lit(".wav")).alias("name"))
     return sequences.collision_names(named, "name", ["event_id"]).select("event_id", "target")
+
+
+@query(
+    "free_names",
+    """WITH x AS (SELECT event_id, 'u' || (user_id % 5) || CASE WHEN event_id % 4 = 0 THEN '_' || (event_id % 97) ELSE '' END || '.wav' AS name FROM events),
+    y AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY event_id) - 1 AS i FROM x), n AS (SELECT DISTINCT name FROM x),
+    k AS (SELECT name, unnest(range(1, 2 * (max(i) + 100))) AS k FROM y GROUP BY name),
+    f AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) AS i FROM k WHERE replace(name, '.wav', '_' || k || '.wav') NOT IN (SELECT name FROM n))
+    SELECT event_id, CASE WHEN y.i = 0 THEN y.name ELSE replace(y.name, '.wav', '_' || k || '.wav') END AS target FROM y LEFT JOIN f ON f.name = y.name AND f.i = y.i""",
+)
+def free_names(t: Tables) -> DataFrame:
+    """Names of which many are asked for by many, and some are numbered already."""
+    number = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("_"), (F.col("event_id") % 97).cast("string"))).otherwise("")
+    named = t.events.select("event_id", F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"), number, F.lit(".wav")).alias("name"))
+    return sequences.collision_names(named, "name", ["event_id"]).select("event_id", "target")
+
+
+@query("utterance_documents", "SELECT conv_id, turn, role, text, conv_id % 20 AS day FROM conversations")
+def utterance_documents(t: Tables) -> DataFrame:
+    """Each turn as a document of its own below its day, all of one role and day under one name; added in two jobs, and read back."""
+    path = files.scratch(t.spark, "utterances")
+    day = F.col("conv_id") % 20
+    rows = t.conversations.select("conv_id", "turn", "role", "text", F.concat("role", F.lit(".json")).alias("file"), day.alias("day"), F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).cast("timestamp").alias("at"))
+    for part in (0, 1):
+        documents.write_documents(rows.where(F.col("turn") % 2 == part), path, name="file", at="at", order=["conv_id", "turn"])
+    back = t.spark.read.schema("conv_id long, turn long, role string, text string, day long").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return back.select("conv_id", "turn", "role", "text", "day")
+
+
+@query("archive_members", "SELECT 'd' || doc_id || '.txt' AS name, sha256(text) AS text_sha256, strlen(text) AS size FROM documents")
+def archive_members(t: Tables) -> DataFrame:
+    """Documents as members of two zip archives, read back one by one from the archives' directories."""
+    path = files.scratch(t.spark, "archives")
+    named = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+    files.stored(zips.write_archives(named.repartition(2, "name"), path, "name", "text"), "written")
+    found = zips.contents(zips.index(t.spark, path))
+    return found.select("name", F.sha2("content", 256).alias("text_sha256"), "size")

@@ -6,7 +6,6 @@ import io
 import tempfile
 import uuid
 import wave
-import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -109,21 +108,13 @@ def _zips(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def members(spark: SparkSession, folder: str) -> DataFrame:
-    """Sound files of a folder's archives whose own date is the archive's: archive, date, name, date_time, channel and content. One member at a time leaves an archive."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    zips = _zips(spark, folder).select(name.alias("name"), times.archive_date(name).alias("date"), "content")
+    """Sound files of a folder's archives whose own date is the archive's: archive, date, name, date_time, channel and content. Members are read one by one, those that can't be have no row."""
+    from . import zips
 
-    def scan(frames):
-        for frame in frames:
-            for name, date, content in zip(frame["name"], frame["date"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i in z.infolist():
-                        if i.filename.lower().endswith(".wav"):
-                            yield pd.DataFrame([(name, date, i.filename, z.read(i))], columns=["archive", "date", "name", "content"])
-
-    found = zips.select("name", "date", "content").mapInPandas(scan, "archive string, date string, name string, content binary")
-    found = found.withColumn("r", T.recording_name(F.col("name"))).where("r IS NOT NULL")
-    return found.where(F.substring("r.date_time", 1, 10) == F.col("date")).select("archive", "date", "name", "r.date_time", "r.channel", "content")
+    found = zips.index(spark, folder).withColumn("archive", F.regexp_extract("path", r"([^/]+)$", 1)).where(F.endswith(F.lower("name"), F.lit(".wav")))
+    found = found.withColumns({"date": times.archive_date(F.col("archive")), "r": T.recording_name(F.regexp_extract("name", r"([^/]+)$", 1))}).where("r IS NOT NULL")
+    found = found.where(F.substring("r.date_time", 1, 10) == F.col("date")).select("path", "name", "offset", "packed", "method", "crc", "error", "archive", "date", F.col("r.date_time").alias("date_time"), F.col("r.channel").alias("channel"))
+    return zips.contents(found).where("content IS NOT NULL").select("archive", "date", "name", "date_time", "channel", "content")
 
 
 def wav_frames(sounds: DataFrame, frame_ms: int = 20, loud: float = 500.0) -> DataFrame:
