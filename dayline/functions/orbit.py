@@ -201,11 +201,13 @@ def track(bases: DataFrame, *, start: int = -2000, end: int = 3790, step: int =
 
 
 def nearest_elements(bases: DataFrame, elements: DataFrame) -> DataFrame:
-    """Base times (t) with the element set (epoch, tle_line1, tle_line2) of their own month or the two beside it whose epoch is nearest; the earlier of two as near."""
+    """Base times (t) with the element set (epoch, tle_line1, tle_line2) whose epoch is nearest, however far; the earlier of two as near, the first by its lines of equals. A null time has none.
+
+    All are one key of the as-of join, which it scans in slices.
+    """
     from ..operators.joins import nearest
+    from ..operators.scans import unused
 
-    month = F.trunc(F.col("t"), "MM")
-    own = F.trunc(F.col("epoch"), "MM")
-    near = elements.withColumn("_month", F.explode(F.array(F.add_months(own, -1), own, F.add_months(own, 1))))
-    found = nearest(bases.withColumn("_month", month), near, by=["_month"], at="t", epoch="epoch", order=["tle_line1", "tle_line2"], payload=["tle_line1", "tle_line2"])
-    return found.drop("_month")
+    (every,) = unused(bases, "every")
+    found = nearest(bases.withColumn(every, F.lit(0)), elements.withColumn(every, F.lit(0)), by=[every], at="t", epoch="epoch", order=["tle_line1", "tle_line2"], payload=["tle_line1", "tle_line2"])
+    return found.drop(every)

@@ -82,6 +82,17 @@ def channel_of(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"_SG_(\d+)", 1).try_cast("int")
 
 
+def channel_or_unknown(file_name: Column) -> Column:
+    """The number behind a numbered group, as text, or 'unknown'."""
+    return F.coalesce(F.nullif(F.regexp_extract(file_name, r"\d+_SG_(\d+)", 1), F.lit("")), F.lit("unknown"))
+
+
+def channel_or_error(file_name: Column) -> Column:
+    """As channel_of, but a name without a channel is an error."""
+    found = channel_of(file_name)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no channel in: "), F.coalesce(file_name, F.lit("null")))).cast("int"))
+
+
 def recording_name(name: Column) -> Column:
     """struct(date_time, channel) of a recording's name, null if it has no such form; the channel is the last digit of its number."""
     pattern = r"SG(\d+)(?:_DUP)?_(\d{4}-\d{2}-\d{2}_\d{2}_\d{2}_\d{2})"

@@ -103,3 +103,8 @@ def playback_clock(start: Column, started_ms: Column, now_ms: Column) -> Column:
 def clock_seed(ts: Column) -> Column:
     """Five seconds before, as time of day."""
     return F.date_format(ts - F.expr("INTERVAL 5 SECONDS"), "HH:mm:ss")
+
+
+def since(at: Column, first: str) -> Column:
+    """Whether a time is not before a day's beginning; a missing one is not."""
+    return F.coalesce(at >= F.lit(f"{first} 00:00:00").cast("timestamp"), F.lit(False))

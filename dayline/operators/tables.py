@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
 from ..functions import times
+from .scans import unused
 
 CELL = "struct<text: string, html: string, links: array<struct<name: string, flag: string>>, small: string, bgcolor: string, flagged: boolean>"
 ROWS = f"array<struct<table_no: int, row_no: int, cells: array<{CELL}>>>"
@@ -106,7 +107,8 @@ def scan_tables(pages: DataFrame, html: str = "html", *, drop_last: bool = False
     rows = pages.select(*rest, F.explode(table_rows(F.col(html))).alias("r")).select(*rest, "r.*").where("row_no > 0")
     if drop_last:
         last = F.max("table_no").over(Window.partitionBy(*rest))
-        rows = rows.withColumn("_last", last).where("table_no < _last").drop("_last")
+        (end,) = unused(rows, "end")
+        rows = rows.withColumn(end, last).where(F.col("table_no") < F.col(end)).drop(end)
     return rows
 
 
@@ -195,7 +197,7 @@ def spacewalks(rows: DataFrame, keys: list[str], divider: str = "#CCCCCC") -> Da
     open_ended = lambda c: F.col(c).isin("TBD", "TBC")
     done = found.where(F.forall("crew", lambda c: ~c["name"].isin("TBD", "TBC")) & ~open_ended("start") & ~open_ended("end") & ~open_ended("duration"))
     done = done.withColumn("startTime", times.day_month_year(F.col("start"))).withColumn("endTime", times.day_month_year(F.col("end")))
-    return done.where(F.col("startTime") >= F.lit("2015-01-01 00:00:00").cast("timestamp")).drop("start", "end")
+    return done.where(times.since(F.col("startTime"), "2015-01-01")).drop("start", "end")
 
 
 def labelled_field(html: Column, *labels: str) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as T
 from ..functions import times
-from ..operators import aggregates, joins
+from ..operators import aggregates, joins, kept
+from ..sources import days, pipe
 
 
 def transcript_rows(utterances: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def photo_manifest(records: DataFrame, order: list[str]) -> DataFrame:
     return both.select(F.concat_ws("-", "mission", "roll", "frame").alias("ID"), times.compact_time(F.col("pdate"), F.col("ptime")).alias("dateTaken"), F.col("small").alias("smallUrl"), F.col("large").alias("largeUrl"))
 
 
-def day_view(days: DataFrame, *, transcripts: DataFrame, images: DataFrame, recordings: DataFrame, spacewalks: DataFrame, crew: DataFrame, expeditions: DataFrame) -> DataFrame:
+def day_view(dates: DataFrame, *, transcripts: DataFrame, images: DataFrame, recordings: DataFrame, spacewalks: DataFrame, crew: DataFrame, expeditions: DataFrame) -> DataFrame:
     """One row for each date (text): arrays of what the sources have for it, empty where they have nothing, and its expedition.
 
     transcripts and images have a column date; recordings start with it in startTime, spacewalks in startTime; crew are those aboard.
@@ -39,19 +41,51 @@ def day_view(days: DataFrame, *, transcripts: DataFrame, images: DataFrame, reco
     item = lambda rows, *drop: F.struct(*[c for c in rows.columns if c not in drop]).alias("item")
     recordings = recordings.withColumn("date", F.substring("startTime", 1, 10))
     spacewalks = spacewalks.withColumn("date", F.date_format("startTime", "yyyy-MM-dd"))
-    dated = days.select("date", times.checked_day(F.col("date")).alias("_d"))
+    dated = dates.select("date", times.checked_day(F.col("date")).alias("_d"))
     aboard = joins.onboard(dated.select(F.col("_d").alias("date")), crew)
     aboard = aboard.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.struct(*crew.columns).alias("item"))
     view = joins.beside_days(
-        days, "date", transcripts=transcripts.select("date", item(transcripts, "date")), images=images.select("date", item(images, "date")),
+        dates, "date", transcripts=transcripts.select("date", item(transcripts, "date")), images=images.select("date", item(images, "date")),
         recordings=recordings.select("date", item(recordings, "date")), spacewalks=spacewalks.select("date", item(spacewalks, "date")), crew=aboard,
     )
-    terms = expeditions.withColumn("_pos", F.col("expedition"))
-    of = days.join(terms, (F.col("start") <= F.col("date")) & (F.col("end") >= F.col("date")), "left")
-    first = of.groupBy("date").agg(F.min_by(F.struct(*expeditions.columns), "_pos").alias("expedition"))
+    first = joins.first_covering(dated.where("_d IS NOT NULL"), _terms(expeditions), "_d", "_start", "_end", "expedition")
+    first = first.select("date", F.struct(*expeditions.columns).alias("expedition"))
     return view.join(first, "date", "left")
 
 
+def _terms(expeditions: DataFrame) -> DataFrame:
+    """expeditions with the days from _start to _end. Texts compare as texts do: one without a date that begins behind all digits, as a word does, has no end; a missing start or end covers nothing."""
+    day = lambda c: F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.when(F.col(c) >= ":", F.lit("9999-12-31").cast("date")))
+    found = expeditions.withColumns({"_start": day("start"), "_end": day("end")})
+    return found.where("_start IS NOT NULL AND _end IS NOT NULL").withColumns({c: F.col(c).cast("timestamp") for c in ("_start", "_end")})
+
+
+def day_view_of_files(spark: SparkSession, root: str, dates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The day view of the dates from the files below root (sources.days), and the quarantine: a missing source is empty, a damaged one empties its days."""
+    json = {"images": schemas.IMAGE, "spacewalks": schemas.SPACEWALK, "crew": schemas.STAY, "expeditions": schemas.EXPEDITION}
+    found = days.load(spark, root, json=json, lines={"transcripts": pipe.TRANSCRIPT, "recordings": pipe.RECORDINGS})
+    t = {n: x.withColumnRenamed("scope", "date") if n in ("transcripts", "images") else x.drop("scope") for n, x in found.tables.items()}
+    return found.blanked(day_view(dates, **t)), found.quarantine
+
+
+def kept_photos(spark: SparkSession, path: str, order: list[str]) -> kept.Kept:
+    """The photo manifest kept up to date by the days of photos; the records of one photo share their day."""
+    size = lambda name: F.contains("directory", F.lit(f"/{name}/"))
+    url = F.concat(F.col("directory"), F.lit("/"), F.col("filename"))
+    values = {"small": ("last", url, size("small") & ~size("large")), "large": ("last", url, size("large")), "ptime": ("first", F.col("ptime"), size("large") | size("small"))}
+    return kept.Kept(spark, path, keys=["pdate", "mission", "roll", "frame"], part="pdate", order=order, values=values)
+
+
+def given_photos(records: DataFrame) -> DataFrame:
+    return records.where(T.all_given(*[F.col(c) for c in ("mission", "roll", "frame", "pdate", "ptime", "directory", "filename")]))
+
+
+def photos_of(state: DataFrame) -> DataFrame:
+    """The manifest's rows of what kept_photos() holds."""
+    both = state.where("small IS NOT NULL AND large IS NOT NULL")
+    return both.select(F.concat_ws("-", "mission", "roll", "frame").alias("ID"), times.compact_time(F.col("pdate"), F.col("ptime")).alias("dateTaken"), F.col("small").alias("smallUrl"), F.col("large").alias("largeUrl"))
+
+
 def seed_clock(param: str | None, first_item: str | None) -> str | None:
     """The clock's start: transcripts beat the address's time."""
     return first_item or param

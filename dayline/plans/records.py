@@ -109,18 +109,31 @@ def cell_text(t: Tables) -> DataFrame:
     )
 
 
-@query("since_2015", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1995-06-01'")
+@query("since_2015", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1995-06-01' AND o_orderdate >= DATE '1990-01-01'")
 def since(t: Tables) -> DataFrame:
-    start = F.when(F.col("o_orderdate") >= F.lit("1990-01-01").cast("date"), F.col("o_orderdate").cast("timestamp"))
-    return t.orders.where(start >= F.lit("1995-06-01 00:00:00").cast("timestamp")).select("o_orderkey")
+    return t.orders.where(times.since(F.col("o_orderdate").cast("timestamp"), "1995-06-01")).select("o_orderkey")
 
 
-@query("checked_days", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+@query("checked_days", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-02-28') END AS day FROM orders")
 def checked_days(t: Tables) -> DataFrame:
-    day = times.checked_day(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    """Order days as text, of which some are no days: a thirtieth of February, a thirteenth month."""
+    wrong = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-02-28")).when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-02-30")).otherwise(F.date_format("o_orderdate", "yyyy-13-dd"))
+    day = times.checked_day(F.when(F.col("o_orderkey") % 5 == 0, wrong).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
     return t.orders.select("o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("day"))
 
 
+@query(
+    "channel_forms",
+    """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id::INT END AS channel, CASE WHEN event_id % 3 = 1 THEN user_id::VARCHAR ELSE 'unknown' END AS counted, CASE WHEN event_id % 3 <> 0 THEN user_id::INT ELSE -1 END AS strict FROM events""",
+)
+def channel_forms(t: Tables) -> DataFrame:
+    """The three readings of a file name's channel, on names with a number before the group, without one, and without a channel."""
+    user = F.col("user_id").cast("string")
+    name = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("2019-01-29T020513-1_SG_"), user, F.lit("_IA.aac"))).when(F.col("event_id") % 3 == 2, F.concat(F.lit("x_SG_"), user, F.lit(".aac"))).otherwise(F.concat(F.lit("none_"), user, F.lit(".aac")))
+    strict = F.when(F.col("event_id") % 3 != 0, text.channel_or_error(name)).otherwise(-1)
+    return t.events.select("event_id", text.channel_of(name).alias("channel"), text.channel_or_unknown(name).alias("counted"), strict.alias("strict"))
+
+
 @query(
     "day_view",
     """WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date FROM events),
@@ -187,3 +200,49 @@ def archive_members(t: Tables) -> DataFrame:
     files.stored(zips.write_archives(named.repartition(2, "name"), path, "name", "text"), "written")
     found = zips.contents(zips.index(t.spark, path))
     return found.select("name", F.sha2("content", 256).alias("text_sha256"), "size")
+
+
+@query(
+    "damaged_days",
+    """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS date, dayofmonth(ts) % 7 AS k, event_type, event_id FROM events)
+    SELECT date, CASE WHEN any_value(k) = 5 THEN 0 ELSE count(*) FILTER (WHERE event_type = 'view' AND event_id % 13 <> 0) END::INT AS n_transcripts,
+      CASE WHEN any_value(k) IN (3, 5) THEN 0 ELSE count(*) FILTER (WHERE event_type = 'click') END::INT AS n_images, 0 AS n_crew,
+      count(*) FILTER (WHERE event_type = 'view' AND event_id % 13 = 0) + CASE WHEN any_value(k) = 5 THEN 1 ELSE 0 END AS n_quarantined FROM e GROUP BY date""",
+)
+def damaged_days(t: Tables) -> DataFrame:
+    """The day view from files: some days' images are missing, some are cut off and empty their days, some lines have a field too many, and there is no crew at all."""
+    root = files.scratch(t.spark, "damaged")
+    dated = t.events.withColumns({"date": F.date_format("ts", "yyyy-MM-dd"), "k": F.dayofmonth("ts") % 7, "n": F.col("event_id").cast("string")})
+    views = dated.where("event_type = 'view'").select("date", F.date_format("ts", "HH:mm:ss").alias("utteranceTime"), F.concat("n", F.lit(".aac")).alias("filename"), F.lit("0").alias("start"), F.lit("1").alias("end"), F.lit("en").alias("language"), F.concat(F.lit("said "), "n").alias("text"), F.when(F.col("event_id") % 13 == 0, "one|more").alias("textOriginalLang"))
+    pipe.write(views, f"{root}/transcripts", pipe.TRANSCRIPT, ["date"])
+    images = dated.where("event_type = 'click'").groupBy("date", "k").agg(F.to_json(F.collect_list(F.struct(F.col("n").alias("ID")))).alias("value"))
+    every = dated.select("date", "k").distinct().join(images, ["date", "k"], "left").where("k <> 3")
+    cut = F.coalesce("value", F.lit("[]"))
+    every.select("date", F.when(F.col("k") == 5, F.substr(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut).alias("value")).write.partitionBy("date").text(f"{root}/images")
+    view, bad = dayview.day_view_of_files(t.spark, root, dated.select("date").distinct())
+    bad = bad.groupBy(F.col("scope").alias("date")).agg(F.count(F.lit(1)).alias("n_quarantined"))
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("transcripts", "images", "crew")]
+    return view.select("date", *sizes).join(bad, "date", "left").fillna(0, ["n_quarantined"])
+
+
+@query(
+    "kept_manifest",
+    """WITH r AS (SELECT 'ISS' || lpad((user_id % 70)::VARCHAR, 3, '0') AS mission, 'E' AS roll, (event_id // 3 % 40)::VARCHAR AS frame, strftime(ts, '%Y%m%d') AS pdate, strftime(ts, '%H%M%S') AS ptime,
+        CASE event_id % 3 WHEN 0 THEN '/p/large/x' WHEN 1 THEN '/p/small/x' ELSE '/p/raw/x' END AS directory, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_id || '.JPG' END AS filename, event_id FROM events),
+      g AS (SELECT *, directory || '/' || filename AS url FROM r WHERE filename <> '' AND directory <> '/p/raw/x')
+    SELECT concat_ws('-', mission, roll, frame) AS "ID", strftime(strptime(pdate || arg_min(ptime, event_id), '%Y%m%d%H%M%S'), '%Y-%m-%dT%H:%M:%SZ') AS "dateTaken",
+      arg_max(url, event_id) FILTER (WHERE directory = '/p/small/x') AS "smallUrl", arg_max(url, event_id) FILTER (WHERE directory = '/p/large/x') AS "largeUrl"
+    FROM g GROUP BY mission, roll, frame, pdate HAVING "smallUrl" IS NOT NULL AND "largeUrl" IS NOT NULL""",
+)
+def kept_manifest(t: Tables) -> DataFrame:
+    """The photo manifest from three batches that come in no order, each merged into the days that it has photos of."""
+    n = F.col("event_id")
+    where = F.when(n % 3 == 0, "/p/large/x").when(n % 3 == 1, "/p/small/x").otherwise("/p/raw/x")
+    records = dayview.given_photos(t.events.select(
+        F.concat(F.lit("ISS"), F.lpad((F.col("user_id") % 70).cast("string"), 3, "0")).alias("mission"), F.lit("E").alias("roll"), (F.floor(n / 3) % 40).cast("string").alias("frame"), F.date_format("ts", "yyyyMMdd").alias("pdate"), F.date_format("ts", "HHmmss").alias("ptime"),
+        where.alias("directory"), F.when(n % 11 == 0, "").otherwise(F.concat(n.cast("string"), F.lit(".JPG"))).alias("filename"), "event_id",
+    ))
+    photos = dayview.kept_photos(t.spark, files.scratch(t.spark, "kept"), ["event_id"])
+    for number, part in enumerate((2, 0, 1)):
+        photos.merge(records.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part), number)
+    return dayview.photos_of(photos.table(records))
