@@ -12,7 +12,8 @@ the best path of the whole transcript has at each seam; then each part follows i
 
 Defined cases: a null or empty transcript has no turns; lines before any marker belong to the most
 likely role; a role word that is no known alias is no marker; role tags of the canonical form inside
-a text are broken by a space; a conversation whose id and part repeat is decoded with the repeated
+a text are broken by a space; a line of a turn's text that begins as a speaker marker does can't be told from
+one and begins a turn of its own; a conversation whose id and part repeat is decoded with the repeated
 parts one after another; an empty table gives no rows.
 """
 

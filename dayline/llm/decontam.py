@@ -6,8 +6,11 @@ the characters of the original.
 
 The items are gathered by the driver in blocks of a checked size (BLOCK_BYTES), each sent to the executors
 as a broadcast of that size at most. A benchmark within one block, the usual case, is one automaton and
-one narrow pass. A larger one is scanned block after block, each in a pass of its own whose hits are
-written down, so a task never holds more than one automaton and the driver never more than one block.
+one narrow pass. Of a larger one, each window has an anchor, the pair of neighbouring words with the
+smallest hash, and the anchors of many blocks are sent out once (ANCHOR_ROWS): a pass over all texts
+tells each the blocks that it holds anchors of, and only texts that hold some are written down and
+scanned, by those blocks' automata, one after another. A task never holds more than one automaton and the
+driver never more than one block, and all documents are read once for each ANCHOR_ROWS of anchors (some 40 MB of benchmark).
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no window;
 equal windows of several items count for each; a null item_id counts as an occurring item named by
@@ -25,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import release, stored, unused
 
 #: Text of the benchmark items that one broadcast holds at most.
 BLOCK_BYTES = 2 << 20
 #: Words of an item that travel together; longer items are cut into pieces that overlap by a window but one word.
 PIECE_WORDS = 4096
 
+#: Anchors of blocks that one broadcast holds at most, 12 bytes each.
+ANCHOR_ROWS = 1 << 20
+
 #: ASCII bytes that are not part of words become spaces, and A-Z become a-z; bytes of other characters stay.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -174,36 +180,145 @@ def _found(rows: list[tuple[int, list[str], list[tuple[int, int]], list[dict]]])
     return pa.StructArray.from_arrays(columns, names=["n_words", "items", "spans", "char_spans"])
 
 
-def _together(texts: pa.Array, items: pa.Array, spans: pa.Array) -> pa.Array:
-    """The hits of several blocks in one text: items sorted, spans merged."""
+def _together(texts: pa.Array, n_words: pa.Array, items: pa.Array, spans: pa.Array) -> pa.Array:
+    """The hits of several blocks in one text: items sorted, spans merged. Texts without hits need not be there."""
     out = []
-    for text, names, found in zip(texts, items, spans, strict=True):
-        t = text.as_py()
-        hit = np.zeros(len(words_of(t)), dtype=bool)
-        for s in found.as_py() or []:
+    for text, n, names, found in zip(texts, n_words.to_pylist(), items, spans, strict=True):
+        names = names.as_py()
+        if not names:
+            out.append((n, [], [], []))
+            continue
+        hit = np.zeros(n, dtype=bool)
+        for s in found.as_py():
             hit[s["start"] : s["end"]] = True
         covered = merged(hit)
-        out.append((len(hit), sorted(set(names.as_py() or [])), covered, _char_spans(t, covered) if covered else []))
+        out.append((n, sorted(set(names)), covered, _char_spans(text.as_py(), covered)))
     return _found(out)
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each document: n_words, the items with a window in it (sorted), and the hit spans, in words and in characters (ends excluded)."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = blocks_of(benchmark, n, block_bytes)
-    if len(blocks) == 1:
-        return rows.select("doc_id", _finder(_broadcast(blocks[0]), n, True)(F.col("text")).alias("found")).select("doc_id", "found.*")
-    rows, hits = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), []
-    for block in blocks:
-        sent = _broadcast(block)
-        found = rows.select("row", _finder(sent, n, False)(F.col("text")).alias("found")).where(F.size("found.items") > 0)
-        hits.append(stored(found.select("row", "found.items", "found.spans"), "hits"))
+class Pairs:
+    """Hashes of neighbouring words, and of a word that is alone, the same in every process."""
+
+    ONE, TWO, LONE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+    def __init__(self, most: int = 200_000):
+        self.known, self.most = {}, most
+
+    def _words(self, words: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair of neighbours, and of each word."""
+        h = self._words(words)
+        both = h[:-1] * self.ONE + (h[1:] ^ (h[1:] >> np.uint64(29))) * self.TWO
+        return both ^ (both >> np.uint64(32)), h * self.LONE
+
+
+def _anchors(n: int):
+    """Pieces (block, text) to the anchors of their windows: of each window the smallest hash of its pairs, or of its only word."""
+
+    def run(batches):
+        pairs = Pairs()
+        for batch in batches:
+            blocks, found = [], [np.empty(0, np.uint64)]
+            for block, text in zip(batch["block"].to_pylist(), batch["text"], strict=True):
+                words = words_of(text.as_py())
+                both, lone = pairs(words)
+                size = min(n, len(words)) - 1
+                mine = np.unique(np.lib.stride_tricks.sliding_window_view(both, size).min(axis=1)) if size > 0 else np.unique(lone)
+                found.append(mine)
+                blocks += [block] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(np.concatenate(found).view(np.int64))], names=["block", "anchor"])
+
+    return run
+
+
+def _routed(sent):
+    """Rows (row, doc_id, text) to their number of words, the blocks that they hold anchors of, and the text if there are any."""
+
+    def run(batches):
+        hashes, starts, blocks = sent.value
+        pairs = Pairs()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, n, lists = part["text"].to_pylist(), [], []
+                for text in texts:
+                    words = words_of(text)
+                    n.append(len(words))
+                    every = np.concatenate(pairs(words))
+                    place = np.minimum(np.searchsorted(hashes, every), max(0, len(hashes) - 1))
+                    there = np.unique(place[hashes[place] == every]) if len(hashes) else place[:0]
+                    lists.append(sorted({b for k in there.tolist() for b in blocks[starts[k] : starts[k + 1]].tolist()}))
+                kept = [t if b else None for t, b in zip(texts, lists, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=["row", "doc_id", "n_words", "blocks", "text"])
+        release()
+
+    return run
+
+
+def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Blocks (number, anchors) in groups of at most so many anchors, or of one block."""
+    out, held = [], 0
+    for block, n in sizes:
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(block)
+        held += n
+    return out
+
+
+def _hits(rows: DataFrame, blocks: list[DataFrame], n: int, anchor_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (row, doc_id, text): row, doc_id, n_words and, where it may be needed, text; and the hits (row, items, spans) of all blocks."""
+    pieces = blocks[0].withColumn("block", F.lit(0))
+    for number, block in enumerate(blocks[1:], 1):
+        pieces = pieces.unionByName(block.withColumn("block", F.lit(number)))
+    anchors = stored(pieces.select("block", "text").mapInArrow(_anchors(n), "block int, anchor long").distinct(), "anchors")
+    sizes = [(r["block"], r["n"]) for r in anchors.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect()]
+    routed, hits = [], []
+    for group in _groups(sizes, anchor_rows):
+        held = anchors.where(F.col("block").isin(group)).toPandas()  # anchor_rows at most, or one block's
+        order = np.argsort(held["anchor"].to_numpy().view(np.uint64), kind="stable")
+        every, starts = np.unique(held["anchor"].to_numpy().view(np.uint64)[order], return_index=True)
+        sent = rows.sparkSession.sparkContext.broadcast((every, np.append(starts, len(order)), held["block"].to_numpy()[order]))
+        found = stored(rows.mapInArrow(_routed(sent), "row long, doc_id long, n_words long, blocks array<int>, text string"), "routed")
         sent.unpersist()
+        routed.append(found)
+        for number in group:
+            sent = _broadcast(blocks[number])
+            texts = found.where(F.array_contains("blocks", number)).select("row", "text")
+            hit = texts.select("row", _finder(sent, n, False)(F.col("text")).alias("found")).where(F.size("found.items") > 0)
+            hits.append(stored(hit.select("row", "found.items", "found.spans"), "hits"))
+            sent.unpersist()
     every = hits[0]
     for x in hits[1:]:
         every = every.unionByName(x)
     every = every.groupBy("row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return rows.join(every, "row", "left").select("doc_id", F.arrow_udf(_together, FOUND)(F.col("text"), F.col("items"), F.col("spans")).alias("found")).select("doc_id", "found.*")
+    whole = routed[0].drop("blocks")
+    for number, x in enumerate(routed[1:]):
+        whole = whole.join(x.select("row", F.col("text").alias(f"text{number}")), "row").withColumn("text", F.coalesce("text", f"text{number}")).drop(f"text{number}")
+    return whole, every
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
+    """For each document: n_words, the items with a window in it (sorted), and the hit spans, in words and in characters (ends excluded)."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = blocks_of(benchmark, n, block_bytes)
+    if len(blocks) == 1:
+        return rows.select("doc_id", _finder(_broadcast(blocks[0]), n, True)(F.col("text")).alias("found")).select("doc_id", "found.*")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered").select("row", "doc_id", "text")
+    whole, every = _hits(rows, blocks, n, anchor_rows)
+    found = F.arrow_udf(_together, FOUND)(F.col("text"), F.col("n_words"), F.col("items"), F.col("spans"))
+    return whole.join(every, "row", "left").select("doc_id", found.alias("found")).select("doc_id", "found.*")
 
 
 def _cleaner(block, n: int) -> Callable[[Column], Column]:
@@ -219,16 +334,15 @@ def _cleaner(block, n: int) -> Callable[[Column], Column]:
     return clean
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, block_bytes: int = BLOCK_BYTES, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """The rows of documents, with all their columns, whose text holds no window of any item."""
     blocks = blocks_of(benchmark, n, block_bytes)
-    for number, block in enumerate(blocks):
-        sent = _broadcast(block)
-        documents = documents.where(_cleaner(sent, n)(F.col("text").cast("string")))
-        if number < len(blocks) - 1:
-            documents = stored(documents, "clean-so-far")
-            sent.unpersist()
-    return documents
+    if len(blocks) == 1:
+        return documents.where(_cleaner(_broadcast(blocks[0]), n)(F.col("text").cast("string")))
+    row = unused("row", *documents.columns)
+    rows = stored(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, hits = _hits(rows.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), blocks, n, anchor_rows)
+    return rows.join(hits.select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

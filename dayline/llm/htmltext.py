@@ -30,7 +30,7 @@ _LINK = re.compile(r"<a[\s>]", re.I)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Elements by what they do, and words of class, id or role that mark boilerplate or content.
-RAW = frozenset("script style noscript template textarea title svg iframe object select option math canvas video audio head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select option canvas video audio head".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 OUTSIDE = frozenset("nav footer aside form menu button dialog fieldset header".split())
 INSIDE = frozenset("article main".split())

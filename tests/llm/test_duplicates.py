@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from dayline.llm import decontam, simhash, substring
 
@@ -284,6 +285,34 @@ def test_long_items_and_repeated_ones(spark):
     assert rows[2]["items"] == []
 
 
+def test_only_texts_with_anchors_are_scanned_again(spark, monkeypatch):
+    """Of a benchmark of many blocks, each text is scanned by the automata of those blocks alone that it holds anchors of; the result is that of one block, also with several groups of anchors."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abdeghiklmnoprst") for _ in range(5)) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 9, 10, 11, 30, 60])))) for i in range(60)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(150)]
+    for i in range(0, 60, 2):
+        w = items[i][1].split()
+        docs.append((200 + i, " ".join([*rng.choices(vocabulary, k=20), *w[-12:], *rng.choices(vocabulary, k=20)])))
+    docs += [(400, None), (401, ""), (None, items[5][1]), (402, items[7][1]), (402, items[7][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"row": F.lit("r"), "blocks": F.lit(1)}).repartition(3)
+    whole = sorted(map(str, decontam.scan(df, bench).collect()))
+    clean = sorted(map(str, decontam.drop_contaminated(df, bench).collect()))
+    tables, kept = [], decontam.stored
+    monkeypatch.setattr(decontam, "stored", lambda d, name: tables.append((name, out := kept(d, name))) or out)
+    for anchor_rows in (1 << 20, 60):
+        tables.clear()
+        assert sorted(map(str, decontam.scan(df, bench, block_bytes=900, anchor_rows=anchor_rows).collect())) == whole
+        names = [n for n, _ in tables]
+        assert names.count("hits") >= 6
+        assert (names.count("routed") == 1) == (anchor_rows == 1 << 20)
+        again = sum(t.agg(F.sum(F.size("blocks"))).first()[0] for n, t in tables if n == "routed")
+        assert again < 0.2 * len(docs) * names.count("hits")
+    monkeypatch.undo()
+    assert sorted(map(str, decontam.drop_contaminated(df, bench, block_bytes=900).collect())) == clean
+
+
 @pytest.mark.parametrize("rest", range(11))
 def test_items_a_little_longer_than_their_pieces(spark, monkeypatch, rest):
     """An item of whole pieces and a few words more is found by whole windows alone, whatever is left behind its last piece."""

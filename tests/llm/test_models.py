@@ -332,3 +332,11 @@ def test_held_out_pages():
     assert wanted > 700
     assert right / taken > 0.97, right / taken
     assert right / wanted > 0.95, right / wanted
+
+
+def test_formulas_stay():
+    """The text of a formula inside an article is kept where it stands."""
+    page = "<html><body><nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>A paragraph of some length that goes on about the matter number {i} with <math><mi>x</mi><mo>=</mo><mn>{i}</mn></math> and more words behind it.</p>" for i in range(6)) + "</article></body></html>"
+    text = htmltext.main_text(page)
+    assert "x=3" in text.replace(" ", "")
+    assert "Home" not in text
