@@ -8,6 +8,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The map projection's radius of the earth, and below the constants of the almanac's low-precision sun.
 EARTH_RADIUS_M = 6378137.0
 
 

@@ -1,4 +1,11 @@
-"""Ordered and pivoting aggregations: wherever first or last matters, an order is given."""
+"""Ordered and pivoting aggregations: wherever first or last matters, an order is given.
+
+Defined cases: null keys are a key; nulls come first in an order; of rows equal in their order the value is
+that of any of them; a text that is null is left out of joined texts, in which an empty one still has its separators;
+repeated rows count as often as they occur; an empty table gives no rows; columns keep their names, and no others
+are made on the way. Joined texts are one value a key, so a key's texts must fit one task: use
+sequences.chunked first where a key may be long.
+"""
 
 from __future__ import annotations
 
@@ -26,17 +33,20 @@ def sums_by(rows: DataFrame, value: str, *columns: str) -> DataFrame:
     return rows.groupingSets([[F.col(c)] for c in columns] + [[]], *[F.col(c) for c in columns]).agg(F.sum(value).alias(value), sets.alias("level"))
 
 
-def rolled_text(rows: DataFrame, keys: list[str], text: str, order: list[str], separator: str = " ") -> DataFrame:
-    """text: the texts of each key in order, joined."""
-    lines = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["_text"]), separator).alias(text))
+def _in_order(text: str, order: list[str], separator: str) -> Column:
+    lines = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], F.col(text).alias("text"))))
+    return F.array_join(F.transform(lines, lambda x: x["text"]), separator)
+
+
+def rolled_text(rows: DataFrame, keys: list[str], text: str, order: list[str], separator: str = " ", **also: Column) -> DataFrame:
+    """text: the texts of each key in order, joined; and other aggregates beside it."""
+    return rows.groupBy(*keys).agg(_in_order(text, order, separator).alias(text), *[x.alias(n) for n, x in also.items()])
 
 
 def roll_up_chunks(rows: DataFrame, keys: list[str], text: str, seconds: str, order: list[str]) -> DataFrame:
     """Of each chunk: its texts joined by '. ', and its first and last seconds."""
     at = F.struct(*order)
-    lines = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["_text"]), ". ").alias("summary"), F.min_by(seconds, at).alias("start_time"), F.max_by(seconds, at).alias("end_time"))
+    return rows.groupBy(*keys).agg(_in_order(text, order, ". ").alias("summary"), F.min_by(seconds, at).alias("start_time"), F.max_by(seconds, at).alias("end_time"))
 
 
 def earliest(events: DataFrame, by: list[str], k: int = 40) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Interval, as-of, existence and lookup joins."""
+"""Interval, as-of, existence and lookup joins.
+
+Defined cases, where a function states no others: null keys meet nothing, as in SQL, and a missing key has no flag, so
+its flags are false; repeated rows of the left side come back as often as they occur, and repeated rows of sets
+(flags, todo, copy_plan) change nothing; of a name given twice lookup() returns both; empty tables give
+what an empty set gives; the rows' own columns come back as they are, whatever their names.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Row-after-row computations as windows and folds."""
+"""Row-after-row computations as windows and folds.
+
+Defined cases, where a function states no others: null keys are a key, as in windows; nulls come first in an order;
+rows equal in their order stand in any order among themselves; repeated rows count as often as they occur; an
+empty table gives no rows; the rows' own columns come back as they are, whatever their names, but for one
+that the result's own column replaces.
+"""
 
 from __future__ import annotations
 

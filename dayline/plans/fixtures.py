@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import orbit, times
 from ..functions.text import WORTHLESS_INSIDE
-from ..operators import sequences, tables
-from ..schemas import SEGMENT
+from ..operators import aggregates, sequences, tables
+from ..schemas import EVENT, SEGMENT
 from .registry import Tables, query
 
+EVENT_FIELDS = EVENT.replace(" int", ": int").replace(" string", ": string")
+
 # A published element set.
 TLE = ("1 25544U 98067A   24001.50000000  .00016717  00000-0  30270-3 0  9993", "2 25544  51.6400 208.9163 0006317  69.9862  25.2906 15.49815508000013")
 CREW_PAGE = """<table class="wikitable"><tr><th>No.</th><th>Patch</th><th>Crew</th><th>Up</th><th>Flight</th><th>Down</th><th>Flight</th><th>Days</th></tr>
@@ -160,3 +162,25 @@ def usable_utterances(t: Tables) -> DataFrame:
     one = F.struct(said.alias("text"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"))
     segments = F.when(F.col("turn") % 5 == 0, F.array().cast(f"array<{SEGMENT}>")).otherwise(F.array(one))
     return models.usable(t.conversations.withColumn("segments", segments)).select("conv_id", "turn")
+
+
+@query("event_index", "SELECT conv_id, 0 AS n_events, true AS read FROM conversations GROUP BY conv_id")
+def event_index(t: Tables) -> DataFrame:
+    """Each conversation's prompt given to the event indexer's stand-in, whose answer is read as JSON."""
+    rows = t.conversations.select("conv_id", "turn", F.col("turn").cast("string").alias("timestamp"), "text")
+    told = rows.groupBy("conv_id").agg(aggregates.prompt(F.array().cast("array<string>"), F.array_sort(F.collect_list(F.struct("turn", "timestamp", "text"))), "Events of a day", "As JSON:").alias("prompt"))
+    answer = models.safe_json(models.apply(F.col("prompt"), models.empty_index), f"events array<struct<{EVENT_FIELDS}>>")
+    return told.select("conv_id", answer.alias("x")).select("conv_id", F.coalesce(F.size("x.events"), F.lit(0)).alias("n_events"), F.col("x").isNotNull().alias("read"))
+
+
+@query(
+    "track_parts",
+    """WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, ((event_id * 37) % 360 - 180)::DOUBLE AS lng FROM events),
+    y AS (SELECT *, abs(lng - lag(lng) OVER (PARTITION BY user_id ORDER BY i)) AS step FROM x), z AS (SELECT *, abs(step - lag(step) OVER (PARTITION BY user_id ORDER BY i)) > 100 AS hit FROM y),
+    f AS (SELECT user_id, min(i) AS first FROM z WHERE hit GROUP BY user_id) SELECT event_id, CASE WHEN i >= first THEN 2 ELSE 1 END AS part FROM z LEFT JOIN f USING (user_id)""",
+)
+def track_parts(t: Tables) -> DataFrame:
+    """Events of a user as the points of a track that jumps."""
+    lng = (F.col("event_id") * 37 % 360 - 180).cast("double")
+    points = t.events.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"), lng.alias("lng"))
+    return sequences.split_track(points, ["user_id"]).select("event_id", "part")

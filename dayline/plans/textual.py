@@ -53,9 +53,7 @@ def language_name_lookup(t: Tables) -> DataFrame:
 )
 def text_rollup(t: Tables) -> DataFrame:
     rows = t.conversations.withColumn("text", text.scrub(F.col("text")))
-    joined = aggregates.rolled_text(rows, ["conv_id"], "text", ["turn"])
-    ends = t.conversations.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
-    return joined.join(ends, "conv_id")
+    return aggregates.rolled_text(rows, ["conv_id"], "text", ["turn"], first_turn=F.min("turn"), last_turn=F.max("turn"))
 
 
 def _listed(phrases: list[str]) -> str:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import wave
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,20 +118,35 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
     return zips.contents(found).where("content IS NOT NULL").select("archive", "date", "name", "date_time", "channel", "content")
 
 
-def wav_frames(sounds: DataFrame, frame_ms: int = 20, loud: float = 500.0) -> DataFrame:
-    """20 ms frames of sound files: file, frame_no from 1, is_speech by the frame's loudness; a short last frame is dropped, and one that can't be read is silent."""
-    import numpy as np
+def noise_floor(rms: np.ndarray, around: int = 250) -> np.ndarray:
+    """The noise that each frame stands in, from stretches of `around` frames: the tenth percentile of a stretch's loudness, the middle one of its own, the last and the next stretch's, so that neither a stretch of speech nor a change of the channel's noise misleads it."""
+    n = len(rms)
+    parts = np.array([np.percentile(rms[at : at + around], 10) for at in range(0, n, around)])
+    beside = np.concatenate([parts[:1], parts, parts[-1:]])
+    middle = np.median([beside[:-2], parts, beside[2:]], axis=0)
+    return np.repeat(middle, around)[:n]
+
+
+def wav_frames(sounds: DataFrame, frame_ms: int = 20, above: float = 3.0, least: float = 60.0) -> DataFrame:
+    """20 ms frames of sound files: file, frame_no from 1, is_speech: louder than `above` times the noise floor around it, and than `least`.
+
+    A short last frame is dropped; sound that is not of 16 bits and one channel is silent; a file that can't be read as sound, or is null, has no frames.
+    """
 
     def scan(frames):
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"], strict=True):
-                with wave.open(io.BytesIO(content)) as w:
-                    n, width = int(w.getframerate() * frame_ms / 1000), w.getsampwidth() * w.getnchannels()
-                    raw = w.readframes(w.getnframes())
+                try:
+                    with wave.open(io.BytesIO(content or b"")) as w:
+                        n, width = int(w.getframerate() * frame_ms / 1000), w.getsampwidth() * w.getnchannels()
+                        raw = w.readframes(w.getnframes())
+                except (wave.Error, EOFError):
+                    continue
                 full = len(raw) // (n * width)
                 if width == 2 and full:
                     x = np.frombuffer(raw[: full * n * 2], dtype="<i2").reshape(full, n).astype(float)
-                    voiced = np.sqrt((x**2).mean(axis=1)) > loud
+                    rms = np.sqrt((x**2).mean(axis=1))
+                    voiced = rms > np.maximum(least, above * noise_floor(rms))
                 else:
                     voiced = np.zeros(full, dtype=bool)
                 yield pd.DataFrame({"file": name, "frame_no": np.arange(1, full + 1, dtype="int32"), "is_speech": voiced})

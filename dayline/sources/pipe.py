@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The fields of the two files.
 TRANSCRIPT = ["utteranceTime", "filename", "start", "end", "language", "text", "textOriginalLang"]
 RECORDINGS = ["startTime", "videoId", "duration", "title"]
 

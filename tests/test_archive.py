@@ -126,6 +126,44 @@ def test_track_of_two_element_sets(spark):
     assert [r["tle_line1"] for r in found] == ["a", "b", "d", "d"]
 
 
+def test_noise_floor(spark):
+    """Speech stands out of quiet and of loud noise alike; what can't be read has no frames."""
+    rng = np.random.default_rng(1)
+    quiet, loud = rng.normal(0, 30, 160 * 500), rng.normal(0, 900, 160 * 500)
+    for at in (100, 300):
+        quiet[160 * at : 160 * (at + 20)] += 400 * np.sin(np.arange(160 * 20) / 3)
+        loud[160 * at : 160 * (at + 20)] += 9000 * np.sin(np.arange(160 * 20) / 3)
+
+    def sound(x, width=2):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(width), w.setframerate(8000)
+            w.writeframes(x.clip(-32000, 32000).astype("<i2").tobytes())
+        return out.getvalue()
+
+    rows = [("quiet", sound(quiet)), ("loud", sound(loud)), ("both", sound(np.concatenate([quiet, loud]))), ("no", b"no sound"), ("null", None), ("none", sound(quiet[:100])), ("bytes", sound(quiet, 1))]
+    got = files.wav_frames(spark.createDataFrame(rows, "name string, content binary")).where("is_speech").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["file"], []).append(r["frame_no"])
+    expected = [*range(101, 121), *range(301, 321)]
+    assert sorted(found["quiet"]) == sorted(found["loud"]) == expected
+    assert set(expected) | {n + 500 for n in expected} <= set(found["both"])
+    assert len(found["both"]) < 100
+    assert set(found) == {"quiet", "loud", "both"}
+
+
+def test_transcribe_and_index(spark):
+    """A model is made once in each worker and answers with the fields of its schema; answers that are no JSON are empty."""
+    sounds = spark.createDataFrame([("a", b"xx"), ("b", b""), ("c", None)], "name string, content binary")
+    make = lambda: lambda content: {"size": len(content or b""), "text": "said"}
+    assert sorted(tuple(r) for r in models.transcribe(sounds, make, "size int, text string").collect()) == [("a", 2, "said"), ("b", 0, "said"), ("c", 0, "said")]
+    df = spark.createDataFrame([("x",), ("",), (None,)], "text string")
+    answers = df.select(models.safe_json(models.apply(F.col("text"), models.empty_index), "events array<string>").alias("x"))
+    assert [r["x"]["events"] for r in answers.collect()] == [None] * 3
+    assert df.limit(0).select(models.apply(F.col("text"), models.empty_index)).count() == 0
+
+
 def test_models(spark):
     df = spark.createDataFrame([("One. Two",), (None,)], "text string")
     assert [r[0] for r in df.select(models.apply(F.col("text"), models.first_sentences)).collect()] == ["One", ""]

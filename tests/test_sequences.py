@@ -53,3 +53,14 @@ def test_pivot_and_first(spark):
     assert got == {"a": ("u2", "s1", "u1"), "b": (None, "s2", "s2")}
     people = spark.createDataFrame([("x", None, "", 1), ("x", "d", "f", 2), ("x", "e", "g", 3)], "name string, a string, b string, pos int")
     assert tuple(aggregates.first_given(people, ["name"], ["a", "b"], ["pos"]).first()) == ("x", "d", "f")
+
+
+def test_aggregates_of_nulls_and_ties(spark):
+    rows = [(None, 1, "a", 5), (None, 2, None, 6), ("k", None, "n", 1), ("k", 1, "", 2), ("k", 1, "", 2), ("k", 3, "z", 3)]
+    df = spark.createDataFrame(rows, "k string, pos int, text string, o0 int")
+    got = {r["k"]: r for r in aggregates.rolled_text(df, ["k"], "text", ["pos", "o0"], "+", n=F.count(F.lit(1))).collect()}
+    assert {k: (r["text"], r["n"]) for k, r in got.items()} == {None: ("a", 2), "k": ("n+++z", 4)}
+    chunks = aggregates.roll_up_chunks(df, ["k"], "text", "o0", ["pos", "o0"]).collect()
+    assert {r["k"]: (r["summary"], r["start_time"], r["end_time"]) for r in chunks} == {None: ("a", 5, 6), "k": ("n. . . z", 1, 3)}
+    for f in (lambda d: aggregates.rolled_text(d, ["k"], "text", ["pos"]), lambda d: aggregates.pivot_last(d, ["k"], "text", ["a"], "o0", ["pos"]), lambda d: aggregates.first_given(d, ["k"], ["text"], ["pos"])):
+        assert f(df.limit(0)).count() == 0
