@@ -1,8 +1,9 @@
 """Ranked lexical search by sort-based accumulation: the impacts of matched terms are laid out as arrays of (item, document, impact), their packed keys radix sorted, and equal keys summed.
 
-1. Items are dealt to blocks of a checked size (BLOCK_BYTES of terms); the driver holds one block at a time and
-   sends its terms out. One block is one reading of all texts; a block's matches (numbers of terms and how
-   often they occur) are a written table, from which the corpus statistics are counted.
+1. Items are dealt to blocks of a checked size (BLOCK_BYTES of terms), and blocks to groups (GROUP_BYTES). A group's
+   distinct terms are sent out for one reading of all texts; its matches (numbers of terms and how often
+   they occur) are a written table, from which the corpus statistics are counted. Each of its blocks is one
+   reading of that table. The driver holds one group's distinct terms and one block's items at a time.
 2. Each task takes the documents of its range of that table, some at a time, concatenates the impacts of all
    their matches for all items that have the term, sorts the keys (item, document) digit by digit, and
    sums runs of equal keys. A document's score is complete in its task, so no score is shuffled.
@@ -33,6 +34,8 @@ from .decontam import words_of
 
 #: Terms of items that one broadcast holds at most, in bytes, each counted for every item that has it.
 BLOCK_BYTES = 8 << 20
+#: Terms that one reading of the texts looks for at most, counted in the same way.
+GROUP_BYTES = 64 << 20
 #: Impacts that are sorted at once (more if one document has more).
 IMPACTS = 1 << 21
 #: Documents whose impacts are sorted at once at most; their numbers are the low digit of the keys.
@@ -129,14 +132,21 @@ def item_terms(items: DataFrame) -> DataFrame:
     return stored(terms.join(named, "item").select("item", "item_id", "term", "times"), "item-terms")
 
 
-def blocks_of(terms: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """Terms of items in as many blocks as it takes for none of several items to be over block_bytes."""
+def blocks_of(terms: DataFrame, block_bytes: int, group_bytes: int) -> list[list[DataFrame]]:
+    """Terms of items in as many blocks as it takes for none of several items to be over block_bytes, in groups of at most group_bytes or one block."""
     n_blocks = 1
     while True:
         block = F.pmod(F.xxhash64("item"), F.lit(n_blocks))
         sizes = terms.groupBy(block.alias("block")).agg(F.sum(F.octet_length("term") + 24).cast("long").alias("n"), F.count_distinct("item").alias("items")).collect()
         if max((r["n"] for r in sizes if r["items"] > 1), default=0) <= block_bytes:
-            return [terms.where(block == r["block"]) for r in sizes]
+            groups, held = [], 0
+            for r in sorted(sizes, key=lambda r: r["block"]):
+                if not groups or held + r["n"] > group_bytes:
+                    groups.append([])
+                    held = 0
+                groups[-1].append(terms.where(block == r["block"]))
+                held += r["n"]
+            return groups
         n_blocks = max(n_blocks + 1, -(-5 * sum(r["n"] for r in sizes) // (4 * block_bytes))) if n_blocks == 1 else 2 * n_blocks
 
 
@@ -197,31 +207,32 @@ def _ranked(sent, k: int):
     return run
 
 
-def search(documents: DataFrame, items: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(documents: DataFrame, items: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """item_id, rank (from 1), doc_id and score of the k best documents (doc_id, text) of each item (item_id, text) that score above 0."""
     context = documents.sparkSession.sparkContext
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = item_terms(items)
     found = []
-    for block in blocks_of(every, block_bytes):
-        held = block.select("item", "term", "times").orderBy("item", "term").toPandas()  # block_bytes at most
-        if held.empty:
-            continue
-        words = sorted(held["term"].unique())
+    for group in blocks_of(every, block_bytes, group_bytes):
+        known = group[0]
+        for block in group[1:]:
+            known = known.unionByName(block)
+        words = sorted(r["term"] for r in known.select("term").distinct().collect())  # group_bytes at most
+        number = {w: i for i, w in enumerate(words)}
         sent = context.broadcast([w.encode() for w in words])
         matches = stored(rows.mapInArrow(_matches(sent), "doc_id long, n long, terms array<int>, often array<int>"), "matches")
         sent.unpersist()
         n_docs, n_words = matches.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-        counted = matches.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # the block's terms
+        counted = matches.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # the group's terms
         weights = np.zeros(len(words), dtype=np.int64)
         for r in counted:
             weights[r["term"]] = weight(n_docs, r["df"])
-        if counted:
-            number = {w: i for i, w in enumerate(words)}
+        for block in group if counted else []:
+            held = block.select("item", "term", "times").orderBy("item", "term").toPandas()  # block_bytes at most
             numbers, item = np.unique(held["item"].to_numpy(), return_inverse=True)
-            index = held["term"].map(number).to_numpy(), item, held["times"].to_numpy(), weights, n_docs, n_words, numbers.tolist()
-            best = matches.mapInArrow(_ranked(context.broadcast(index), k), "item long, doc_id long, score long")
-            found.append(stored(best, "best"))
+            index = context.broadcast((held["term"].map(number).to_numpy(), item, held["times"].to_numpy(), weights, n_docs, n_words, numbers.tolist()))
+            found.append(stored(matches.mapInArrow(_ranked(index, k), "item long, doc_id long, score long"), "best"))
+            index.unpersist()
         drop_stored(matches)
     if not found:
         return every.select("item_id", F.lit(1).alias("rank"), F.col("item").alias("doc_id"), F.col("item").alias("score")).limit(0)

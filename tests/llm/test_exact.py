@@ -115,12 +115,12 @@ def ranked(rows, items, k):
 ITEMS = [(1, None), (2, ""), (3, "aaa nowhere-at-all"), (4, "Ünïcödé Çafé"), (6, "Same SAME same"), (7, "id id at"), (None, "one no id"), (8, "tail0 tail1 tail2")]
 
 
-@pytest.mark.parametrize("block_bytes", [lexical.BLOCK_BYTES, 200])
-def test_search(spark, documents, corpus, block_bytes):
-    """One block and many give what a plain count gives, with an item of several rows, ties and repeated rows."""
+@pytest.mark.parametrize(("block_bytes", "group_bytes"), [(lexical.BLOCK_BYTES, lexical.GROUP_BYTES), (200, 600), (600, 10_000)])
+def test_search(spark, documents, corpus, block_bytes, group_bytes):
+    """One block and many, in one group and several, give what a plain count gives, with an item of several rows, ties and repeated rows."""
     items = [*ITEMS, (5, " ".join(corpus[9][1].split()[:40])), (5, corpus[10][1]), (5, corpus[10][1]), (9, corpus[60][1])]
     df = spark.createDataFrame(items, "item_id long, text string").withColumns({"item": F.lit(1), "term": F.lit("x")}).repartition(2)
-    got = lexical.search(documents.withColumn("n", F.lit(1)), df, k=10, block_bytes=block_bytes)
+    got = lexical.search(documents.withColumn("n", F.lit(1)), df, k=10, block_bytes=block_bytes, group_bytes=group_bytes)
     expected = ranked(corpus, items, 10)
     assert len(expected) >= 30
     assert Counter((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in got.collect()) == expected
