@@ -27,15 +27,23 @@ WALKS_PAGE = """<table class="wikitable"><tr><th>#</th></tr>
 <tr><td colspan="6">Planned</td></tr></table>"""
 
 
-@query("article_text", None)
+@query(
+    "article_text",
+    r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS x FROM pages),
+    b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(x, '<(?:p|h2|h3|li)(?:\s[^>]*)?>', chr(1), 'g'), '</(?:p|h2|h3|li)>', chr(2), 'g'), chr(1))[2:] AS l FROM a),
+    c AS (SELECT page_id, list_transform(l, lambda t: regexp_replace(replace(replace(replace(replace(regexp_replace(split_part(t, chr(2), 1), '(?s)<[^>]*>', '', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '^\s+|\s+$', '', 'g')) AS l FROM b)
+    SELECT page_id, array_to_string(list_filter(l, lambda t: t <> ''), chr(10)) AS content FROM c WHERE len(list_filter(l, lambda t: t <> '')) > 0""",
+)
 def article_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tables.article_text(F.col("html")).alias("content")).where("content <> ''")
 
 
-@query("page_tables", None)
+@query("page_tables", "SELECT page_id, 0 AS table_no, unnest(range(1, 1 + page_id % 4))::INT AS row_no, 2 AS n_cells FROM pages")
 def page_tables(t: Tables) -> DataFrame:
-    """Rows of the tables of all pages."""
-    return tables.scan_tables(t.pages.select("page_id", "html")).select("page_id", "table_no", "row_no", F.size("cells").alias("n_cells"))
+    """Rows of the tables of all pages, each of which gets a table behind its own text, and one of another class that does not count."""
+    rows = F.repeat(F.lit("<tr><td>a <b>b</b></td><td>c"), (F.col("page_id") % 4).cast("int"))
+    html = F.concat("html", F.lit('<table class="plain"><tr><th>x</th></tr><tr><td>y</td></tr></table><table class="sortable wikitable"><tr><th>h</th></tr>'), rows, F.lit("</table>"))
+    return tables.scan_tables(t.pages.select("page_id", html.alias("html"))).select("page_id", "table_no", "row_no", F.size("cells").alias("n_cells"))
 
 
 def _crew_pages(t: Tables) -> DataFrame:
