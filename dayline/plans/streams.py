@@ -49,8 +49,8 @@ def ingested_files(t: Tables) -> DataFrame:
     lists = F.array_sort(F.collect_list(F.struct("turn", "segments", "filename", "descriptor", "utteranceTime")))
     docs = rows.groupBy("conv_id").agg(F.to_json(lists).alias("value"))
     cut = F.when(F.col("conv_id") % 5 == 0, F.substr("value", F.lit(1), F.length("value") - 9)).otherwise(F.col("value"))
-    docs.select("conv_id", cut.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(f"{path}/in")
-    ingest.ingest(t.spark, f"{path}/in", f"{path}/out", f"{path}/state", files_per_batch=40)
+    files.write_each(docs.select("conv_id", cut.alias("value")), f"{path}/in", "conv_id")
+    ingest.ingest(t.spark, f"{path}/in", f"{path}/out", f"{path}/state", bytes_per_batch=64 << 20)
     told = ingest.status(t.spark, f"{path}/in", f"{path}/out")
     given = ingest.ingested(t.spark, f"{path}/out").groupBy(F.regexp_extract("filename", "c([0-9]+)[.]", 1).cast("long").alias("conv_id")).agg(F.count_if(F.length("text") > 0).alias("n"))
     of = F.regexp_extract("file", "conv_id=([0-9]+)/", 1).cast("long")

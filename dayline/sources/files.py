@@ -6,10 +6,12 @@ import io
 import tempfile
 import uuid
 import wave
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,6 +37,23 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def many_folders(spark: SparkSession):
+    """Inside, folders are listed by few tasks. Spark lists each of up to 10,000 folders by a task of its own, of which every one unpacks the file system's settings."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def few_tasks(rows: DataFrame) -> DataFrame:
+    """rows of very many small files, read by 16 tasks a core. Spark counts 4 MB for opening a file, so 32 files are a task; this puts such tasks together and cuts none."""
+    return rows.coalesce(16 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files of one object or an array each, with the name of their file."""
     rows = spark.read.option("multiLine", True).schema(schema).json(path)
@@ -53,6 +72,37 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Characters that a folder of a partition shows as % and two hexadecimal digits, % first.
+_ESCAPED = ["%", *map(chr, range(1, 32)), *"\"#'*/:=?\\{[]^\x7f"]
+
+
+def partition_folder(key: str) -> Column:
+    """The name of the folder that Spark reads as a partition of the value of the column key."""
+    shown = F.col(key).cast("string")
+    escaped = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(f"%{ord(c):02X}")), _ESCAPED, shown)
+    safe = F.when(shown.rlike(r"^[\w .,+-]*$"), shown).otherwise(escaped)
+    return F.concat(F.lit(f"{key}="), F.coalesce(F.nullif(safe, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
+def write_each(docs: DataFrame, path: str, key: str) -> None:
+    """The text in value as one file below the folder of its key, for each row; no two rows may share a key. What was there goes.
+
+    Files by the million: tasks write and move them (sources.documents), since Spark's own writer takes some
+    milliseconds for each on the executor, and its commit some more on the driver.
+    """
+    from .documents import DocumentSource
+
+    spark = docs.sparkSession
+    spark.dataSource.register(DocumentSource)
+    delete(spark, path)
+    docs.select(partition_folder(key).alias("folder"), F.lit("part-00000.txt").alias("name"), "value").write.format("day_documents").mode("append").option("path", path).save()
+
+
 def write_array(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
     """One JSON array for each key, in order, below folders of the key."""
     names = [c for c in rows.columns if c != key]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..plans.dayview import transcript_rows
-from ..sources.files import exists
+from ..sources.files import exists, few_tasks, many_folders
 
 #: State of a file after a batch's first and second step.
 STATUS = "file string, state string, n_rows long, reason string, batch long, step int"
@@ -30,16 +30,19 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def ingest(spark: SparkSession, inbox: str, out: str, checkpoint: str, *, files_per_batch: int = 1000, between: Callable[[int], None] = lambda batch: None):
+def ingest(spark: SparkSession, inbox: str, out: str, checkpoint: str, *, files_per_batch: int = 1000, bytes_per_batch: int | None = None, between: Callable[[int], None] = lambda batch: None):
     """Takes all files of the inbox that wait (JSON, one document or an array each, below any folders), and returns the finished query.
 
-    out/rows has the transcript rows, out/status the states; `between` is called with the batch's number between the two, for tests.
+    A batch takes files_per_batch files or, where bytes_per_batch is given, files of that many bytes: each batch costs
+    seconds, so an inbox of very many small files needs the latter. out/rows has the transcript rows, out/status the states; `between` is called with the batch's number between the two, for tests.
     """
-    raw = spark.readStream.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).json(inbox)
+    most = ("maxFilesPerTrigger", files_per_batch) if bytes_per_batch is None else ("maxBytesPerTrigger", bytes_per_batch)
+    with many_folders(spark):
+        raw = spark.readStream.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).option(*most).json(inbox)
     raw = raw.select("*", F.col("_metadata.file_path").alias("file"))
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.persist()  # read twice; if lost it is read again
+        rows = few_tasks(rows).persist()  # read twice; if lost it is read again
         bad = F.col("_corrupt_record").isNotNull() | (F.col("utteranceTime").isNull() & F.col("segments").isNull())
         files = rows.groupBy("file").agg(F.max(bad).alias("bad"), F.max(F.substring("_corrupt_record", 1, 80)).alias("text"))
         state = lambda what, n, why, step: [F.lit(what).alias("state") if isinstance(what, str) else what.alias("state"), n.alias("n_rows"), why.alias("reason"), F.lit(number).cast("long").alias("batch"), F.lit(step).alias("step")]
@@ -56,14 +59,16 @@ def ingest(spark: SparkSession, inbox: str, out: str, checkpoint: str, *, files_
         _write(ended.select("file", *state(what, F.coalesce("n", F.lit(0)), why, 2)), f"{out}/status/batch={number}/step=2")
         rows.unpersist()
 
-    query = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with many_folders(spark):
+        query = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
     return query
 
 
 def status(spark: SparkSession, inbox: str, out: str) -> DataFrame:
     """Each file of the inbox, or that was in it, with its last state; waiting if no batch has taken it."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inbox).select(F.col("path").alias("file")) if exists(spark, inbox) else spark.createDataFrame([], "file string")
+    with many_folders(spark):
+        there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inbox).select(F.col("path").alias("file")) if exists(spark, inbox) else spark.createDataFrame([], "file string")
     if exists(spark, f"{out}/status"):
         told = spark.read.schema(STATUS).parquet(f"{out}/status")
         last = told.groupBy("file").agg(F.max_by(F.struct("state", "n_rows", "reason", "batch"), F.struct("batch", "step")).alias("x")).select("file", "x.*")

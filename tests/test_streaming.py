@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayline.operators import sequences
+from dayline.sources import files
 from dayline.streaming import ingest, playback, voiced
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -160,3 +161,18 @@ def test_playback_of_a_stream_and_of_a_table(spark, tmp_path):
         assert Counter((r["id"], r["said"] and r["said"]["n"], r["elements"] and r["elements"]["line"]) for r in df.collect()) == expected
     shown = spark.createDataFrame([("00:00:05.250",), ("25:00:00",), (None,)], "clock string")
     assert [str(r["at"]) for r in playback.on_day(shown, "2024-01-01").collect()] == ["2024-01-01 00:00:05.250000", "2024-01-02 01:00:00", "None"]
+
+
+def test_ingest_batches_by_bytes(spark, tmp_path):
+    """Batches follow the bytes of an inbox and not its number of files: 60 small files, one to a folder, are two batches or one, and all are taken."""
+    texts = [json.dumps([document(f"{i}.json", f"word {i}")]) for i in range(60)]
+    size = sum(map(len, texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, value string")
+    files.write_each(docs, str(tmp_path / "in"), "k")
+    for n, part in ((size * 2 // 3, 2), (size * 2, 1)):
+        out = str(tmp_path / f"out{part}")
+        ingest.ingest(spark, str(tmp_path / "in"), out, str(tmp_path / f"state{part}"), bytes_per_batch=n)
+        told = ingest.status(spark, str(tmp_path / "in"), out).collect()
+        assert Counter(r["state"] for r in told) == {"done": 60}
+        assert len({r["batch"] for r in told}) == part
+        assert sorted(r["text"] for r in ingest.ingested(spark, out).collect()) == sorted(f"word {i}" for i in range(60))
