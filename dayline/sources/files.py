@@ -56,8 +56,9 @@ def few_tasks(rows: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files of one object or an array each, with the name of their file."""
-    rows = spark.read.option("multiLine", True).schema(schema).json(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("_file"))
+    with many_folders(spark):
+        rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    return few_tasks(rows.select("*", F.col("_metadata.file_name").alias("_file")))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -108,7 +109,7 @@ def write_array(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
     names = [c for c in rows.columns if c != key]
     lists = F.sort_array(F.collect_list(F.struct(*order, F.struct(*names).alias("_row"))))
     docs = rows.groupBy(key).agg(F.to_json(F.transform(lists, lambda x: x["_row"]), {"ignoreNullFields": "false"}).alias("value"))
-    docs.write.mode("overwrite").partitionBy(key).text(path)
+    write_each(docs, path, key)
 
 
 def write_days(rows: DataFrame, path: str, fmt: str = "json") -> None:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayline.operators import scans, sequences
-from dayline.sources import documents, zips
+from dayline.sources import documents, files, zips
 
 
 def plain_names(asked, taken=()):
@@ -119,3 +119,21 @@ def test_members_spread_over_tasks(spark, tmp_path):
     assert len(tasks) == 8
     assert max(tasks.values()) < 250
     assert zips.contents(found.limit(0)).count() == 0
+
+
+def test_arrays_of_many_keys(spark, tmp_path):
+    """Files are moved by tasks below the folders that Spark takes for partitions, whatever is in a key, and what was there goes; their folders are listed, and the files read, by few tasks."""
+    path = str(tmp_path / "arrays")
+    keys = ["a", "b c", "2024-01-01", "x/y=z", "50%", "q:*?[]{}^'\"#\\", None, "ä"]
+    rows = spark.createDataFrame([(k, n) for k in keys for n in (2, 1)], "k string, n long")
+    files.write_array(rows.withColumn("k", F.lit("old")), path, "k", ["n"])
+    files.write_array(rows, path, "k", ["n"])
+    got = files.read_documents(spark, path, "n long, k string").select("k", "n").collect()
+    assert Counter(map(tuple, got)) == Counter((k, n) for k in keys for n in (2, 1))
+    assert len([p for p in Path(path).rglob("*") if p.is_file()]) == len(keys)
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with files.many_folders(spark):
+        assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before
+    assert files.few_tasks(spark.range(0, 1000, 1, 1000)).rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism
