@@ -176,3 +176,20 @@ def test_ingest_batches_by_bytes(spark, tmp_path):
         assert Counter(r["state"] for r in told) == {"done": 60}
         assert len({r["batch"] for r in told}) == part
         assert sorted(r["text"] for r in ingest.ingested(spark, out).collect()) == sorted(f"word {i}" for i in range(60))
+
+
+def test_dense_hours_are_cut(spark):
+    """However many items an hour has, a row that a moment meets has few; items of one moment are one."""
+    items = spark.range(4000).selectExpr("timestamp_micros(1699999200000000 + id * 1800000) AS t", "id AS n")
+    items = items.unionByName(items.selectExpr("t", "n + 10000 AS n"))
+    hours = playback.hours_between(spark, "2023-11-14 21:00:00", "2023-11-15 02:00:00")
+    plan, rows = playback.by_slot(items.where("n < 10000"), "t", hours)
+    assert rows.selectExpr("max(size(items))").first()[0] <= 2 * playback.EACH
+    assert plan.count() == 6
+    ticks = spark.range(300).selectExpr("id", "timestamp_micros(1699999200000000 + id * 25000003) AS at")
+    got = playback.playing(ticks, hours, latest_of={"last": (items, "t")}, nearest_to={"near": (items, "t")}).collect()
+    assert len(got) == 300
+    for r in got:
+        at = r["id"] * 25_000_003
+        assert r["last"]["n"] == 10_000 + min(3999, at // 1_800_000)
+        assert r["near"]["n"] == min(range(4000), key=lambda n: abs(n * 1_800_000 - at))
