@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import times
 from .scans import unused
 
 CELL = "struct<text: string, html: string, links: array<struct<name: string, flag: string>>, small: string, bgcolor: string, flagged: boolean>"
-ROWS = f"array<struct<table_no: int, row_no: int, cells: array<{CELL}>>>"
 
 
 class _Tables(HTMLParser):
@@ -83,28 +86,49 @@ class _Tables(HTMLParser):
                 self.link["name"] += data
 
 
-def table_rows(html: Column, wanted: str | None = "wikitable") -> Column:
-    """Rows with cells of each page's tables of a class, numbered in page order."""
+#: Characters of pages whose rows or texts a task gives out at once.
+GIVEN = 1 << 20
 
-    @pandas_udf(ROWS)
-    def scan(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
-            p = _Tables(wanted)
-            p.feed(page or "")
-            for row in p.rows:
-                for c in row["cells"]:
-                    c["text"] = c["text"].strip()
-            out.append([r for r in p.rows if r["cells"]])
-        return pd.Series(out)
 
-    return scan(html)
+def page_rows(page: str | None, wanted: str | None = "wikitable") -> list[dict]:
+    """Rows with cells of a page's tables of a class, numbered in page order."""
+    p = _Tables(wanted)
+    p.feed(page or "")
+    for row in p.rows:
+        for c in row["cells"]:
+            c["text"] = c["text"].strip()
+    return [r for r in p.rows if r["cells"]]
 
 
 def scan_tables(pages: DataFrame, html: str = "html", *, drop_last: bool = False) -> DataFrame:
-    """One row for each table row below the first of its table: page columns but html, table_no, row_no, cells."""
+    """One row for each table row below the first of its table: page columns but html, table_no, row_no, cells.
+
+    A task holds the rows of one page, and of others up to GIVEN characters, however many pages a batch of Spark's has.
+    """
     rest = [c for c in pages.columns if c != html]
-    rows = pages.select(*rest, F.explode(table_rows(F.col(html))).alias("r")).select(*rest, "r.*").where("row_no > 0")
+    schema = StructType([*pages.select(*rest).schema.fields, *StructType.fromDDL(f"table_no int, row_no int, cells array<{CELL}>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {f.name: f.type for f in to_arrow_schema(StructType(schema.fields[len(rest) :]))}
+
+        def given() -> pa.RecordBatch:
+            own = [held.column(n + 1).take(pa.array(of, pa.int64())) for n in range(len(rest))]
+            return pa.RecordBatch.from_arrays([*own, *[pa.array([r[c] for r in rows], t) for c, t in kinds.items()]], names=[*rest, *kinds])
+
+        for held in batches:
+            rows, of, size = [], [], 0
+            for n, page in enumerate(held.column(0)):
+                text = page.as_py() or ""
+                found = [r for r in page_rows(text) if r["row_no"] > 0]
+                rows += found
+                of += [n] * len(found)
+                size += len(text)
+                if size >= GIVEN:
+                    yield given()
+                    rows, of, size = [], [], 0
+            yield given()
+
+    rows = pages.select(F.col(html).cast("string"), *rest).mapInArrow(run, schema)
     if drop_last:
         last = F.max("table_no").over(Window.partitionBy(*rest))
         (end,) = unused(rows, "end")

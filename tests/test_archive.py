@@ -223,3 +223,23 @@ def test_streams(spark, tmp_path, utterances):
     q.awaitTermination()
     assert sorted(r["n_speech"] for r in spark.table("voiced").collect()) == [1, 2]
     assert sessions.clock(spark, "00:00:00", 0).isStreaming
+
+
+def test_scan_in_small_parts(spark):
+    """However many pages a batch has, a task gives out rows whenever it has read some characters, and they are those of each page by itself."""
+    body = "".join(f"<tr><td>{i}</td><td>{'x' * 2000}</td></tr>" for i in range(20))
+    pages = spark.range(0, 200, 1, 1).selectExpr("id AS page", "'2024-01-01' AS day", "timestamp_seconds(id) AS at", f"""concat('<table class="wikitable"><tr><th>', id, '</th></tr>', IF(id % 3 = 0, '', '{body}'), '</table>') AS html""")
+    rows = tables.scan_tables(pages).selectExpr("page", "day", "at", "row_no", "size(cells) AS n").collect()
+    assert len(rows) == 133 * 20
+    assert {(r["page"], r["n"], r["day"], r["at"].timestamp() == r["page"]) for r in rows} == {(i, 2, "2024-01-01", True) for i in range(200) if i % 3}
+    sizes = tables.scan_tables(pages).mapInArrow(lambda batches: (b.select(["row_no"]) for b in batches), "row_no int").count()
+    assert sizes == len(rows)
+    assert tables.GIVEN <= 1 << 20
+    assert tables.page_rows(None) == []
+
+
+def test_article_in_small_parts(spark):
+    pages = spark.range(0, 3000, 1, 1).selectExpr("id", "concat('<article><p>', repeat('y', 1000), id, '</p></article>') AS html")
+    got = pages.select("id", tables.article_text(F.col("html")).alias("t")).collect()
+    assert all(r["t"] == "y" * 1000 + str(r["id"]) for r in got)
+    assert len(got) == 3000
