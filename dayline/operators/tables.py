@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -266,13 +264,19 @@ class _Article(HTMLParser):
 def article_text(html: Column) -> Column:
     """Lines of the first article; '' without one."""
 
-    @pandas_udf("string")
-    def read(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
-            p = _Article()
-            p.feed(page or "")
-            out.append("\n".join(x.strip() for x in p.parts if x.strip()))
-        return pd.Series(out)
+    @F.arrow_udf("string")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            done, out, size = [pa.array([], pa.string())], [], 0
+            for page in pages:
+                text = page.as_py() or ""
+                p = _Article()
+                p.feed(text)
+                out.append("\n".join(x.strip() for x in p.parts if x.strip()))
+                size += len(text)
+                if size >= GIVEN:
+                    done.append(pa.array(out, pa.string()))
+                    out, size = [], 0
+            yield pa.concat_arrays([*done, pa.array(out, pa.string())])
 
     return read(html)
