@@ -194,10 +194,10 @@ def utterance_documents(t: Tables) -> DataFrame:
 
 @query("archive_members", "SELECT 'd' || doc_id || '.txt' AS name, sha256(text) AS text_sha256, strlen(text) AS size FROM documents")
 def archive_members(t: Tables) -> DataFrame:
-    """Documents as members of two zip archives, read back one by one from the archives' directories."""
+    """Documents as members of zip archives, two at least and of some 64 MB of text each, read back one by one from the archives' directories."""
     path = files.scratch(t.spark, "archives")
     named = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
-    files.stored(zips.write_archives(named.repartition(2, "name"), path, "name", "text"), "written")
+    files.stored(zips.write_archives(zips.dealt(named, "name", "text"), path, "name", "text"), "written")
     found = zips.contents(zips.index(t.spark, path))
     return found.select("name", F.sha2("content", 256).alias("text_sha256"), "size")
 

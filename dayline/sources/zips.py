@@ -108,6 +108,12 @@ def contents(found: DataFrame, parts: int | None = None) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def dealt(rows: DataFrame, name: str, content: str, *, least: int = 2, archive_bytes: int = 64 << 20) -> DataFrame:
+    """rows in partitions for archives of some archive_bytes of content each, so that their number, and no archive, grows with the rows."""
+    n_bytes = rows.agg(F.sum(F.octet_length(content).cast("long"))).first()[0] or 0
+    return rows.repartition(max(least, -(-n_bytes // archive_bytes)), name)
+
+
 def write_archives(rows: DataFrame, folder: str, name: str, content: str) -> DataFrame:
     """One archive for each partition of rows, its members in the order of the partition, written as they stream past: path and n_members. A task that is run again writes its archive anew."""
 

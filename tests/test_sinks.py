@@ -137,3 +137,11 @@ def test_arrays_of_many_keys(spark, tmp_path):
         assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(name) == before
     assert files.few_tasks(spark.range(0, 1000, 1, 1000)).rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism
+
+
+def test_archives_grow_in_number(spark):
+    """Archives are two, or as many as their bytes need."""
+    rows = spark.range(1000).selectExpr("concat('d', id) AS name", "repeat('x', 100) AS text")
+    assert zips.dealt(rows, "name", "text").rdd.getNumPartitions() == 2
+    assert zips.dealt(rows.limit(0), "name", "text").rdd.getNumPartitions() == 2
+    assert zips.dealt(rows, "name", "text", archive_bytes=10_000).rdd.getNumPartitions() == 10
