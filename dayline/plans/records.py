@@ -188,7 +188,7 @@ def utterance_documents(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", "role", "text", F.concat("role", F.lit(".json")).alias("file"), day.alias("day"), F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).cast("timestamp").alias("at"))
     for part in (0, 1):
         documents.write_documents(rows.where(F.col("turn") % 2 == part), path, name="file", at="at", order=["conv_id", "turn"])
-    back = t.spark.read.schema("conv_id long, turn long, role string, text string, day long").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    back = files.few_tasks(t.spark.read.schema("conv_id long, turn long, role string, text string, day long").option("multiLine", True).option("recursiveFileLookup", True).json(path))
     return back.select("conv_id", "turn", "role", "text", "day")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import Row, StructType
 
 from ..operators import sequences
-from .files import exists
+from .files import exists, few_tasks
 
 FIELDS = "folder string, name string, value string"
 
@@ -126,7 +126,7 @@ def documents_in(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "folder string, name string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path")
     place = r"/([0-9]{4}/[0-9]{2}/[0-9]{2})/([^/]+)$"
-    return files.where(F.col("path").rlike(place)).select(F.regexp_extract("path", place, 1).alias("folder"), F.regexp_extract("path", place, 2).alias("name"))
+    return few_tasks(files).where(F.col("path").rlike(place)).select(F.regexp_extract("path", place, 1).alias("folder"), F.regexp_extract("path", place, 2).alias("name"))
 
 
 def write_documents(rows: DataFrame, path: str, *, name: str, at: str, order: list[str]) -> None:
