@@ -15,8 +15,9 @@ Defined cases: a null text has no words; a text without words has fingerprint ze
 other; a null doc_id is kept and never names a component unless all its members are null; repeated
 rows come back as often as they occur; an empty table gives no rows; other columns are not used.
 
-near_copies() and keep_one() do not use fingerprints: they link texts by the similarity of shingle
-sets, and take their candidates from bands of minima of the shingles' hashes.
+near_copies() and keep_one() take the links of fingerprints as candidates, and check each by the
+similarity of shingle sets. A pair can reach the similarity with fingerprints further apart; those are
+met in bands of minima of the shingles' hashes, and checked likewise.
 """
 
 from __future__ import annotations
@@ -293,11 +294,12 @@ def _across(similarity: float):
     return links
 
 
-def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0.8, max_bits: int = 4) -> tuple[DataFrame, DataFrame]:
     """Near copies of any size of text: (documents' doc_id and c, the hash of their words; c and root of each distinct text).
 
     Two texts are linked if the similarity of their shingle sets is reached, and only then. Candidates
-    are texts that share the minima of their shingles under the hash functions of a band; of a pair that
+    are texts whose fingerprints are linked in the index (links()), and, for pairs with more than max_bits
+    differing bits, texts that share the minima of their shingles under the hash functions of a band; of a pair that
     reaches the similarity, at most one in 1 / MISSED meets in none. Each list of candidates proposes
     links to its first text. Where the verified ones leave a list in several components, the texts
     outside its largest are held against all others of the list: pair by pair up to LIGHT texts,
@@ -305,25 +307,32 @@ def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0
     """
     n_bands = _bands(similarity)
 
-    @F.arrow_udf("struct<c: long, keys: array<long>>")
+    @F.arrow_udf("struct<c: long, fp: long, keys: array<long>>")
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Words()
         for texts in batches:
-            contents, keys = [], []
+            contents, fps, keys = [], [], []
             for t in texts:
                 content, words = _content(t.as_py())
                 known = _Words() if len(known) > 150_000 else known
                 contents.append(content)
+                fps.append(fingerprint(t.as_py(), n_words))
                 keys.append(band_keys(shingle_set(words, n_words, known), n_bands))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, dtype=np.int64)])))
-            yield pa.StructArray.from_arrays([pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), lists], names=["c", "keys"])
+            yield pa.StructArray.from_arrays([*[pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (contents, fps)], lists], names=["c", "fp", "keys"])
         known = texts = lists = None
         release()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), look(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
     docs = stored(docs, "looks")
-    nodes = stored(docs.groupBy("c").agg(F.min("keys").alias("keys"), F.min("doc_id").alias("first_id")), "texts")  # equal texts have equal keys
+    nodes = stored(docs.groupBy("c").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("doc_id").alias("first_id")), "texts")  # equal texts have equal fingerprints and keys
+
+    # fingerprints stand for their first text: their other texts, and the texts of linked fingerprints, are candidates
+    of_fp = stored(nodes.groupBy("fp").agg(F.min("c").alias("of")), "fingerprints")
+    near = links(of_fp.select("fp"), max_bits).join(of_fp.select(F.col("fp").alias("a"), F.col("of").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("of").alias("y")), "b")
+    alike = nodes.join(of_fp, "fp").where("c <> of").select(F.col("c").alias("x"), F.col("of").alias("y"))
+    proposed = stored(near.select("x", "y").unionByName(alike).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct(), "proposed")
 
     postings = nodes.select("c", F.explode("keys").alias("key"))
     lists = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).where("n > 1"), "lists")
@@ -343,7 +352,7 @@ def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0
         known = texts = sets = None
         release()
 
-    wanted = postings.select("c").distinct()
+    wanted = postings.select("c").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("c"))).distinct()
     first = nodes.join(wanted, "c", "left_semi").select("first_id").distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(first, F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
@@ -353,7 +362,8 @@ def near_copies(documents: DataFrame, *, n_words: int = 5, similarity: float = 0
         pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
         return pairs.where(_alike(similarity)(F.col("sa"), F.col("sb"))).select("a", "b")
 
-    roots = components(verified(postings.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct()))
+    first = postings.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b"))
+    roots = components(verified(first.unionByName(proposed).distinct()))
 
     members = postings.where("n > 2").select("key", "c").join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
     members = stored(members, "members")

@@ -338,3 +338,17 @@ def test_empty(spark, empty):
     assert simhash.keep_one(empty).count() == 0
     assert substring.dedup(empty).count() == 0
     assert decontam.scan(empty, bench).count() == 0
+
+
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """Fingerprints propose links, also where no band does, and shingle sets decide on them."""
+    rng = random.Random(31)
+    rows = [(i, fresh(rng, 400)) for i in range(30)]
+    rows += [(100 + i, f"{t} {fresh(rng, 1)}") for i, (_, t) in enumerate(rows)]
+    near = {100 + i for i in range(30) if (simhash.fingerprint(rows[i][1], 5) ^ simhash.fingerprint(rows[30 + i][1], 5)).bit_count() <= 4}
+    assert len(near) >= 20
+    df = spark.createDataFrame([*rows, (500, rows[0][1].upper())], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "band_keys", lambda shingles, n_bands: np.empty(0, dtype=np.int64))
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {d for d, _ in rows} - near
+    monkeypatch.setattr(simhash, "similar", lambda x, y, similarity: False)
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {d for d, _ in rows}
