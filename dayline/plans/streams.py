@@ -22,17 +22,17 @@ def use_rocksdb(t: Tables) -> None:
 
 @query("streamed_sessions", VOICED_SQL)
 def streamed_sessions(t: Tables) -> DataFrame:
-    """The frames of voiced_frames as a stream in disorder, in two files that each hold some of every file's frames and end marks; sessions are closed by the marks."""
+    """The frames of voiced_frames as a stream in disorder, in two runs that each take some of every file's frames and end marks; sessions are closed by the marks."""
     use_rocksdb(t)
     path = files.scratch(t.spark, "frames")
     rows = voiced_rows(t).select("file", "frame_no", "is_speech")
     ends = rows.groupBy("file").agg(F.max("frame_no").alias("frame_no")).withColumn("is_speech", F.lit(None).cast("boolean"))
     rows = rows.unionByName(ends).withColumn("ts", F.timestamp_millis(F.col("frame_no").cast("long") * 20))
     half = F.pmod(F.xxhash64("file", "frame_no", "is_speech"), F.lit(2))
-    for n in (0, 1):
-        rows.where(half == n).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    _run(voiced.voiced_sessions(stream, late="1 day", idle_ms=86_400_000), path)
+    for n in (0, 1):  # the second run goes on with the first one's state
+        rows.where(half == n).write.mode("append").parquet(f"{path}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        _run(voiced.voiced_sessions(stream, late="1 day", idle_ms=86_400_000), path)
     return t.spark.read.schema(voiced.SESSION).parquet(f"{path}/out")
 
 

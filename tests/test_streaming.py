@@ -193,3 +193,19 @@ def test_dense_hours_are_cut(spark):
         at = r["id"] * 25_000_003
         assert r["last"]["n"] == 10_000 + min(3999, at // 1_800_000)
         assert r["near"]["n"] == min(range(4000), key=lambda n: abs(n * 1_800_000 - at))
+
+
+def test_streamed_sessions_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """No task writes half of the frames."""
+    from dayline.plans import streams
+    from dayline.plans.registry import Tables
+
+    monkeypatch.setattr(streams.files, "scratch", lambda spark, name: str(tmp_path / name))
+    spark.range(2000).selectExpr("id AS event_id", "id % 40 AS user_id", "IF(id % 3 = 0, 'view', 'click') AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert streams.streamed_sessions(Tables(spark, str(tmp_path))).count() >= 40
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert len(list((tmp_path / "frames" / "in").glob("*.parquet"))) > 2
