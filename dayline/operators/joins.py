@@ -49,10 +49,18 @@ class _Tree:
         at = self.at - F.lit(self.low)
         return F.array(*[F.shiftleft(F.shiftright(at, BITS * n), 6) + n for n in range(self.levels)])
 
-    def of_intervals(self, start: str, end: str) -> Column:
-        """The nodes that an interval is made of; none if no point's unit can be in it. A null start is the beginning of time, a null end never covers."""
+    def span(self, start: str, end: str) -> tuple[Column, Column]:
+        """The tree's units that an interval covers, counted from the first point: the first one and the one behind the last. A null start is the beginning of time."""
         first = F.greatest(F.coalesce(self._unit(start, up=True), F.lit(self.low)), F.lit(self.low)) - self.low
-        last = F.least(self._unit(end), F.lit(self.high)) - self.low + 1
+        return first, F.least(self._unit(end), F.lit(self.high)) - self.low + 1
+
+    def of_intervals(self, start: str, end: str) -> Column:
+        """The nodes that an interval is made of; none if no point's unit can be in it. A null end never covers."""
+        first, last = self.span(start, end)
+        return F.when(F.col(end).isNotNull() & (first < last), self.of_span(first, last))
+
+    def of_span(self, first: Column, last: Column) -> Column:
+        """The nodes that the units from first to before last are made of."""
         up = lambda n: F.shiftright(first + (1 << BITS * n) - 1, BITS * n)
         down = lambda n: F.shiftright(last, BITS * n)
 
@@ -65,7 +73,7 @@ class _Tree:
             inner = up(n + 1) < down(n + 1)  # what the level above takes
             left = F.when(inner, F.shiftleft(up(n + 1), BITS)).otherwise(down(n))
             parts.append(F.when(up(n) < down(n), F.concat(span(up(n), left, n), F.when(inner, span(F.shiftleft(down(n + 1), BITS), down(n), n)).otherwise(F.array().cast("array<long>")))))
-        return F.when(F.col(end).isNotNull() & (first < last), F.flatten(F.array_compact(F.array(*parts))))
+        return F.flatten(F.array_compact(F.array(*parts)))
 
 
 def covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:
@@ -91,17 +99,27 @@ def onboard(dates: DataFrame, crew: DataFrame) -> DataFrame:
 def first_covering(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, order: str) -> DataFrame:
     """Each point that is covered with the first interval by order, then by its other columns: point columns, then interval columns.
 
-    As covering(), but no pairs form: each node of the tree keeps its first interval, combined before the
-    shuffle, and each time asks its nodes, one a level, so the rows follow the points' times.
+    As covering(), but no pairs form. The least value of order is found alone, for each span of units, then
+    for each node of the tree and each time, which asks its nodes, one a level: numbers and times are combined in
+    hash tables before each shuffle, so a task holds the spans it met, not its intervals' nodes. Whole rows, which
+    Spark would sort to combine, are then dealt to nodes only of intervals whose value is the least of some time, or null.
     """
     tree = _Tree(points, at)
-    (time, node) = unused(points, "time", "node")
-    rest = [c for c in intervals.columns if c != order]
-    first = lambda c: F.min_by(c, F.struct(c[order], *[c[x] for x in rest]))
-    kept = intervals.select(F.explode(tree.of_intervals(start, end)).alias(node), F.struct(*intervals.columns).alias("kept"))
-    kept = kept.groupBy(node).agg(first(F.col("kept")).alias("kept"))
+    (time, node), (first, last, least) = unused(points, "time", "node"), unused(intervals, "first", "last", "least")
     times = points.select(tree.at.alias(time), tree.of_points().alias(node)).where(F.col(time).isNotNull()).distinct()
-    found = times.select(time, F.explode(node).alias(node)).join(kept, node).groupBy(time).agg(first(F.col("kept")).alias("kept"))
+    asked = times.select(time, F.explode(node).alias(node))
+
+    begun, ended = tree.span(start, end)
+    spans = intervals.where(F.col(end).isNotNull() & (begun < ended)).groupBy(begun.alias(first), ended.alias(last)).agg(F.min(order).alias(least))
+    dealt = spans.select(F.explode(tree.of_span(F.col(first), F.col(last))).alias(node), least).groupBy(node).agg(F.min(least).alias(least))
+    leasts = asked.join(dealt, node).groupBy(time).agg(F.min(least).alias(least)).select(least).where(F.col(least).isNotNull()).distinct()
+    near = intervals.join(leasts, F.col(order) == F.col(least), "left").where(F.col(least).isNotNull() | F.col(order).isNull()).drop(least)
+
+    rest = [c for c in intervals.columns if c != order]
+    best = lambda c: F.min_by(c, F.struct(c[order], *[c[x] for x in rest]))
+    kept = near.select(F.explode(tree.of_intervals(start, end)).alias(node), F.struct(*intervals.columns).alias("kept"))
+    kept = kept.groupBy(node).agg(best(F.col("kept")).alias("kept"))
+    found = asked.join(kept, node).groupBy(time).agg(best(F.col("kept")).alias("kept"))
     found = found.withColumnRenamed("kept", node)
     met = points.withColumn(time, tree.at).join(found, time)
     return met.select(*points.columns, f"{node}.*")

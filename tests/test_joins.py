@@ -105,3 +105,60 @@ def test_first_covering(spark):
     found = joins.first_covering(points, spans, "at", "start", "end", "n")
     assert sorted((r["k"], r["n"], r["t"]) for r in found.collect()) == [("a", 1, "2024-01-05"), ("b", 1, "2024-01-20"), ("c", 3, "2023-01-01")]
     assert joins.first_covering(points.limit(0), spans, "at", "start", "end", "n").count() == 0
+
+
+def rows_made(df, kind):
+    """The rows that all operators of a kind gave out when df was run, by Spark's own counts."""
+
+    def below(plan):
+        yield plan
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from below(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from below(plan.plan())
+        for n in range(plan.children().size()):
+            yield from below(plan.children().apply(n))
+
+    df.collect()
+    return sum(p.metrics().apply("numOutputRows").value() for p in below(df._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == kind)
+
+
+def test_first_covering_deals_spans_not_intervals(spark):
+    """20,000 intervals of 40 spans: nodes are made for the spans and for the few intervals that are some day's first."""
+    points = spark.range(12).selectExpr("date_add(DATE'2024-01-01', CAST(30 * id AS INT)) AS at")
+    spans = spark.range(20_000).selectExpr("id * 7919 % 20000 AS n", "timestamp_seconds(1704067200 + 86400 * 9 * (id % 40)) AS start", "timestamp_seconds(1704067200 + 86400 * (9 * (id % 40) + 50)) AS end")
+    found = joins.first_covering(points, spans, "at", "start", "end", "n")
+    made = rows_made(found, "GenerateExec")
+    assert 0 < made < 2_000
+    days = [(r["at"], r["n"]) for r in found.collect()]
+    assert len(days) == 12 and sorted(days) == sorted((r["at"], r["n"]) for r in joins.covering(points, spans, "at", "start", "end").groupBy("at").agg(F.min("n").alias("n")).collect())
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double"])
+def test_first_covering_by_force(spark, kind):
+    """Orders that tie, are null, or are no numbers; times to the microsecond; columns named as those made on the way."""
+    import random
+
+    rng = random.Random(5)
+    at = lambda n: None if n is None else f"2024-01-01 00:{n // 60:02d}:{n % 60:02d}.{n % 7:06d}"
+    value = {"int": int, "string": lambda n: f"s{n}", "double": lambda n: float("nan") if n == 3 else n / 2}[kind]
+    points = [(i, rng.choice([None, *range(0, 900, 9)])) for i in range(150)]
+    ends = [sorted(rng.sample(range(1000), 2)) for _ in range(60)]
+    spans = [(None if i == 7 else value(rng.randrange(1, 5)), None if i == 9 else a, None if i in (3, 4) else a + (b - a) // 4, i % 50, i) for i, (a, b) in enumerate(ends)]
+    left = spark.createDataFrame([(i, at(t)) for i, t in points], "time int, node string").select("time", F.to_timestamp("node").alias("node"))
+    right = spark.createDataFrame([(n, at(a), at(b), x, i) for n, a, b, x, i in spans], f"least {kind}, first string, last string, kept int, own int")
+    right = right.withColumns({c: F.to_timestamp(c) for c in ("first", "last")})
+
+    def key(s):
+        low = lambda v: (v is not None, 0 if v is None else v)
+        n = (0, 0) if s[0] is None else (2, 0) if s[0] != s[0] else (1, s[0])
+        return n, low(at(s[1])), low(at(s[2])), s[3], s[4]
+
+    wanted = {}
+    for i, t in points:
+        over = [s for s in spans if t is not None and s[2] is not None and at(s[2]) >= at(t) and (s[1] is None or at(s[1]) <= at(t))]
+        if over:
+            wanted[i] = min(over, key=key)[4]
+    assert len(wanted) > 50
+    assert {r["time"]: r["own"] for r in joins.first_covering(left, right, "node", "first", "last", "least").collect()} == wanted
