@@ -1,9 +1,10 @@
 """A sink of one JSON document for each row, below folders of days, under names that are free: a Python data source with task and job commits.
 
 A task writes its documents to a folder of its own beside the target and moves them to their places when all
-are written; what it moved, it lists in a file for the job. If the task fails, it takes back what it moved; if the
-job fails, it takes back what its finished tasks moved. So a failed job leaves nothing, and one that is run
-again by Spark writes the same documents to the same names.
+are written; what it moves, it lists before in a file for the job. If the task fails, it takes back what it moved; if the
+job fails, it takes back what its tasks have listed, also those that still run or were killed, and these find the job
+closed before they move more. So a failed job leaves nothing, and one that is run again by Spark writes the same
+documents to the same names.
 
 Defined cases: null fields stay in a document as null; a row with a null time is under day 0000/00/00; a row with a
 null name is an error, since it has no place; names that are taken, by the target's documents or by other
@@ -48,6 +49,15 @@ class Moved(WriterCommitMessage):
 class DocumentWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
+        system, base = open_place(self.path)
+        system.create_dir(f"{base}/_temporary/{self.job}", recursive=True)
+        system.open_output_stream(f"{base}/_temporary/{self.job}/open").close()
+
+    def _check_open(self, system, base: str) -> None:
+        from pyarrow import fs
+
+        if system.get_file_info(f"{base}/_temporary/{self.job}/open").type == fs.FileType.NotFound:
+            raise RuntimeError("the job was aborted")
 
     def _delete(self, system, places: list[str]) -> None:
         for place in places:
@@ -59,6 +69,7 @@ class DocumentWriter(DataSourceWriter):
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         system, base = open_place(self.path)
         own = f"{base}/_temporary/{self.job}/{uuid.uuid4().hex}"
+        self._check_open(system, base)
         system.create_dir(own, recursive=True)
         places, folders, moved = [], set(), []
         try:
@@ -71,6 +82,7 @@ class DocumentWriter(DataSourceWriter):
                 folders.add(f"{base}/{row['folder']}")
             with system.open_output_stream(f"{own}/listing") as out:
                 out.write(json.dumps(places).encode())
+            self._check_open(system, base)  # abort() closes the job first and then reads the listings
             for folder in folders:
                 system.create_dir(folder, recursive=True)
             for n, place in enumerate(places):
@@ -78,27 +90,42 @@ class DocumentWriter(DataSourceWriter):
                 moved.append(place)
         except BaseException:
             self._delete(system, moved)
-            system.delete_dir(own)
+            self._delete_dir(system, own)
             raise
         return Moved(f"{own}/listing", len(places))
 
+    def _delete_dir(self, system, folder: str) -> None:
+        """Deletes a folder in which a task may still write, or that is gone."""
+        for left in reversed(range(5)):
+            try:
+                return system.delete_dir(folder)
+            except FileNotFoundError:
+                return None
+            except OSError:
+                if not left:
+                    raise
+
     def _clear(self, system, base: str) -> None:
-        system.delete_dir(f"{base}/_temporary/{self.job}")
+        self._delete_dir(system, f"{base}/_temporary/{self.job}")
         if not system.get_file_info(_all(f"{base}/_temporary")):
-            system.delete_dir(f"{base}/_temporary")
+            self._delete_dir(system, f"{base}/_temporary")
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, base = open_place(self.path)
-        if any(m and m.n for m in messages) or messages:
-            self._clear(system, base)
+        self._clear(*open_place(self.path))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Closes the job, so that no task moves what it hasn't listed; takes the places of tasks' sources and then what they moved."""
         system, base = open_place(self.path)
-        for m in messages:
-            if m is not None:
-                with system.open_input_stream(m.listing) as f:
-                    self._delete(system, json.loads(f.read()))
+        self._delete(system, [f"{base}/_temporary/{self.job}/open"])
+        places = []
+        for task in system.get_file_info(_all(f"{base}/_temporary/{self.job}")):
+            try:
+                with system.open_input_stream(f"{task.path}/listing") as f:
+                    places += json.loads(f.read())
+            except (FileNotFoundError, ValueError):
+                pass  # not yet listed in full, so nothing was moved
         self._clear(system, base)
+        self._delete(system, places)
 
 
 def _all(folder: str):

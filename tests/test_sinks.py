@@ -89,6 +89,31 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     assert {p.relative_to(path) for p in Path(path).rglob("*") if p.is_file()} == before
 
 
+def test_an_aborted_job_takes_back_what_no_message_tells(tmp_path):
+    """Tasks that were killed after their moves, or go on after the job's end, leave nothing."""
+    from pyspark.sql import Row
+
+    (tmp_path / "2024").mkdir()
+    (tmp_path / "2024" / "old").write_text("{}")
+    row = lambda name: Row(folder="2024", name=name, value="{}")
+    writer = documents.DocumentWriter(str(tmp_path))
+    done = writer.write(iter([row("a"), row("b")]))
+    writer.write(iter([row("c")]))  # its message is lost
+    kept = lambda: {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()}
+
+    def ends_meanwhile():
+        yield row("d")
+        writer.abort([done, None])
+        assert kept() == {"2024/old"}
+        yield row("e")
+
+    with pytest.raises(OSError):
+        writer.write(ends_meanwhile())
+    with pytest.raises(RuntimeError, match="aborted"):
+        writer.write(iter([row("f")]))
+    assert kept() == {"2024/old"} and not (tmp_path / "_temporary").exists()
+
+
 def test_members_spread_over_tasks(spark, tmp_path):
     """One archive of 1,000 members is read by all tasks, member by member; damaged members and archives say so."""
     folder = tmp_path / "in"
